@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality_rules, url_filter
-from .common import table
+from . import decontamination, jaccard_join, line_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
+from .common import crc_fold, table
 
 
 def tokenizer_path() -> str:
@@ -26,17 +26,57 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.learn_rules(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.learn(docs, table(spark, sf_dir, "labels"), "quality", lambda c: crc_fold(c, 4) != 2)
+    return verdicts(quality_classifier.score(docs, model), 4, 2)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), "toxic", lambda c: crc_fold(c, 3) != 1)
+    return verdicts(toxicity.score(docs, model), 3, 1)
+
+
+def verdicts(scored: DataFrame, folds: int, held: int, least: float = 0.7) -> DataFrame:
+    """doc_id, held_out (crc32 of the id modulo folds), score, predicted."""
+    return scored.select("doc_id", (crc_fold("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_packing, op7_quality_rules, op9_url_filter)}
+    return {f.__name__: f for f in QUERIES}
+
+
+QUERIES = (
+    op1_pii, op2_packing, op3_jaccard_join, op4_line_dedup, op5_substring_dedup, op6_decontamination,
+    op7_quality_rules, op8_quality_classifier, op9_url_filter, op10_toxicity,
+)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -61,3 +61,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, limit
     share = min(scale, -(-limit * scale // total))
     picked = usable.where(F.pmod(F.xxhash64("_id"), F.lit(scale)) < share).groupBy("_id").agg(F.max("_y").alias("y"))
     return docs.join(F.broadcast(picked), F.col(id_column) == F.col("_id")).select(F.col(id_column), text_or_empty().alias("text"), "y")
+
+
+class Membership:
+    """A bounded bitmap of a key column, to spare rows a shuffle that a later join would drop.
+
+    Sixteen bits a key up to 2**most_bits bits (4 MB by default). It passes every key it was made
+    of and a share of others that only matters for speed; beyond the bound it passes more, never less.
+    """
+
+    def __init__(self, keys: DataFrame, column: str, most_bits: int = 25):
+        import numpy as np
+
+        n = max(1, keys.count())
+        self.slots = 1 << min(max((16 * n).bit_length(), 16), most_bits)
+        slot = self._slot(column)
+        parts = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("w")).toArrow()
+        words = np.zeros(self.slots >> 6, dtype=np.int64)
+        words[parts["k"].to_numpy()] = parts["w"].to_numpy()
+        self.shared = keys.sparkSession.sparkContext.broadcast(words)
+
+    def _slot(self, column: str):
+        return F.pmod(F.xxhash64(column), F.lit(self.slots))
+
+    def sieve(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows of df whose key may be in the bitmap."""
+        shared = self.shared
+
+        @F.pandas_udf("boolean")
+        def maybe(slot):
+            s = slot.to_numpy()
+            return slot.__class__((shared.value[s >> 6] >> (s & 63)) & 1 == 1)
+
+        return df.where(maybe(self._slot(column)))

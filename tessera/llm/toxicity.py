@@ -167,17 +167,24 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, train: Callable[[str],
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
 
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFrame:
-    """The columns of docs and score for every row, over whole texts.
-
-    Null text is scored as empty; repeated rows and null ids stay; a column named score is replaced.
-    """
+def scores(docs: DataFrame, model: Model) -> Column:
+    """The score of each row's text; null text is scored as empty, whole texts are read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scores(text):
+    def scored(text):
         import pandas as pd
 
         return pd.Series([shared.value.score(t or "") for t in text], dtype="float64")
 
-    return docs.withColumn("score", scores(text_or_empty()))
+    return scored(text_or_empty())
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) of every row; repeated rows and null ids stay, an empty table gives none."""
+    return docs.select("doc_id", scores(docs, model).alias("score"))
+
+
+def reject(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
+    """The rows of docs that score below `least`, all columns unchanged."""
+    return docs.where(scores(docs, model) < least)
