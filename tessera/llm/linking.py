@@ -1,9 +1,10 @@
 """Links between items that share an index list, without all pairs of a list.
 
-First each list's smallest item (its leader) is compared with the others. Then only pairs from
-different connected groups are left to decide: what a leader's answers already connect is skipped,
-in blocks of one group within one list, as are blocks whose sizes rule a link out. Every pair of
-a list is thus compared, known to be connected, or excluded by size.
+First each item is compared with the smallest leader (a list's smallest item) it may link with.
+Then only pairs from different connected groups are left to decide: what a leader's answers already
+connect is skipped, in blocks of one group within one list, as are blocks whose sizes rule a link
+out. Other leaders come next, then what is still apart. Every pair of a list is thus compared, known
+to be connected, or excluded by its sizes or positions.
 """
 
 from __future__ import annotations
@@ -17,18 +18,27 @@ from .common import Membership, durable
 from .components import components
 
 
-def link(postings: DataFrame, close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], ratio: float) -> tuple[DataFrame, DataFrame]:
+def link(postings: DataFrame, close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], ratio: float, enough: Callable[[Column, Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, groups) of items that share a list.
 
     postings: key, id, n (size) and what `close` reads; close(a, b) is a condition on two items'
     columns that all links fulfil; verify turns pairs (u, v) into the linked ones; linked items'
-    sizes differ by the factor `ratio` at most. links: (u, v). groups: (node, component). The list
+    sizes differ by the factor `ratio` at most; enough(common, n, n) is a condition on the number of
+    lists that two linked items share, which spares verify most pairs. links: (u, v). groups: (node, component). The list
     minima are combined before the shuffle, and joins on hot lists can be split.
     """
     lists = postings.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select(F.col("key").alias("_key"), "lo")
     lists = durable(lists)
     shared = Membership(lists, "_key").sieve(postings, "key")
-    members = durable(shared.join(lists, shared["key"] == lists["_key"]).drop("_key"))
+    members = durable(shared.join(lists, shared["key"] == lists["_key"]).drop("_key").dropDuplicates(["key", "id"]))
+    if enough:
+        decide, held = verify, durable(members.groupBy("id").agg(F.collect_list("key").alias("keys"), F.first("n").alias("n")))
+
+        def verify(pairs_: DataFrame) -> DataFrame:
+            x, y = (held.select(*[F.col(c).alias(c + m) for c in held.columns]) for m in "uv")
+            both = pairs_.join(x, pairs_["u"] == x["idu"]).join(y, F.col("v") == y["idv"])
+            return decide(both.where(enough(F.size(F.array_intersect("keysu", "keysv")), F.col("nu"), F.col("nv"))).select("u", "v"))
+
     attributes = [c for c in postings.columns if c != "key"]
 
     def side(df: DataFrame, mark: str) -> DataFrame:
@@ -40,19 +50,32 @@ def link(postings: DataFrame, close: Callable[[Callable[[str], Column], Callable
 
     leaders = side(members.where("id = lo"), "a_").dropDuplicates(["a_key"])
     others = side(members.where("id <> lo"), "b_")
-    first = durable(verify(pairs(others.join(leaders, others["b_key"] == leaders["a_key"]))))
-    groups = components(first)
-    named = members.join(groups, members["id"] == groups["node"], "left").withColumn("g", F.coalesce("component", "id")).drop("node", "component")
-    named = durable(named.where("id <> lo").drop("lo"))
+    led = others.join(leaders, others["b_key"] == leaders["a_key"]).where(close(lambda c: F.col("a_" + c), lambda c: F.col("b_" + c)))
+    links = durable(verify(led.groupBy("b_id").agg(F.min("a_id").alias("u")).select("u", F.col("b_id").alias("v"))))
+
+    def apart(pairs_: DataFrame, groups: DataFrame) -> DataFrame:
+        """The pairs (u, v) of different groups."""
+        x, y = (groups.select(F.col("node").alias("n" + m), F.col("component").alias("c" + m)) for m in "uv")
+        named = pairs_.join(x, pairs_["u"] == x["nu"], "left").join(y, F.col("v") == y["nv"], "left")
+        return named.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+
+    more = led.select(F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v")).distinct()
+    links = durable(links.unionByName(verify(apart(more, components(links)))))
+    groups = components(links)
+    named = members.join(groups, members["id"] == groups["node"], "left").withColumn("g", F.coalesce("component", "id"))
+    # Leaders have been compared with all others.
+    named = named.where("id <> lo").drop("node", "component", "lo")
     blocks = named.groupBy("key", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     mixed = blocks.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select(F.col("key").alias("_key"))
-    blocks = durable(blocks.join(mixed, blocks["key"] == mixed["_key"]).drop("_key"))
+    mixed = durable(mixed)
+    named = Membership(mixed, "_key").sieve(named, "key")
+    named = durable(named.join(mixed, named["key"] == mixed["_key"]).drop("_key"))
+    blocks = named.groupBy("key", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     a, b = (blocks.select(*[F.col(c).alias(m + c) for c in blocks.columns]) for m in ("a_", "b_"))
-    apart = a.join(b, (a["a_key"] == b["b_key"]) & (a["a_g"] < b["b_g"]) & (a["a_most"] >= ratio * b["b_least"]) & (b["b_most"] >= ratio * a["a_least"]))
-    apart = apart.select(F.col("a_key").alias("k"), F.col("a_g").alias("ga"), F.col("b_g").alias("gb"))
+    met = a.join(b, (a["a_key"] == b["b_key"]) & (a["a_g"] < b["b_g"]) & (a["a_most"] >= ratio * b["b_least"]) & (b["b_most"] >= ratio * a["a_least"]))
+    met = met.select(F.col("a_key").alias("k"), F.col("a_g").alias("ga"), F.col("b_g").alias("gb"))
     attributes.append("g")
     left, right = side(named, "a_"), side(named, "b_")
-    met = apart.join(left, (apart["k"] == left["a_key"]) & (apart["ga"] == left["a_g"])).join(right, (F.col("k") == right["b_key"]) & (F.col("gb") == right["b_g"]))
-    second = verify(pairs(met))
-    links = durable(first.unionByName(second).distinct())
+    met = met.join(left, (met["k"] == left["a_key"]) & (met["ga"] == left["a_g"])).join(right, (F.col("k") == right["b_key"]) & (F.col("gb") == right["b_g"]))
+    links = durable(links.unionByName(verify(pairs(met))).distinct())
     return links, components(links)
