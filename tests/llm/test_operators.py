@@ -99,6 +99,27 @@ def test_line_dedup(docs):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_finds_edited_lines(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("aeinorst"), rng.integers(2, 9))) for _ in range(300)]
+    lines = []
+    for size in range(6, 36):
+        line = list(rng.choice(words, size))
+        at = int(rng.integers(size))
+        typo = " ".join(line)
+        lines += [" ".join(line), " ".join([*line[:at], "for", *line[at:]]), " ".join([*line[:at], str(rng.choice(words)), *line[at + 1 :]]), typo[: 3 * at] + "x" + typo[3 * at + 1 :]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    a, b = docs.toDF("a", "x"), docs.toDF("b", "y")
+    near = a.join(b, a["a"] < b["b"]).where("levenshtein(x, y) <= 0.2 * greatest(length(x), length(y)) + 1e-9 and least(length(x), length(y)) >= 20").select("a", "b").collect()
+    first = {i: i for i in range(len(lines))}
+    for _ in lines:
+        for i, j in near:
+            first[i] = first[j] = min(first[i], first[j])
+    expected = {i for i, f in first.items() if f < i}
+    got = {r["doc_id"] for r in line_dedup.removals(docs).collect()}
+    assert len(expected) > 80 and got <= expected and len(got) >= 0.97 * len(expected)
+
+
 def brute_substrings(rows, window):
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
     first = {}
