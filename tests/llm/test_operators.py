@@ -99,6 +99,12 @@ def test_line_dedup(docs):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_takes_short_lines(spark):
+    rows = [(1, "ab cd\n****\n\nend one"), (2, "AB  cd\n****\n\n-----"), (3, "ab ce\n***\n \n-----")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: rows[0][1], 2: "\n-----", 3: "ab ce\n***\n "}
+
+
 def test_line_dedup_finds_edited_lines(spark):
     rng = np.random.default_rng(6)
     words = ["".join(rng.choice(list("aeinorst"), rng.integers(2, 9))) for _ in range(300)]
