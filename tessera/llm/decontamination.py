@@ -127,7 +127,8 @@ class Index:
         passages = bound[:-1] + bound[1:] if len(bound) > 1 else bound
         out: dict[int, tuple[float, float, float]] = {}
         for k in np.flatnonzero(passages >= least_score):
-            passage = words[k * self.half : (k + 2) * self.half]
+            # One word more than pairs.
+            passage = words[k * self.half : (k + 2) * self.half + 1]
             for item, score in self.retrieve(set(zip(passage, passage[1:])), least_score):
                 shares = self.overlaps(item, passage)
                 if min(shares) >= least_overlap:

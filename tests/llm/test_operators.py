@@ -155,6 +155,14 @@ def test_decontamination(spark, docs):
     assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [128, 129, 130, 193, 257])
+def test_item_at_the_end_is_found(size):
+    item = "Alpha beta gamma delta epsilon zeta eta theta. Iota"
+    index = decontamination.Index([(0, item)])
+    assert index.half == 64
+    assert index.leaks("x " * (size - 9) + item, 0.5, 0.5) == {0: (pytest.approx(1.0), 1.0, 1.0)}
+
+
 def test_retrieval_is_exact():
     rng = np.random.default_rng(5)
     vocabulary = [f"t{i}" for i in range(30)]
