@@ -47,30 +47,52 @@ def ngrams(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
+def usable(items: list[tuple[int, str]]) -> list[tuple[int, list[str], list[str]]]:
+    """(id, question, answer) of the items of at least two words, in order."""
+    found = [(k, question_and_answer(t or "")) for k, t in sorted(items, key=lambda x: (x[0] is None, x))]
+    return [(k, q, a) for k, (q, a) in found if len(q) + len(a) > 1]
+
+
+class Statistics:
+    """Number, lengths and pair frequencies of all items, whatever their shard."""
+
+    def __init__(self) -> None:
+        self.n, self.words, self.longest = 0, 0, 0
+        self.df: Counter[Pair] = Counter()
+
+    def add(self, items: list[tuple[int, str]]) -> Statistics:
+        for _, q, a in usable(items):
+            self.n += 1
+            self.words += len(q) + len(a)
+            self.longest = max(self.longest, len(q) + len(a))
+            self.df.update(set(zip(q + a, (q + a)[1:])))
+        return self
+
+
 class Index:
     """Inverted index of the items; weights are shares of an item's score with itself.
 
-    Items of fewer than two words identify no leak and are left out.
+    Items of fewer than two words identify no leak and are left out. A shard's index is given the
+    statistics of all items.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
-        found = [(k, question_and_answer(t or "")) for k, t in sorted(items, key=lambda x: (x[0] is None, x))]
-        found = [(k, q, a) for k, (q, a) in found if len(q) + len(a) > 1]
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
+        of_all = statistics or Statistics().add(items)
+        found = usable(items)
         self.ids = [k for k, _, _ in found]
         lengths = [len(q) + len(a) for _, q, a in found]
-        mean = sum(lengths) / max(len(lengths), 1)
+        mean = of_all.words / max(of_all.n, 1)
         terms = [list(zip(q + a, (q + a)[1:])) for _, q, a in found]
-        df = Counter(w for t in terms for w in set(t))
         self.parts = []
         postings: dict[Pair, list[tuple[int, float]]] = defaultdict(list)
         for i, (_, q, a) in enumerate(found):
-            weight = {w: math.log(1 + (len(found) - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[i] / mean)) for w, n in Counter(terms[i]).items()}
+            weight = {w: math.log(1 + (of_all.n - of_all.df[w] + 0.5) / (of_all.df[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[i] / mean)) for w, n in Counter(terms[i]).items()}
             total = sum(weight.values())
             for w, x in weight.items():
                 postings[w].append((i, x / total))
             self.parts.append([(n, ngrams(p, n)) for p in (q, a) if p for n in [min(NGRAM, len(p))]])
         self.postings = {w: ([i for i, _ in p], [x for _, x in p]) for w, p in postings.items()}
-        self.half = max([HALF, *lengths])
+        self.half = max(HALF, of_all.longest)
         self.most = {w: max(x) for w, (_, x) in self.postings.items()}
         self.row = {w: k for k, w in enumerate(self.postings)}
         self.block_most = np.zeros((len(self.row), len(found) // BLOCK + 1))
@@ -137,11 +159,18 @@ class Index:
 
 
 def indexes(benchmark: DataFrame, shard_items: int = 50_000) -> list[Index]:
-    """The index, in shards of about shard_items items if there are more; null texts have no entry."""
+    """The index, in shards of about shard_items items if there are more; null texts have no entry.
+
+    The statistics are those of all items, so scores do not depend on the shards.
+    """
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text"))
     shards = max(1, -(-items.count() // shard_items))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
-    return [Index([(r[0], r[1]) for r in items.where(part == s).collect()]) for s in range(shards)]
+    statistics, parts = Statistics(), []
+    for s in range(shards):
+        parts.append([(r[0], r[1]) for r in items.where(part == s).collect()])
+        statistics.add(parts[-1])
+    return [Index(p, statistics) for p in parts]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, least_overlap: float = 0.5) -> DataFrame:

@@ -163,6 +163,19 @@ def test_item_at_the_end_is_found(size):
     assert index.leaks("x " * (size - 9) + item, 0.5, 0.5) == {0: (pytest.approx(1.0), 1.0, 1.0)}
 
 
+def test_shards_share_statistics(spark):
+    rng = np.random.default_rng(8)
+    items = [(i, " ".join(rng.choice(["ab", "cd", "ef", "gh"], 3 + 5 * i))) for i in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    (whole,) = decontamination.indexes(bench)
+    shards = decontamination.indexes(bench, 5)
+    text = " ".join(t for _, t in items[::3])
+    one = {whole.ids[i]: found for i, found in whole.leaks(text, 0.5, 0.5).items()}
+    many = {s.ids[i]: found for s in shards for i, found in s.leaks(text, 0.5, 0.5).items()}
+    assert len(shards) == 4 and {s.half for s in shards} == {whole.half}
+    assert many.keys() == one.keys() and all(many[k] == pytest.approx(one[k]) for k in one)
+
+
 def test_retrieval_is_exact():
     rng = np.random.default_rng(5)
     vocabulary = [f"t{i}" for i in range(30)]
