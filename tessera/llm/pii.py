@@ -1,7 +1,8 @@
 """Personal data: candidate spans scored by gradient-boosted trees, in DataFrame expressions.
 
 Generators of high recall propose overlapping spans. Spans that pass the exact base checks always
-stay. The others are scored by boosted trees over format and context features; the trees are
+stay. The others, whether they have the base form or not, are scored by boosted trees over format
+and context features; the trees are
 grown on the driver from counts per cell of the (discrete) feature space, which cover all
 documents and whose number is bounded by the features, and compiled to conditional expressions.
 Per kind, the threshold is the lowest score with the asked precision on held-back documents.
@@ -37,6 +38,7 @@ GENERATORS = (
 #: A text without this has no match; spares most texts the pattern.
 NEEDED = {"email": "@|(?i)[(\\[]at[)\\]]", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 CONTEXT = 24
+TOP_LEVEL = "(?i)(?:\\.|dot[)\\]])\\x20?[a-z]{2,24}$"
 #: Words near a span that speak for a kind.
 CUES = {
     "email": "(?i)mail|contact|write|@",
@@ -71,6 +73,12 @@ def valid(kind: Column, match: Column) -> Column:
     )
 
 
+def plausible(kind: Column, match: Column, ok: Column) -> Column:
+    """Whether a span that may fail the base check is open: the trees decide it, nothing is known of it."""
+    n = F.length(digits(match))
+    return F.when(kind == "email", match.rlike(TOP_LEVEL)).when(kind == "card", n.between(13, 19) & luhn(digits(match))).otherwise(ok)
+
+
 def proposals(text: Column, gen: int, kind: str, pattern: str) -> Column:
     """A generator's matches in order, with the distance from the last one's start and the context."""
 
@@ -112,7 +120,13 @@ def candidates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     reach = W.partitionBy("rid").orderBy("start", F.col("end").desc(), F.col("base").desc(), "gen").rowsBetween(W.unboundedPreceding, W.currentRow)
     covered = F.coalesce(F.max(F.when(F.col("base"), F.col("end"))).over(reach) >= F.col("end"), F.lit(False))
     same = F.coalesce(F.max(F.col("base").cast("int")).over(W.partitionBy("rid", "kind", "start", "end")), F.lit(0)) == 1
-    return flat.select("doc_id", "rid", "gen", "kind", "start", "end", "match", "before", "after", "ok", "base", covered.alias("covered"), same.alias("is_base_span"))
+    # A proposal that overlaps a base span of its kind has the wrong extent.
+    by_kind = W.partitionBy("rid", "kind").orderBy("start")
+    left = F.max(F.when(F.col("base"), F.col("end"))).over(by_kind.rangeBetween(W.unboundedPreceding, W.currentRow)) > F.col("start")
+    right = F.min(F.when(F.col("base"), F.col("start"))).over(by_kind.rangeBetween(W.currentRow, W.unboundedFollowing)) < F.col("end")
+    misplaced = ~same & (F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False)))
+    extra = ~F.coalesce(F.get(is_base, F.col("gen")), F.lit(True))
+    return flat.select("doc_id", "rid", "gen", "kind", "start", "end", "match", "before", "after", "ok", "base", extra.alias("extra"), covered.alias("covered"), misplaced.alias("misplaced"), same.alias("is_base_span"))
 
 
 def features() -> dict[str, Column]:
@@ -129,7 +143,9 @@ def features() -> dict[str, Column]:
         "luhn": number((F.col("kind") == "card") & F.when(n.between(13, 19), luhn(digits(m))).otherwise(F.lit(False))),
         "octets": number((F.col("kind") == "ip") & F.col("ok")),
         "separators": number(m.rlike("[\\x20().-]")),
-        "top_level": number(m.rlike("(?i)(?:\\.|dot[)\\]]\\x20?)[a-z]{2,24}$")),
+        "top_level": number(m.rlike(TOP_LEVEL)),
+        # Spelled out, plain, or with blanks round a plain sign: only the last is known to run too far.
+        "signs": F.when(F.col("kind") != "email", 1).when(m.rlike("(?i)[(\\[](?:at|dot)[)\\]]"), 0).when(m.contains(" "), 2).otherwise(1),
         "plus": number(m.startswith("+")),
         "edges": number(before.rlike("[\\w]$")) + 2 * number(after.rlike("^[\\w]")),
         "crowded": number(before.rlike("[0-9][^A-Za-z]{0,3}$") | after.rlike("^[^A-Za-z]{0,3}[0-9]")),
@@ -137,7 +153,7 @@ def features() -> dict[str, Column]:
     }
 
 
-FEATURES = ("kind", "digits", "luhn", "octets", "separators", "top_level", "plus", "edges", "crowded", "cue")
+FEATURES = ("kind", "digits", "luhn", "octets", "separators", "top_level", "signs", "plus", "edges", "crowded", "cue")
 
 
 @dataclass(frozen=True)
@@ -236,11 +252,14 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def learn(found: DataFrame) -> Model:
-    """Fit on all proposals: base spans count as right; forms that fail every check as wrong.
+    """Fit on all proposals: base spans count as right.
 
-    Proposals of valid form that are no base span teach nothing; the model decides them.
+    Wrong are those of an extent that a base span of the kind refutes, and those that fail every
+    check, the loose ones (top-level domain, Luhn sum of 13 to 19 digits) too. What passes a loose check, such as a
+    spelled-out address, teaches nothing; the model decides it.
     """
-    known = with_features(found.where(F.col("gen").isNotNull() & (F.col("is_base_span") | ~F.col("ok")) & (F.col("is_base_span") | ~F.col("covered"))))
+    wrong = ~F.col("is_base_span") & (F.col("misplaced") | ~F.coalesce(plausible(F.col("kind"), F.col("match"), F.col("ok")), F.lit(False)))
+    known = with_features(found.where(F.col("gen").isNotNull() & (F.col("is_base_span") | (wrong & (F.col("misplaced") | ~F.col("covered"))))))
     held = (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).cast("int")
     cells = known.groupBy(*["f_" + f for f in FEATURES], F.col("is_base_span").cast("int").alias("y"), held.alias("held")).agg(F.count("*").alias("n"))
     return fit([{k.removeprefix("f_"): v for k, v in r.asDict().items()} for r in cells.collect()])
@@ -249,7 +268,7 @@ def learn(found: DataFrame) -> Model:
 def spans(found: DataFrame, model: Model) -> DataFrame:
     """Per row of the documents: base and accepted spans, each once, by start and then kind."""
     scored = with_features(found).withColumn("score", model.score())
-    kept = F.col("base") | (F.col("gen").isNotNull() & ~F.col("covered") & F.col("ok") & model.accepted())
+    kept = F.col("base") | (F.col("extra") & ~F.col("covered") & ~F.col("misplaced") & model.accepted())
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     span = F.struct("start", order.alias("k"), "end", "kind")
     grouped = scored.groupBy("rid", "doc_id").agg(

@@ -43,6 +43,14 @@ def test_pii(docs):
     assert "[email] [ip] 300.1.1.1, [card] [phone]" in pii.redact(docs.where("doc_id = 10")).first()["text"]
 
 
+def test_pii_beyond_the_base_form(spark):
+    rows = [(i, f"mail user{i}@site{i % 7}.org. Then card 4111 1111 1111 1111, id 41111111111{i:02d}3 or x @ {i} now") for i in range(60)]
+    rows += [(100, "write jane (at) example (dot) org soon"), (101, "card 4222222222222 here"), (102, "card 4222222222223 here"), (103, "mail a@b.org. Then more")]
+    got = {r["doc_id"]: [tuple(s)[::2] + (s["kind"],) for s in r["all"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == [(6, 33, "email")] and got[101] == [(5, 18, "card")]
+    assert got[102] == [] and got[103] == [(5, 12, "email")]
+
+
 def test_packing(docs):
     tok = Tokenizer.from_file(PATH)
     got = packing.pack_documents(docs, PATH, capacity=64).collect()
