@@ -1,8 +1,8 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap, found exactly.
 
 Equal sets are one class. Every class indexes its rarest shingles, as many as any partner must
-share one of; lists are skipped by position and by size, and what one set's computed answers
-connect is not compared again (see linking). Remaining pairs are verified on whole sets.
+share one of; pairs of a list are excluded by position and by size. Which pairs connect is decided
+first (see linking); for the number of links the pairs within each group follow. Remaining pairs are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -121,9 +121,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return found.select("id", "text").mapInArrow(run, "id long, own array<long>").dropDuplicates(["id"])
 
 
-def groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+def groups(docs: DataFrame, k: int = 3, percent: int = 90, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row; whole texts are read.
 
+    Without count_links there is no n_links, and pairs that are connected already are not verified.
+
     Two documents link when their sets' intersection is at least `percent` of their union.
     component_id is the smallest doc_id reachable by links, itself included; n_links counts linked
     classes of other sets. Null and empty texts have no shingles and link with nothing, equal sets
@@ -165,17 +167,18 @@ def groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         rest = lambda x: F.floor((percent * x + 99) / 100) - 1
         return (100 + percent) * (common + F.greatest(rest(n), rest(m))) >= percent * (n + m)
 
-    links, found = link(prefixes(known, k, threshold, table), close, verify, percent / 100, enough)
+    links, found = link(prefixes(known, k, threshold, table), close, verify, percent / 100, enough, every=count_links)
     degree = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     named = classes.join(found, classes["sig"] == found["node"], "left").select("sig", "rep", F.coalesce("component", "sig").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "_c")
     named = named.join(least, named["component"] == least["_c"]).select(F.col("sig").alias("_sig"), "component_id")
     named = named.join(degree, named["_sig"] == degree["node"], "left").select("_sig", "component_id", "n_links")
     out = rows.join(named, (rows["sig"] == named["_sig"]) & (rows["n"] > 0) & rows["doc_id"].isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out if count_links else out.drop("n_links")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs (unique ids) without those linked to one of a smaller doc_id's component."""
-    dropped = groups(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_drop"))
+    dropped = groups(docs, k, percent, count_links=False).where("component_id <> doc_id").select(F.col("doc_id").alias("_drop"))
     return docs.join(durable(dropped), docs["doc_id"] == F.col("_drop"), "left_anti")

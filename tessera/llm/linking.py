@@ -18,13 +18,14 @@ from .common import Membership, durable
 from .components import components
 
 
-def link(postings: DataFrame, close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], ratio: float, enough: Callable[[Column, Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def link(postings: DataFrame, close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], ratio: float, enough: Callable[[Column, Column, Column], Column] | None = None, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """(links, groups) of items that share a list.
 
     postings: key, id, n (size) and what `close` reads; close(a, b) is a condition on two items'
     columns that all links fulfil; verify turns pairs (u, v) into the linked ones; linked items'
     sizes differ by the factor `ratio` at most; enough(common, n, n) is a condition on the number of
-    lists that two linked items share, which spares verify most pairs. links: (u, v). groups: (node, component). The list
+    lists that two linked items share, which spares verify most pairs. links: (u, v), those that connect the groups, or with `every`
+    all, for which the pairs within each group are verified too. groups: (node, component). The list
     minima are combined before the shuffle, and joins on hot lists can be split.
     """
     lists = postings.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select(F.col("key").alias("_key"), "lo")
@@ -78,4 +79,11 @@ def link(postings: DataFrame, close: Callable[[Callable[[str], Column], Callable
     left, right = side(named, "a_"), side(named, "b_")
     met = met.join(left, (met["k"] == left["a_key"]) & (met["ga"] == left["a_g"])).join(right, (F.col("k") == right["b_key"]) & (F.col("gb") == right["b_g"]))
     links = durable(links.unionByName(verify(pairs(met))).distinct())
-    return links, components(links)
+    groups = components(links)
+    if every:
+        groups = durable(groups)
+        inside = members.join(groups, members["id"] == groups["node"]).withColumnRenamed("component", "g")
+        left, right = side(inside, "a_"), side(inside, "b_")
+        met = left.join(right, (left["a_key"] == right["b_key"]) & (left["a_g"] == right["b_g"]) & (left["a_id"] < right["b_id"]))
+        links = durable(links.unionByName(verify(pairs(met).join(links, ["u", "v"], "left_anti"))))
+    return links, groups

@@ -100,6 +100,15 @@ def test_jaccard_join(docs):
     assert jaccard_join.groups(docs.limit(0)).count() == 0
 
 
+def test_jaccard_join_counts_every_link(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[: 20 * i], f"v{i}", *base[20 * i + 1 :]])) for i in range(6)] + [(9, " ".join(base[:190]))]
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    sets = {i: {tuple(w[a : a + 3]) for a in range(len(w) - 2)} for i, t in rows for w in [t.split()]}
+    assert got == {a: sum(a != b and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b]) for b in sets) for a in sets}
+    assert sum(got.values()) > 2 * len(rows)
+
+
 def test_line_dedup(docs):
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
     assert got[8]["text"] == "Line of some words here now.\nother" and got[8]["n_removed"] == 1
