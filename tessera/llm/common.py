@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the cluster shares.
 
-    The folder is spark.checkpoint.dir; only where a session has none (tests on one machine) a
-    temporary one is set.
+    The folder is spark.checkpoint.dir; only where a session in one process (as in tests) has none, a
+    temporary one is set. A cluster without that setting is refused.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint(eager=True)
 
@@ -84,8 +87,8 @@ class Membership:
     def _slot(self, column: str):
         return F.pmod(F.xxhash64(column), F.lit(self.slots))
 
-    def sieve(self, df: DataFrame, column: str) -> DataFrame:
-        """The rows of df whose key may be in the bitmap."""
+    def flag(self, df: DataFrame, column: str, out: str) -> DataFrame:
+        """df with a column that says whether a row's key may be in the bitmap; a null key is not."""
         shared = self.shared
 
         @F.pandas_udf("boolean")
@@ -93,4 +96,8 @@ class Membership:
             s = slot.to_numpy()
             return slot.__class__((shared.value[s >> 6] >> (s & 63)) & 1 == 1)
 
-        return df.where(maybe(self._slot(column)))
+        return df.withColumn(out, F.col(column).isNotNull() & maybe(F.coalesce(self._slot(column), F.lit(0).cast("long"))))
+
+    def sieve(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows of df whose key may be in the bitmap."""
+        return self.flag(df, column, "_maybe").where("_maybe").drop("_maybe")

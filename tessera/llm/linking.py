@@ -1,10 +1,10 @@
 """Links between items that share an index list, without all pairs of a list.
 
-First each item is compared with the smallest leader (a list's smallest item) it may link with.
-Then only pairs from different connected groups are left to decide: what a leader's answers already
-connect is skipped, in blocks of one group within one list, as are blocks whose sizes rule a link
-out. Other leaders come next, then what is still apart. Every pair of a list is thus compared, known
-to be connected, or excluded by its sizes or positions.
+Each list is led by its member of most shared lists, usually the one its near copies were made
+from. Members are compared with their leaders first; what that connects is one group. Then only
+members of different groups that share a list are left, and of these the pairs that fulfil `close`,
+a condition evaluated inside the join. Every pair of a list is thus compared, known to be connected,
+or excluded by the condition.
 """
 
 from __future__ import annotations
@@ -17,73 +17,63 @@ from pyspark.sql import functions as F
 from .common import Membership, durable
 from .components import components
 
+Pairs = Callable[[DataFrame], DataFrame]
 
-def link(postings: DataFrame, close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], ratio: float, enough: Callable[[Column, Column, Column], Column] | None = None, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(links, groups) of items that share a list.
 
-    postings: key, id, n (size) and what `close` reads; close(a, b) is a condition on two items'
-    columns that all links fulfil; verify turns pairs (u, v) into the linked ones; linked items'
-    sizes differ by the factor `ratio` at most; enough(common, n, n) is a condition on the number of
-    lists that two linked items share, which spares verify most pairs. links: (u, v), those that connect the groups, or with `every`
-    all, for which the pairs within each group are verified too. groups: (node, component). The list
-    minima are combined before the shuffle, and joins on hot lists can be split.
-    """
-    lists = postings.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select(F.col("key").alias("_key"), "lo")
-    lists = durable(lists)
-    shared = Membership(lists, "_key").sieve(postings, "key")
-    members = durable(shared.join(lists, shared["key"] == lists["_key"]).drop("_key").dropDuplicates(["key", "id"]))
-    if enough:
-        decide, held = verify, durable(members.groupBy("id").agg(F.collect_list("key").alias("keys"), F.first("n").alias("n")))
+def shared_lists(postings: DataFrame) -> DataFrame:
+    """postings (key, id, ...) of the keys of at least two ids, with `number`, the members of the list."""
+    lists = postings.groupBy("key").agg(F.count("*").alias("number"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+    lists = durable(lists.select(F.col("key").alias("_key"), "number"))
+    return Membership(lists, "_key").sieve(postings, "key").join(lists, F.col("key") == F.col("_key")).drop("_key")
 
-        def verify(pairs_: DataFrame) -> DataFrame:
-            x, y = (held.select(*[F.col(c).alias(c + m) for c in held.columns]) for m in "uv")
-            both = pairs_.join(x, pairs_["u"] == x["idu"]).join(y, F.col("v") == y["idv"])
-            return decide(both.where(enough(F.size(F.array_intersect("keysu", "keysv")), F.col("nu"), F.col("nv"))).select("u", "v"))
 
-    attributes = [c for c in postings.columns if c != "key"]
+def led(members: DataFrame) -> DataFrame:
+    """(key, leader) of each list: the member with the most shared lists, the smallest of several."""
+    counts = members.groupBy("id").agg(F.count("*").alias("_times")).withColumnRenamed("id", "_id")
+    ranked = members.select("key", "id").join(counts, F.col("id") == F.col("_id"))
+    return ranked.groupBy("key").agg(F.min(F.struct(-F.col("_times"), "id")).alias("x")).select(F.col("key").alias("_key"), F.col("x.id").alias("leader"))
 
-    def side(df: DataFrame, mark: str) -> DataFrame:
-        return df.select(F.col("key").alias(mark + "key"), *[F.col(c).alias(mark + c) for c in attributes])
 
-    def pairs(joined: DataFrame) -> DataFrame:
-        kept = joined.where(close(lambda c: F.col("a_" + c), lambda c: F.col("b_" + c)))
-        return kept.select(F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v")).where("u <> v").distinct()
+def link(postings: DataFrame, nodes: DataFrame, close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Pairs) -> DataFrame:
+    """(node, component) of the items that link with another; postings: key, id; nodes: id and what `close` reads.
 
-    leaders = side(members.where("id = lo"), "a_").dropDuplicates(["a_key"])
-    others = side(members.where("id <> lo"), "b_")
-    led = others.join(leaders, others["b_key"] == leaders["a_key"]).where(close(lambda c: F.col("a_" + c), lambda c: F.col("b_" + c)))
-    links = durable(verify(led.groupBy("b_id").agg(F.min("a_id").alias("u")).select("u", F.col("b_id").alias("v"))))
+    close(a, b) is a condition on two items' columns that all links fulfil; verify turns pairs
+    (u, v) into the linked ones.
+    """
+    columns = [c for c in nodes.columns if c != "id"]
+    named = nodes.withColumnRenamed("id", "_node")
+    members = shared_lists(postings).drop("number")
+    members = durable(members.join(named, F.col("id") == F.col("_node")).drop("_node"))
+    leaders = durable(led(members))
 
-    def apart(pairs_: DataFrame, groups: DataFrame) -> DataFrame:
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(mark + c) for c in df.columns])
+
+    near = close(lambda c: F.col("a_" + c), lambda c: F.col("b_" + c))
+    ordered = (F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v"))
+    first = leaders.select("leader").distinct().join(nodes, F.col("leader") == F.col("id")).select(F.col("id").alias("a_id"), *[F.col(c).alias("a_" + c) for c in columns])
+    asked = members.join(leaders, F.col("key") == F.col("_key")).where("id <> leader").groupBy("leader", "id").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in columns])
+    asked = asked.select("leader", "times", *[F.col(c).alias("b_" + c) for c in ("id", *columns)]).join(first, (F.col("leader") == F.col("a_id")) & near)
+    asked = durable(asked.select("a_id", "b_id", "times"))
+    # The leader of the most shared lists first; another one only if that leaves them apart.
+    best = asked.groupBy("b_id").agg(F.min(F.struct(-F.col("times"), "a_id")).alias("x")).select(F.col("x.a_id").alias("a_id"), "b_id")
+    links = durable(verify(best.select(*ordered).distinct()))
+
+    def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
         """The pairs (u, v) of different groups."""
         x, y = (groups.select(F.col("node").alias("n" + m), F.col("component").alias("c" + m)) for m in "uv")
-        named = pairs_.join(x, pairs_["u"] == x["nu"], "left").join(y, F.col("v") == y["nv"], "left")
-        return named.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+        both = pairs.join(x, pairs["u"] == x["nu"], "left").join(y, F.col("v") == y["nv"], "left")
+        return both.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
 
-    more = led.select(F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v")).distinct()
-    links = durable(links.unionByName(verify(apart(more, components(links)))))
-    groups = components(links)
-    named = members.join(groups, members["id"] == groups["node"], "left").withColumn("g", F.coalesce("component", "id"))
-    # Leaders have been compared with all others.
-    named = named.where("id <> lo").drop("node", "component", "lo")
-    blocks = named.groupBy("key", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    mixed = blocks.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select(F.col("key").alias("_key"))
-    mixed = durable(mixed)
-    named = Membership(mixed, "_key").sieve(named, "key")
-    named = durable(named.join(mixed, named["key"] == mixed["_key"]).drop("_key"))
-    blocks = named.groupBy("key", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    a, b = (blocks.select(*[F.col(c).alias(m + c) for c in blocks.columns]) for m in ("a_", "b_"))
-    met = a.join(b, (a["a_key"] == b["b_key"]) & (a["a_g"] < b["b_g"]) & (a["a_most"] >= ratio * b["b_least"]) & (b["b_most"] >= ratio * a["a_least"]))
-    met = met.select(F.col("a_key").alias("k"), F.col("a_g").alias("ga"), F.col("b_g").alias("gb"))
-    attributes.append("g")
-    left, right = side(named, "a_"), side(named, "b_")
-    met = met.join(left, (met["k"] == left["a_key"]) & (met["ga"] == left["a_g"])).join(right, (F.col("k") == right["b_key"]) & (F.col("gb") == right["b_g"]))
-    links = durable(links.unionByName(verify(pairs(met))).distinct())
+    tried = best.select(*ordered)
+    others = asked.select(*ordered).distinct().join(tried, ["u", "v"], "left_anti")
+    links = durable(links.unionByName(verify(apart(others, components(links)))))
     groups = components(links)
-    if every:
-        groups = durable(groups)
-        inside = members.join(groups, members["id"] == groups["node"]).withColumnRenamed("component", "g")
-        left, right = side(inside, "a_"), side(inside, "b_")
-        met = left.join(right, (left["a_key"] == right["b_key"]) & (left["a_g"] == right["b_g"]) & (left["a_id"] < right["b_id"]))
-        links = durable(links.unionByName(verify(pairs(met).join(links, ["u", "v"], "left_anti"))))
-    return links, groups
+    # What is still apart, in the lists of several groups.
+    rest = members.join(groups, F.col("id") == F.col("node"), "left").withColumn("g", F.coalesce("component", "id")).drop("node", "component")
+    mixed = rest.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("number")).where("x <> y and number > 2").select(F.col("key").alias("_key"))
+    rest = durable(rest.join(mixed, F.col("key") == F.col("_key")).drop("_key").join(leaders, F.col("key") == F.col("_key")).where("id <> leader").drop("_key", "leader"))
+    a, b = side(rest, "a_"), side(rest, "b_")
+    met = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_g") != F.col("b_g")) & near)
+    links = durable(links.unionByName(verify(met.select(*ordered).distinct())))
+    return components(links)
