@@ -1,8 +1,11 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap, found exactly.
 
-Equal sets are one class. Every class indexes its rarest shingles, as many as any partner must
-share one of; pairs of a list are excluded by position and by size. Which pairs connect is decided
-first (see linking); for the number of links the pairs within each group follow. Remaining pairs are verified on whole sets.
+Equal sets are one class, named by its smallest doc_id. Every class indexes its rarest shingles, as
+many as any partner must share one of. Pairs of short lists are kept where their sizes, the positions
+of their first common shingle and the number of common ones leave room for a link. Each long list
+goes to its leader, the member of most shared lists: a leader's members are compared with it, and
+the answers of those that do not link with it are derived from its overlaps by the difference of the
+two sets. Members meet in blocks of bounded size, whatever the size of a list or a group.
 """
 
 from __future__ import annotations
@@ -17,12 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Membership, durable, text_or_empty
-from .linking import link
+from .components import components
+from .linking import led, shared_lists
 
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
-#: log2 of the frequency table's size: one entry per 2,000 shingles, within these bounds.
-TABLE_BITS = (16, 22)
-PART = 1 << 14
+#: Members of a list of which all pairs may be looked at.
+SHORT = 8
+#: Shingles of the members in a block.
+BLOCK = 1 << 20
+#: Frequent shingles that a task reports, that a task remembers, and that all tasks are told of.
+REPORTED, REMEMBERED, TOLD = 1 << 12, 1 << 17, 1 << 19
 
 
 def words(text: str, lower: bool) -> list[bytes]:
@@ -46,139 +53,272 @@ def shingle_set(text: str, k: int, lower: bool = True) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)))
 
 
-def _signed(values: np.ndarray) -> np.ndarray:
-    return values.view(np.int64)
-
-
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
 
-def sizes(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """Rows (doc_id, n, sig) per document and, with sig null, parts of each task's frequency table.
+class Frequent:
+    """Counts of the most frequent hashes seen, in bounded memory; counts may be too low, never too high."""
 
-    A part has the number of its first slot in n and the counts of PART slots from there.
-    """
+    def __init__(self) -> None:
+        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, own: np.ndarray) -> None:
+        self.waiting.append(own)
+        self.size += len(own)
+        if self.size >= 1 << 20:
+            self.settle()
+
+    def settle(self) -> None:
+        new, times = np.unique(np.concatenate([np.empty(0, np.uint64), *self.waiting]), return_counts=True)
+        self.waiting, self.size = [], 0
+        keys, at = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([self.counts, times]), minlength=len(keys)).astype(np.int64)
+        kept = np.flatnonzero(counts > 1)
+        if len(kept) > REMEMBERED:
+            kept = kept[np.argsort(-counts[kept], kind="stable")[:REMEMBERED]]
+            kept.sort()
+        self.keys, self.counts = keys[kept], counts[kept]
+
+    def most(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        self.settle()
+        at = np.argsort(-self.counts, kind="stable")[:number]
+        return self.keys[at], self.counts[at]
+
+
+def sizes(docs: DataFrame, k: int) -> DataFrame:
+    """Rows (doc_id, n, h0, h1) per document, h0 and h1 naming its set, and (key, number) of each task's frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, dtype=np.int64)
-        names = ["doc_id", "n", "sig", "counts"]
+        names, frequent = ["doc_id", "n", "h0", "h1", "key", "number"], Frequent()
         for batch in batches:
-            n, sig = [], []
+            n, h0, h1 = [], [], []
             for text in batch.column(1):
                 own = shingle_set(text.as_py(), k)
                 n.append(len(own))
-                sig.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63))
-                np.add.at(counts, (own >> np.uint64(64 - bits)).astype(np.int64), 1)
-            none = pa.nulls(len(n), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), none], names)
-        for first in range(0, len(counts) if counts.any() else 0, PART):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([first]), pa.nulls(1, pa.int64()), pa.array([counts[first : first + PART]], pa.list_(pa.int64()))], names)
+                name = xxhash.xxh3_128_intdigest(own.tobytes())
+                h0.append((name >> 64) - (1 << 63))
+                h1.append((name & ((1 << 64) - 1)) - (1 << 63))
+                frequent.add(own)
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, h0, h1)), none, none], names)
+        keys, counts = frequent.most(REPORTED)
+        none = pa.nulls(len(keys), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(keys.view(np.int64)), pa.array(counts)], names)
 
-    return _source(docs).mapInArrow(run, "doc_id long, n long, sig long, counts array<long>")
+    return _source(docs).mapInArrow(run, "doc_id long, n long, h0 long, h1 long, key long, number long")
 
 
-def prefixes(docs: DataFrame, k: int, threshold: Fraction, table: np.ndarray) -> DataFrame:
-    """(key, id, n, pos): each set's first shingles in order of frequency; id is the class."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    bits = len(table).bit_length() - 1
+def prefixes(docs: DataFrame, k: int, threshold: Fraction, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, id, n, pos): each document's first shingles, rare ones first; any fixed order would be exact."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = shared.value
         for batch in batches:
-            out = [[], [], [], []]
-            for text in batch.column(1):
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = shingle_set(text.as_py(), k)
                 n = len(own)
                 if not n:
                     continue
                 length = n - -(-n * threshold.numerator // threshold.denominator) + 1
-                common = shared.value[(own >> np.uint64(64 - bits)).astype(np.int64)]
+                common = np.zeros(n, dtype=np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    common = np.where(keys[at] == own, counts[at], 0)
                 first = own[np.lexsort((own, common))[:length]]
-                for column, value in zip(out, (_signed(first), np.full(length, xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)), np.full(length, n), np.arange(length))):
-                    column.append(np.asarray(value, dtype=np.int64))
+                for column, value in zip(out, (first.view(np.int64), np.full(length, doc_id), np.full(length, n), np.arange(length))):
+                    column.append(value)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["key", "id", "n", "pos"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(t) for c, t in zip(out, kinds)], ["key", "id", "n", "pos"])
 
-    return _source(docs).mapInArrow(run, "key long, id long, n long, pos long")
+    return _source(docs).mapInArrow(run, "key long, id long, n int, pos int")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(id, own) with the whole set of each wanted class; wanted: (id, rep), rep a doc_id of it."""
+def _gathered(starts: np.ndarray, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """data of all the given rows of a compressed table, one after another."""
+    lengths = starts[rows + 1] - starts[rows]
+    offsets = np.repeat(starts[rows] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
+    return data[offsets + np.arange(lengths.sum())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                own = [shingle_set(t.as_py(), k) for t in part.column(1)]
-                # Another text of a repeated doc_id is not this class.
-                same = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) == i for x, i in zip(own, part.column(0).to_pylist())]
-                rows = [(i, _signed(x)) for i, x, s in zip(part.column(0).to_pylist(), own, same) if s]
-                ids, sets = zip(*rows) if rows else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "own"])
-
-    wanted = durable(wanted)
-    found = Membership(wanted, "rep").sieve(_source(docs), "doc_id").join(wanted, F.col("doc_id") == F.col("rep"))
-    return found.select("id", "text").mapInArrow(run, "id long, own array<long>").dropDuplicates(["id"])
 
+def linked(sets: list[np.ndarray], roles: list[int], threshold: Fraction) -> tuple[list[tuple[int, int]], list[int]]:
+    """Pairs that connect what links among the sets, and the places of those not linked with the leader.
 
-def groups(docs: DataFrame, k: int = 3, percent: int = 90, count_links: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row; whole texts are read.
+    roles: 0 the leader, 1 a member, 2 one to be compared with all members but no other of its role.
+    Without a leader only role 2 asks.
+    """
+    lengths = np.array([len(s) for s in sets])
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(lengths)
+    own = [element[e - n : e] for e, n in zip(ends, lengths)]
+    holder = np.repeat(np.arange(len(sets)), lengths)[np.argsort(element, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(element))])
+    count = lambda elements: np.bincount(_gathered(starts, holder, elements), minlength=len(sets))
+    role, parent, links = np.array(roles), list(range(len(sets))), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def answers(i: int, common: np.ndarray) -> None:
+        union = lengths + lengths[i] - common
+        for j in np.flatnonzero((common * threshold.denominator >= union * threshold.numerator) & (role < 2)).tolist():
+            if root(i) != root(j):
+                parent[root(j)] = root(i)
+                links.append((i, j))
+
+    leaders = np.flatnonzero(role == 0)
+    if not len(leaders):
+        for i in np.flatnonzero(role == 2).tolist():
+            answers(i, count(own[i]))
+        return links, []
+    top = int(leaders[0])
+    base = count(own[top])
+    answers(top, base)
+    far = [i for i in range(len(sets)) if root(i) != root(top)]
+    in_top, in_own = np.zeros(len(starts) - 1, dtype=bool), np.zeros(len(starts) - 1, dtype=bool)
+    in_top[own[top]] = True
+    for i in far:
+        in_own[own[i]] = True
+        more, less = own[i][~in_top[own[i]]], own[top][~in_own[own[top]]]
+        in_own[own[i]] = False
+        answers(i, base + count(more) - count(less) if len(more) + len(less) < lengths[i] else count(own[i]))
+    return links, far
+
+
+def blocks(docs: DataFrame, wanted: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+    """(u, v, far) of every block; wanted: (id, leader, i, j, role, parts), a block being (leader, i, j).
+
+    Rows with far name, in u, the leader and, in v, a member that does not link with it, where the leader has several blocks.
+    """
 
-    Without count_links there is no n_links, and pairs that are connected already are not verified.
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["leader", "i", "j", "role", "parts", "id", "own"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+        for batch in batches:
+            out, size = [], 0
+            for doc_id, text, places in zip(*(c.to_pylist() for c in batch.columns)):
+                own = shingle_set(text, k).view(np.int64)
+                for p in places:
+                    out.append((p["leader"], p["i"], p["j"], p["role"], p["parts"], doc_id, own))
+                    size += len(own)
+                    if size > BLOCK:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(rows: list[tuple]) -> pa.RecordBatch:
+            # A repeated row of a document is there twice.
+            rows = list({(r[5], r[6].tobytes()): r for r in rows}.values())
+            links, far = linked([r[6] for r in rows], [r[3] for r in rows], threshold)
+            out = [(rows[a][5], rows[b][5], False) for a, b in links]
+            if rows[0][4] > 1:
+                out += [(rows[0][0], rows[i][5], True) for i in far]
+            u, v, is_far = zip(*out) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(is_far, pa.bool_())], ["u", "v", "far"])
+
+        key, rows = None, []
+        for batch in batches:
+            plain = [c.to_pylist() for c in batch.columns[:6]]
+            sets = batch.column(6)
+            starts, values = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
+            for r, x in enumerate(zip(*plain)):
+                if x[:3] != key:
+                    if rows:
+                        yield result(rows)
+                    key, rows = x[:3], []
+                rows.append((*x, values[starts[r] : starts[r + 1]].copy()))
+        if rows:
+            yield result(rows)
+
+    wanted = durable(wanted.groupBy("id").agg(F.collect_list(F.struct("leader", "i", "j", "role", "parts")).alias("places")))
+    near = Membership(wanted, "id").sieve(_source(docs), "doc_id").join(wanted, F.col("doc_id") == F.col("id"))
+    rows = near.select("doc_id", "text", "places").mapInArrow(sets_of, "leader long, i int, j int, role int, parts int, id long, own array<long>")
+    dealt = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+    return durable(dealt.mapInArrow(decide, "u long, v long, far boolean"))
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(h0, h1, rep, times, n) of each set; rep is the smallest doc_id with it."""
+    return rows.where("n > 0 and doc_id is not null").groupBy("h0", "h1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"), F.first("n").alias("n"))
+
+
+def links(known: DataFrame, classes: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(u, v): linked classes, by their rep, that connect all that links connect."""
+    threshold = Fraction(percent, 100)
+    near = Membership(classes, "rep").sieve(known, "doc_id")
+    members = durable(shared_lists(prefixes(near, k, threshold, frequent)).dropDuplicates(["key", "id", "n", "pos"]))
+    a, b = (members.where(F.col("number") <= SHORT).select(*[F.col(c).alias(m + c) for c in ("key", "id", "n", "pos")]) for m in ("a_", "b_"))
+    fits = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    met = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & fits)
+    met = met.groupBy("a_id", "b_id", "a_n", "b_n").agg(F.count("*").alias("common"), *[F.min(c).alias(c) for c in ("a_pos", "b_pos")])
+    # What prefixes do not share lies behind one of them; nothing common lies before the first common one.
+    rest = lambda c: F.floor((percent * F.col(c) + 99) / 100) - 1
+    most = F.least(F.col("common") + F.greatest(rest("a_n"), rest("b_n")), F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")))
+    # Pairs that share a long list too meet there.
+    pairs = met.where((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n")))
+    pairs = pairs.select(F.explode(F.array(F.struct(F.col("a_id").alias("leader"), F.col("a_id").alias("id"), F.col("a_n").alias("n")), F.struct(F.col("a_id").alias("leader"), F.col("b_id").alias("id"), F.col("b_n").alias("n")))).alias("x")).select("x.*")
+    leaders = led(members)
+    long = members.where(F.col("number") > SHORT).join(leaders, F.col("key") == F.col("_key")).select("leader", "id", "n")
+    asked = durable(pairs.unionByName(long).distinct())
+    parts = asked.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("parts")).withColumnRenamed("leader", "_leader")
+    asked = asked.join(parts, F.col("leader") == F.col("_leader")).withColumn("role", (F.col("id") != F.col("leader")).cast("int"))
+    # Every block has the leader.
+    own_block = F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")
+    i = F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own_block))).alias("i")
+    asked = durable(asked.select("id", "leader", i, F.lit(0).alias("j"), "role", "parts").distinct())
+    found = blocks(known, asked, k, threshold)
+    out = found.where("not far").select("u", "v")
+    far = found.where("far").select(F.col("u").alias("_leader"), F.col("v").alias("_id")).distinct()
+    if not far.isEmpty():
+        # Members not linked with their leader, in blocks of their own, meet the members of its other blocks.
+        cells = F.expr("explode(sequence(0, parts - 1))")
+        here = asked.where("role = 1").join(far.select(F.col("_leader").alias("_l")).distinct(), F.col("leader") == F.col("_l"))
+        members_there = here.select("id", "leader", "i", cells.alias("j"), F.lit(1).alias("role"), "parts").where("i <> j")
+        others = asked.join(far, (F.col("leader") == F.col("_leader")) & (F.col("id") == F.col("_id")))
+        others = others.select("id", "leader", cells.alias("i"), F.col("i").alias("j"), F.lit(2).alias("role"), "parts").where("i <> j")
+        out = out.unionByName(blocks(known, members_there.unionByName(others), k, threshold).select("u", "v"))
+    return out
+
+
+def groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; whole texts are read.
 
     Two documents link when their sets' intersection is at least `percent` of their union.
-    component_id is the smallest doc_id reachable by links, itself included; n_links counts linked
-    classes of other sets. Null and empty texts have no shingles and link with nothing, equal sets
-    always link; repeated rows stay; a null doc_id is not compared with others (its component is null).
+    component_id is the smallest doc_id reachable by links, itself included. Null and empty texts
+    have no shingles and link with nothing, equal sets always link; repeated rows stay, and texts of
+    one doc_id are one document; a null doc_id is not compared with others (its component is null).
     """
-    threshold = Fraction(percent, 100)
     docs = docs.select("doc_id", "text")
     known = docs.where(F.col("doc_id").isNotNull())
-    # Twice the Arrow estimate of a text's shingles decides the table's size: words are 6 bytes or so.
-    letters = known.agg(F.sum(F.length(text_or_empty()))).first()[0] or 0
-    bits = min(max((letters // 12_000).bit_length(), TABLE_BITS[0]), TABLE_BITS[1])
-    measured = durable(sizes(docs, k, bits))
-    table = np.zeros(1 << bits, dtype=np.int64)
-    parts = measured.where("sig is null").select("n", F.posexplode("counts").alias("i", "k")).groupBy((F.col("n") + F.col("i")).alias("slot")).agg(F.sum("k").alias("k")).toArrow()
-    table[parts["slot"].to_numpy()] = parts["k"].to_numpy()
-    rows = measured.where("sig is not null").drop("counts")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = durable(pairs)
-        if pairs.isEmpty():
-            return pairs
-        ends = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-        wanted = ends.join(classes, ends["id"] == classes["sig"]).select("id", "rep")
-        own = sets_of(known, wanted, k)
-        left = own.select(F.col("id").alias("u"), F.col("own").alias("own_u"))
-        right = own.select(F.col("id").alias("v"), F.col("own").alias("own_v"))
-        both = F.size(F.array_intersect("own_u", "own_v"))
-        joined = pairs.join(right, "v").join(left, "u").select("u", "v", both.alias("both"), (F.size("own_u") + F.size("own_v")).alias("all"))
-        return joined.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("u", "v")
-
-    def close(a, b):
-        # Position: what follows in the shorter rest bounds the overlap.
-        most = 1 + F.least(a("n") - a("pos") - 1, b("n") - b("pos") - 1)
-        return (100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))) & ((100 + percent) * most >= percent * (a("n") + b("n")))
-
-    def enough(common, n, m):
-        # What the prefixes do not share lies behind one of them.
-        rest = lambda x: F.floor((percent * x + 99) / 100) - 1
-        return (100 + percent) * (common + F.greatest(rest(n), rest(m))) >= percent * (n + m)
-
-    links, found = link(prefixes(known, k, threshold, table), close, verify, percent / 100, enough, every=count_links)
-    degree = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = classes.join(found, classes["sig"] == found["node"], "left").select("sig", "rep", F.coalesce("component", "sig").alias("component"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id")).withColumnRenamed("component", "_c")
-    named = named.join(least, named["component"] == least["_c"]).select(F.col("sig").alias("_sig"), "component_id")
-    named = named.join(degree, named["_sig"] == degree["node"], "left").select("_sig", "component_id", "n_links")
-    out = rows.join(named, (rows["sig"] == named["_sig"]) & (rows["n"] > 0) & rows["doc_id"].isNotNull(), "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out if count_links else out.drop("n_links")
+    measured = durable(sizes(docs, k))
+    told = measured.where("key is not null").groupBy("key").agg(F.sum("number").alias("number")).orderBy(F.desc("number"), "key").limit(TOLD).toArrow().sort_by("key")
+    keys, counts = told["key"].to_numpy().view(np.uint64), told["number"].to_numpy()
+    at = np.argsort(keys)
+    rows = measured.where("h0 is not null").select("doc_id", "n", "h0", "h1")
+    classes = durable(classes_of(rows))
+    found = components(links(known, classes, k, percent, (keys[at], counts[at])))
+    named = classes.join(found, F.col("rep") == F.col("node"), "left").where("times > 1 or component is not null")
+    named = durable(named.select(F.col("h0").alias("_h0"), F.col("h1").alias("_h1"), F.coalesce("component", "rep").alias("component_id")))
+    flagged = Membership(named, "_h0").flag(rows.withColumn("_known", (F.col("n") > 0) & F.col("doc_id").isNotNull()), "h0", "_near")
+    both = flagged.where("_near and _known").join(named, (F.col("h0") == F.col("_h0")) & (F.col("h1") == F.col("_h1")), "left")
+    out = both.select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = flagged.where("not (_near and _known)").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs (unique ids) without those linked to one of a smaller doc_id's component."""
-    dropped = groups(docs, k, percent, count_links=False).where("component_id <> doc_id").select(F.col("doc_id").alias("_drop"))
-    return docs.join(durable(dropped), docs["doc_id"] == F.col("_drop"), "left_anti")
+    dropped = durable(groups(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_drop")))
+    flagged = Membership(dropped, "_drop").flag(docs, "doc_id", "_near")
+    kept = flagged.where("_near").join(dropped, F.col("doc_id") == F.col("_drop"), "left_anti")
+    return kept.unionByName(flagged.where("not _near")).drop("_near")

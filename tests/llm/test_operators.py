@@ -100,13 +100,38 @@ def test_jaccard_join(docs):
     assert jaccard_join.groups(docs.limit(0)).count() == 0
 
 
-def test_jaccard_join_counts_every_link(spark):
-    base = [f"w{i}" for i in range(200)]
-    rows = [(i, " ".join([*base[: 20 * i], f"v{i}", *base[20 * i + 1 :]])) for i in range(6)] + [(9, " ".join(base[:190]))]
-    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
-    sets = {i: {tuple(w[a : a + 3]) for a in range(len(w) - 2)} for i, t in rows for w in [t.split()]}
-    assert got == {a: sum(a != b and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b]) for b in sets) for a in sets}
-    assert sum(got.values()) > 2 * len(rows)
+@pytest.mark.parametrize("block", [1 << 20, 700])
+def test_jaccard_join_of_many_near_copies(spark, monkeypatch, block):
+    """Long lists, also dealt into several blocks; many copies do not link with their leader."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(90)]
+        for i in range(25):
+            own = list(base)
+            for at in rng.integers(0, 90, rng.integers(0, 5)):
+                own[at] = f"v{rng.integers(3)}"
+            rows.append((len(rows), " ".join(own)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    expected = brute_groups(rows, 3, 90)
+    assert got == expected and 5 < len({c for _, c in expected.values()}) < 60
+
+
+def test_answers_by_difference_equal_whole_comparisons():
+    rng = np.random.default_rng(1)
+    base = np.arange(100, dtype=np.uint64)
+    sets = [base] + [np.unique(np.concatenate([np.delete(base, rng.integers(0, 100, 7)), rng.integers(200, 206, 4).astype(np.uint64)])) for _ in range(40)]
+    t = jaccard_join.Fraction(9, 10)
+    found, _ = jaccard_join.linked(sets, [0] + [1] * 40, t)
+    def closed(pairs):
+        of = list(range(41))
+        for _ in of:
+            for a, b in pairs:
+                of[a] = of[b] = min(of[a], of[b])
+        return of
+    near = [(a, b) for a in range(41) for b in range(a) if 10 * len(np.intersect1d(sets[a], sets[b])) >= 9 * len(np.union1d(sets[a], sets[b]))]
+    assert closed(found) == closed(near) and len(set(closed(near))) > 2
 
 
 def test_line_dedup(docs):
