@@ -26,8 +26,8 @@ from .linking import led, shared_lists
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 #: Members of a list of which all pairs may be looked at.
 SHORT = 8
-#: Shingles of the members in a block.
-BLOCK = 1 << 20
+#: Shingles of the members in a block; keys of the members of a leader that are told apart before.
+BLOCK, KEYS = 1 << 20, 1 << 16
 #: Frequent shingles that a task reports, that a task remembers, and that all tasks are told of.
 REPORTED, REMEMBERED, TOLD = 1 << 12, 1 << 17, 1 << 19
 
@@ -247,6 +247,59 @@ def blocks(docs: DataFrame, wanted: DataFrame, k: int, threshold: Fraction) -> D
     return durable(dealt.mapInArrow(decide, "u long, v long, far boolean"))
 
 
+def promising(members: DataFrame, percent: int) -> DataFrame:
+    """(leader, id, n) of the members of long lists that may link with another member of their leader.
+
+    members: key, id, n, number. Within a leader of at most KEYS keys in all, members are told apart by
+    the number of keys that each two have in common; of larger ones all members stay.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(leader: int, rows: list[tuple]) -> pa.RecordBatch:
+            n = np.array([r[0] for r in rows])
+            rest = -(-n * percent // 100) - 1
+            lengths = np.array([len(r[2]) for r in rows])
+            _, element = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
+            holder = np.repeat(np.arange(len(rows)), lengths)[np.argsort(element, kind="stable")]
+            starts = np.concatenate([[0], np.cumsum(np.bincount(element))])
+            kept, end = [], np.cumsum(lengths)
+            for i in range(len(rows)):
+                common = np.bincount(_gathered(starts, holder, element[end[i] - lengths[i] : end[i]]), minlength=len(rows))
+                room = (common > 0) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+                room &= (100 + percent) * (common + np.maximum(rest, rest[i])) >= percent * (n + n[i])
+                room[i] = False
+                if room.any():
+                    kept.append(i)
+            return pa.RecordBatch.from_arrays([pa.array([leader] * len(kept), pa.int64()), pa.array([rows[i][1] for i in kept], pa.int64()), pa.array(n[kept], pa.int32())], ["leader", "id", "n"])
+
+        key, rows = None, []
+        for batch in batches:
+            leader, ids, n = (c.to_pylist() for c in batch.columns[:3])
+            starts, values = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy()
+            for r in range(batch.num_rows):
+                if leader[r] != key:
+                    if rows:
+                        yield result(key, rows)
+                    key, rows = leader[r], []
+                rows.append((n[r], ids[r], values[starts[r] : starts[r + 1]].copy()))
+        if rows:
+            yield result(key, rows)
+
+    leaders = led(members)
+    long = members.where(F.col("number") > SHORT).join(leaders, F.col("key") == F.col("_key")).select("leader", "id", "n").distinct()
+    # All shared keys of a member count, whoever leads their lists.
+    held = members.groupBy("id", "n").agg(F.collect_list("key").alias("keys")).withColumnsRenamed({"id": "_id", "n": "_n"})
+    full = durable(long.join(held, (F.col("id") == F.col("_id")) & (F.col("n") == F.col("_n"))).select("leader", "id", "n", "keys"))
+    size = full.groupBy("leader").agg(F.sum(F.size("keys")).alias("_size")).withColumnRenamed("leader", "_leader")
+    sized = full.join(size, F.col("leader") == F.col("_leader"))
+    dealt = sized.where(F.col("_size") <= KEYS).select("leader", "id", "n", "keys").repartition("leader").sortWithinPartitions("leader")
+    found = dealt.mapInArrow(run, "leader long, id long, n int").unionByName(sized.where(F.col("_size") > KEYS).select("leader", "id", "n"))
+    # The leader stays where any member does.
+    found = durable(found)
+    first = found.select("leader").distinct().join(held, F.col("leader") == F.col("_id")).select("leader", F.col("_id").alias("id"), F.col("_n").alias("n"))
+    return found.unionByName(first)
+
+
 def classes_of(rows: DataFrame) -> DataFrame:
     """(h0, h1, rep, times, n) of each set; rep is the smallest doc_id with it."""
     return rows.where("n > 0 and doc_id is not null").groupBy("h0", "h1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"), F.first("n").alias("n"))
@@ -256,7 +309,7 @@ def links(known: DataFrame, classes: DataFrame, k: int, percent: int, frequent:
     """(u, v): linked classes, by their rep, that connect all that links connect."""
     threshold = Fraction(percent, 100)
     near = Membership(classes, "rep").sieve(known, "doc_id")
-    members = durable(shared_lists(prefixes(near, k, threshold, frequent)).dropDuplicates(["key", "id", "n", "pos"]))
+    members = durable(shared_lists(durable(prefixes(near, k, threshold, frequent))).dropDuplicates(["key", "id", "n", "pos"]))
     a, b = (members.where(F.col("number") <= SHORT).select(*[F.col(c).alias(m + c) for c in ("key", "id", "n", "pos")]) for m in ("a_", "b_"))
     fits = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
     met = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & fits)
@@ -266,10 +319,9 @@ def links(known: DataFrame, classes: DataFrame, k: int, percent: int, frequent:
     most = F.least(F.col("common") + F.greatest(rest("a_n"), rest("b_n")), F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")))
     # Pairs that share a long list too meet there.
     pairs = met.where((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n")))
-    pairs = pairs.select(F.explode(F.array(F.struct(F.col("a_id").alias("leader"), F.col("a_id").alias("id"), F.col("a_n").alias("n")), F.struct(F.col("a_id").alias("leader"), F.col("b_id").alias("id"), F.col("b_n").alias("n")))).alias("x")).select("x.*")
-    leaders = led(members)
-    long = members.where(F.col("number") > SHORT).join(leaders, F.col("key") == F.col("_key")).select("leader", "id", "n")
-    asked = durable(pairs.unionByName(long).distinct())
+    ends = [F.struct(F.col("a_id").alias("leader"), F.col(m + "id").alias("id"), F.col(m + "n").alias("n")) for m in ("a_", "b_")]
+    pairs = pairs.select(F.explode(F.array(*ends)).alias("x")).select("x.*")
+    asked = durable(pairs.unionByName(promising(members, percent)).distinct())
     parts = asked.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("parts")).withColumnRenamed("leader", "_leader")
     asked = asked.join(parts, F.col("leader") == F.col("_leader")).withColumn("role", (F.col("id") != F.col("leader")).cast("int"))
     # Every block has the leader.

@@ -104,6 +104,7 @@ def test_jaccard_join(docs):
 def test_jaccard_join_of_many_near_copies(spark, monkeypatch, block):
     """Long lists, also dealt into several blocks; many copies do not link with their leader."""
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "KEYS", block)
     rng = np.random.default_rng(9)
     rows = []
     for group in range(3):
