@@ -21,8 +21,8 @@ Pairs = Callable[[DataFrame], DataFrame]
 
 
 def shared_lists(postings: DataFrame) -> DataFrame:
-    """postings (key, id, ...) of the keys of at least two ids, with `number`, the members of the list."""
-    lists = postings.groupBy("key").agg(F.count("*").alias("number"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+    """postings (key, id, ...) of the keys of at least two rows, with `number`, the members of the list."""
+    lists = postings.groupBy("key").agg(F.count("*").alias("number")).where("number > 1")
     lists = durable(lists.select(F.col("key").alias("_key"), "number"))
     return Membership(lists, "_key").sieve(postings, "key").join(lists, F.col("key") == F.col("_key")).drop("_key")
 
