@@ -73,12 +73,13 @@ class Membership:
     of and a share of others that only matters for speed; beyond the bound it passes more, never less.
     """
 
-    def __init__(self, keys: DataFrame, column: str, most_bits: int = 25):
+    def __init__(self, keys: DataFrame, column: str, most_bits: int = 25, hashed: bool = False):
         import numpy as np
 
         n = max(1, keys.count())
         self.slots = 1 << min(max((16 * n).bit_length(), 16), most_bits)
-        slot = self._slot(column)
+        # A column of hashes is its own slot, modulo their number.
+        slot = F.pmod(F.col(column), F.lit(self.slots)) if hashed else self._slot(column)
         parts = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("w")).toArrow()
         words = np.zeros(self.slots >> 6, dtype=np.int64)
         words[parts["k"].to_numpy()] = parts["w"].to_numpy()

@@ -34,46 +34,32 @@ def led(members: DataFrame) -> DataFrame:
     return ranked.groupBy("key").agg(F.min(F.struct(-F.col("_times"), "id")).alias("x")).select(F.col("key").alias("_key"), F.col("x.id").alias("leader"))
 
 
-def link(postings: DataFrame, nodes: DataFrame, close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Pairs) -> DataFrame:
-    """(node, component) of the items that link with another; postings: key, id; nodes: id and what `close` reads.
+def link(members: DataFrame, close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Pairs) -> DataFrame:
+    """(node, component) of the items that link with another; members: key, id and what `close` reads, each once.
 
     close(a, b) is a condition on two items' columns that all links fulfil; verify turns pairs
     (u, v) into the linked ones.
     """
-    columns = [c for c in nodes.columns if c != "id"]
-    named = nodes.withColumnRenamed("id", "_node")
-    members = shared_lists(postings).drop("number")
-    members = durable(members.join(named, F.col("id") == F.col("_node")).drop("_node"))
+    columns = [c for c in members.columns if c not in ("key", "id")]
     leaders = durable(led(members))
-
-    def side(df: DataFrame, mark: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(mark + c) for c in df.columns])
-
     near = close(lambda c: F.col("a_" + c), lambda c: F.col("b_" + c))
     ordered = (F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v"))
-    first = leaders.select("leader").distinct().join(nodes, F.col("leader") == F.col("id")).select(F.col("id").alias("a_id"), *[F.col(c).alias("a_" + c) for c in columns])
-    asked = members.join(leaders, F.col("key") == F.col("_key")).where("id <> leader").groupBy("leader", "id").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in columns])
-    asked = asked.select("leader", "times", *[F.col(c).alias("b_" + c) for c in ("id", *columns)]).join(first, (F.col("leader") == F.col("a_id")) & near)
-    asked = durable(asked.select("a_id", "b_id", "times"))
-    # The leader of the most shared lists first; another one only if that leaves them apart.
-    best = asked.groupBy("b_id").agg(F.min(F.struct(-F.col("times"), "a_id")).alias("x")).select(F.col("x.a_id").alias("a_id"), "b_id")
-    links = durable(verify(best.select(*ordered).distinct()))
 
-    def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-        """The pairs (u, v) of different groups."""
-        x, y = (groups.select(F.col("node").alias("n" + m), F.col("component").alias("c" + m)) for m in "uv")
-        both = pairs.join(x, pairs["u"] == x["nu"], "left").join(y, F.col("v") == y["nv"], "left")
-        return both.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(mark + c) for c in df.columns])
 
-    tried = best.select(*ordered)
-    others = asked.select(*ordered).distinct().join(tried, ["u", "v"], "left_anti")
-    links = durable(links.unionByName(verify(apart(others, components(links)))))
+    follows = members.join(leaders, F.col("key") == F.col("_key"))
+    first = follows.where("id = leader").groupBy("leader").agg(*[F.min(c).alias("a_" + c) for c in columns]).withColumnRenamed("leader", "a_id")
+    asked = follows.where("id <> leader").groupBy("leader", "id").agg(*[F.min(c).alias(c) for c in columns])
+    asked = asked.select("leader", *[F.col(c).alias("b_" + c) for c in ("id", *columns)]).join(first, (F.col("leader") == F.col("a_id")) & near)
+    links = durable(verify(asked.select(*ordered).distinct()))
     groups = components(links)
-    # What is still apart, in the lists of several groups.
+    # What is still apart, in the lists of several groups; leaders have met all others.
     rest = members.join(groups, F.col("id") == F.col("node"), "left").withColumn("g", F.coalesce("component", "id")).drop("node", "component")
-    mixed = rest.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("number")).where("x <> y and number > 2").select(F.col("key").alias("_key"))
-    rest = durable(rest.join(mixed, F.col("key") == F.col("_key")).drop("_key").join(leaders, F.col("key") == F.col("_key")).where("id <> leader").drop("_key", "leader"))
+    rest = rest.join(leaders, F.col("key") == F.col("_key")).where("id <> leader").drop("_key", "leader")
+    mixed = rest.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select(F.col("key").alias("_key"))
+    rest = durable(rest.join(mixed, F.col("key") == F.col("_key")).drop("_key"))
     a, b = side(rest, "a_"), side(rest, "b_")
     met = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_g") != F.col("b_g")) & near)
-    links = durable(links.unionByName(verify(met.select(*ordered).distinct())))
-    return components(links)
+    more = verify(met.select(*ordered).distinct())
+    return groups if more.isEmpty() else components(links.unionByName(more))
