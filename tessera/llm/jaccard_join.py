@@ -29,7 +29,7 @@ SHORT = 8
 #: Shingles of the members in a block; keys of the members of a leader that are told apart before.
 BLOCK, KEYS = 1 << 20, 1 << 16
 #: Frequent shingles that a task reports, that a task remembers, and that all tasks are told of.
-REPORTED, REMEMBERED, TOLD = 1 << 12, 1 << 17, 1 << 19
+REPORTED, REMEMBERED, TOLD = 1 << 16, 1 << 18, 1 << 20
 
 
 def words(text: str, lower: bool) -> list[bytes]:
@@ -250,8 +250,8 @@ def blocks(docs: DataFrame, wanted: DataFrame, k: int, threshold: Fraction) -> D
 def promising(members: DataFrame, percent: int) -> DataFrame:
     """(leader, id, n) of the members of long lists that may link with another member of their leader.
 
-    members: key, id, n, number. Within a leader of at most KEYS keys in all, members are told apart by
-    the number of keys that each two have in common; of larger ones all members stay.
+    members: key, id, n, number. Members are told apart by the number of keys that each two of a
+    leader have in common, in cells of about 2 * KEYS keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,26 +274,29 @@ def promising(members: DataFrame, percent: int) -> DataFrame:
 
         key, rows = None, []
         for batch in batches:
-            leader, ids, n = (c.to_pylist() for c in batch.columns[:3])
-            starts, values = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy()
-            for r in range(batch.num_rows):
-                if leader[r] != key:
+            *cell, ids, n = (c.to_pylist() for c in batch.columns[:5])
+            starts, values = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
+            for r, at in enumerate(zip(*cell)):
+                if at != key:
                     if rows:
-                        yield result(key, rows)
-                    key, rows = leader[r], []
+                        yield result(key[0], rows)
+                    key, rows = at, []
                 rows.append((n[r], ids[r], values[starts[r] : starts[r + 1]].copy()))
         if rows:
-            yield result(key, rows)
+            yield result(key[0], rows)
 
     leaders = led(members)
     long = members.where(F.col("number") > SHORT).join(leaders, F.col("key") == F.col("_key")).select("leader", "id", "n").distinct()
     # All shared keys of a member count, whoever leads their lists.
     held = members.groupBy("id", "n").agg(F.collect_list("key").alias("keys")).withColumnsRenamed({"id": "_id", "n": "_n"})
     full = durable(long.join(held, (F.col("id") == F.col("_id")) & (F.col("n") == F.col("_n"))).select("leader", "id", "n", "keys"))
-    size = full.groupBy("leader").agg(F.sum(F.size("keys")).alias("_size")).withColumnRenamed("leader", "_leader")
+    size = full.groupBy("leader").agg(F.ceil(F.sum(F.size("keys")) / F.lit(KEYS)).cast("int").alias("_parts")).withColumnRenamed("leader", "_leader")
     sized = full.join(size, F.col("leader") == F.col("_leader"))
-    dealt = sized.where(F.col("_size") <= KEYS).select("leader", "id", "n", "keys").repartition("leader").sortWithinPartitions("leader")
-    found = dealt.mapInArrow(run, "leader long, id long, n int").unionByName(sized.where(F.col("_size") > KEYS).select("leader", "id", "n"))
+    # Members of a large leader meet in cells of two parts each.
+    part = F.pmod(F.xxhash64("id"), F.col("_parts").cast("long")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(F.least(part, j).alias("i"), F.greatest(part, j).alias("j")))
+    sized = sized.select("leader", "id", "n", "keys", F.explode(cells).alias("c")).select("leader", "c.i", "c.j", "id", "n", "keys")
+    found = sized.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(run, "leader long, id long, n int").distinct()
     # The leader stays where any member does.
     found = durable(found)
     first = found.select("leader").distinct().join(held, F.col("leader") == F.col("_id")).select("leader", F.col("_id").alias("id"), F.col("_n").alias("n"))

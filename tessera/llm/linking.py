@@ -28,8 +28,8 @@ def shared_lists(postings: DataFrame) -> DataFrame:
 
 
 def led(members: DataFrame) -> DataFrame:
-    """(key, leader) of each list: the member with the most shared lists, the smallest of several."""
-    counts = members.groupBy("id").agg(F.count("*").alias("_times")).withColumnRenamed("id", "_id")
+    """(key, leader) of each list: the member with the most shared lists for its size n, the smallest of several."""
+    counts = members.groupBy("id").agg((F.count("*") / F.max("n")).alias("_times")).withColumnRenamed("id", "_id")
     ranked = members.select("key", "id").join(counts, F.col("id") == F.col("_id"))
     return ranked.groupBy("key").agg(F.min(F.struct(-F.col("_times"), "id")).alias("x")).select(F.col("key").alias("_key"), F.col("x.id").alias("leader"))
 
