@@ -285,7 +285,7 @@ def promising(members: DataFrame, percent: int) -> DataFrame:
         if rows:
             yield result(key[0], rows)
 
-    leaders = led(members)
+    leaders = led(members, "n")
     long = members.where(F.col("number") > SHORT).join(leaders, F.col("key") == F.col("_key")).select("leader", "id", "n").distinct()
     # All shared keys of a member count, whoever leads their lists.
     held = members.groupBy("id", "n").agg(F.collect_list("key").alias("keys")).withColumnsRenamed({"id": "_id", "n": "_n"})

@@ -27,20 +27,20 @@ def shared_lists(postings: DataFrame) -> DataFrame:
     return Membership(lists, "_key").sieve(postings, "key").join(lists, F.col("key") == F.col("_key")).drop("_key")
 
 
-def led(members: DataFrame) -> DataFrame:
-    """(key, leader) of each list: the member with the most shared lists for its size n, the smallest of several."""
-    counts = members.groupBy("id").agg((F.count("*") / F.max("n")).alias("_times")).withColumnRenamed("id", "_id")
+def led(members: DataFrame, size: str | None = None) -> DataFrame:
+    """(key, leader) of each list: the member with the most shared lists (for its size), the smallest of several."""
+    times = F.count("*") / F.max(size) if size else F.count("*")
+    counts = members.groupBy("id").agg(times.alias("_times")).withColumnRenamed("id", "_id")
     ranked = members.select("key", "id").join(counts, F.col("id") == F.col("_id"))
     return ranked.groupBy("key").agg(F.min(F.struct(-F.col("_times"), "id")).alias("x")).select(F.col("key").alias("_key"), F.col("x.id").alias("leader"))
 
 
-def link(members: DataFrame, close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Pairs) -> DataFrame:
-    """(node, component) of the items that link with another; members: key, id and what `close` reads, each once.
+def link(members: DataFrame, nodes: DataFrame, close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Pairs) -> DataFrame:
+    """(node, component) of the items that link with another; members: key, id, each once; nodes: id and what `close` reads.
 
     close(a, b) is a condition on two items' columns that all links fulfil; verify turns pairs
-    (u, v) into the linked ones.
+    (u, v) into the linked ones. Items that are not among nodes link with none.
     """
-    columns = [c for c in members.columns if c not in ("key", "id")]
     leaders = durable(led(members))
     near = close(lambda c: F.col("a_" + c), lambda c: F.col("b_" + c))
     ordered = (F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v"))
@@ -48,18 +48,18 @@ def link(members: DataFrame, close: Callable[[Callable[[str], Column], Callable[
     def side(df: DataFrame, mark: str) -> DataFrame:
         return df.select(*[F.col(c).alias(mark + c) for c in df.columns])
 
-    follows = members.join(leaders, F.col("key") == F.col("_key"))
-    first = follows.where("id = leader").groupBy("leader").agg(*[F.min(c).alias("a_" + c) for c in columns]).withColumnRenamed("leader", "a_id")
-    asked = follows.where("id <> leader").groupBy("leader", "id").agg(*[F.min(c).alias(c) for c in columns])
-    asked = asked.select("leader", *[F.col(c).alias("b_" + c) for c in ("id", *columns)]).join(first, (F.col("leader") == F.col("a_id")) & near)
+    a, b = side(nodes, "a_"), side(nodes, "b_")
+    asked = members.join(leaders, F.col("key") == F.col("_key")).where("id <> leader").select("leader", "id").distinct()
+    asked = asked.join(b, F.col("id") == F.col("b_id")).join(a, (F.col("leader") == F.col("a_id")) & near)
     links = durable(verify(asked.select(*ordered).distinct()))
     groups = components(links)
     # What is still apart, in the lists of several groups; leaders have met all others.
     rest = members.join(groups, F.col("id") == F.col("node"), "left").withColumn("g", F.coalesce("component", "id")).drop("node", "component")
     rest = rest.join(leaders, F.col("key") == F.col("_key")).where("id <> leader").drop("_key", "leader")
     mixed = rest.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select(F.col("key").alias("_key"))
-    rest = durable(rest.join(mixed, F.col("key") == F.col("_key")).drop("_key"))
+    rest = rest.join(mixed, F.col("key") == F.col("_key")).drop("_key").join(nodes.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
+    rest = durable(rest)
     a, b = side(rest, "a_"), side(rest, "b_")
     met = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_g") != F.col("b_g")) & near)
-    more = verify(met.select(*ordered).distinct())
+    more = durable(verify(met.select(*ordered).distinct()))
     return groups if more.isEmpty() else components(links.unionByName(more))
