@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Membership, durable, text_or_empty
+from .common import Membership, durable, small_batches, text_or_empty, tidy
 from .components import components
 from .linking import led, shared_lists
 
@@ -29,7 +29,7 @@ SHORT = 8
 #: Shingles of the members in a block; keys of the members of a leader that are told apart before.
 BLOCK, KEYS = 1 << 20, 1 << 16
 #: Frequent shingles that a task reports, that a task remembers, and that all tasks are told of.
-REPORTED, REMEMBERED, TOLD = 1 << 16, 1 << 18, 1 << 20
+REPORTED, REMEMBERED, TOLD = 1 << 16, 1 << 17, 1 << 20
 
 
 def words(text: str, lower: bool) -> list[bytes]:
@@ -68,7 +68,7 @@ class Frequent:
     def add(self, own: np.ndarray) -> None:
         self.waiting.append(own)
         self.size += len(own)
-        if self.size >= 1 << 20:
+        if self.size >= 1 << 18:
             self.settle()
 
     def settle(self) -> None:
@@ -107,6 +107,7 @@ def sizes(docs: DataFrame, k: int) -> DataFrame:
         keys, counts = frequent.most(REPORTED)
         none = pa.nulls(len(keys), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(keys.view(np.int64)), pa.array(counts)], names)
+        tidy()
 
     return _source(docs).mapInArrow(run, "doc_id long, n long, h0 long, h1 long, key long, number long")
 
@@ -135,6 +136,7 @@ def prefixes(docs: DataFrame, k: int, threshold: Fraction, frequent: tuple[np.nd
             if out[0]:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(t) for c, t in zip(out, kinds)], ["key", "id", "n", "pos"])
+        tidy()
 
     return _source(docs).mapInArrow(run, "key long, id long, n int, pos int")
 
@@ -214,6 +216,7 @@ def blocks(docs: DataFrame, wanted: DataFrame, k: int, threshold: Fraction) -> D
                         out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+        tidy()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(rows: list[tuple]) -> pa.RecordBatch:
@@ -239,12 +242,14 @@ def blocks(docs: DataFrame, wanted: DataFrame, k: int, threshold: Fraction) -> D
                 rows.append((*x, values[starts[r] : starts[r + 1]].copy()))
         if rows:
             yield result(rows)
+        tidy()
 
     wanted = durable(wanted.groupBy("id").agg(F.collect_list(F.struct("leader", "i", "j", "role", "parts")).alias("places")))
     near = Membership(wanted, "id").sieve(_source(docs), "doc_id").join(wanted, F.col("doc_id") == F.col("id"))
     rows = near.select("doc_id", "text", "places").mapInArrow(sets_of, "leader long, i int, j int, role int, parts int, id long, own array<long>")
     dealt = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-    return durable(dealt.mapInArrow(decide, "u long, v long, far boolean"))
+    with small_batches(docs.sparkSession, 512):
+        return durable(dealt.mapInArrow(decide, "u long, v long, far boolean"))
 
 
 def promising(members: DataFrame, percent: int) -> DataFrame:
