@@ -16,8 +16,8 @@ POLICIES = ("keep_null", "impute_median", "impute_median_or_half")
 
 
 def finite(c: Column) -> Column:
-    """The value as a double, NaN and infinities as null."""
-    d = c.cast("double")
+    """The value as a double; NaN, infinities and what is no number as null."""
+    d = c.try_cast("double")
     return F.when(F.isnan(d) | (F.abs(d) == float("inf")), F.lit(None)).otherwise(d)
 
 
@@ -51,12 +51,59 @@ def robust_scale(df: DataFrame, column: str, out: str, lower_better: bool = Fals
     return base.withColumn(out, scaled).drop("_x", "_lo", "_hi")
 
 
-def closeness(df: DataFrame, column: str, out: str) -> DataFrame:
-    """1 - |x| / p95(|x|), clipped; 1 where that percentile is zero; null stays null."""
+def closeness(df: DataFrame, column: str, out: str, policy: str = "keep_null") -> DataFrame:
+    """1 - |x| / p95(|x|), clipped.
+
+    keep_null: null stays null, 1 where that percentile is zero. Otherwise nulls become the median
+    first, and 0.5 stands where the percentile is zero; all null stays null.
+    """
     base = df.withColumn("_x", F.abs(finite(F.col(column))))
+    if policy != "keep_null":
+        base = with_statistics(base, F.median("_x").alias("_m")).withColumn("_x", F.coalesce("_x", "_m")).drop("_m")
     base = with_statistics(base, F.percentile("_x", F.lit(0.95)).alias("_hi"))
-    value = F.when(F.col("_x").isNull(), F.lit(None).cast("double")).when(F.col("_hi") == 0, F.lit(1.0)).otherwise(clip(1 - F.col("_x") / F.nullif(F.col("_hi"), F.lit(0.0))))
-    return base.withColumn(out, value).drop("_x", "_hi")
+    return base.withColumn(out, _close(F.col("_x"), F.col("_hi"), policy)).drop("_x", "_hi")
+
+
+def _close(x: Column, high: Column, policy: str) -> Column:
+    flat = F.lit(1.0 if policy == "keep_null" else 0.5)
+    return F.when(x.isNull(), F.lit(None).cast("double")).when(high == 0, flat).otherwise(clip(1 - x / F.nullif(high, F.lit(0.0))))
+
+
+def scale_all(df: DataFrame, metrics: list[str], lower: list[str], centred: list[str], inferred: tuple[str, tuple[str, ...]], policy: str, prefix: str) -> DataFrame:
+    """df with each metric scaled to 0..1 under prefix + metric, all statistics from one aggregate.
+
+    Metrics in `lower` are better low, those in `centred` near zero. inferred: a reference and
+    metrics that are better low if the first of them rises with it over at least five pairs. With a
+    policy that imputes, medians come from one aggregate before. See robust_scale for the policies.
+    """
+    if not metrics:
+        return df
+    value = lambda m: F.abs(finite(F.col(f"`{m}`"))) if m in centred else finite(F.col(f"`{m}`"))
+    rows = df.withColumns({f"_x_{i}": value(m) for i, m in enumerate(metrics)})
+    if policy != "keep_null":
+        rows = with_statistics(rows, *[F.median(f"_x_{i}").alias(f"_m_{i}") for i in range(len(metrics))])
+        rows = rows.withColumns({f"_x_{i}": F.coalesce(f"_x_{i}", f"_m_{i}") for i in range(len(metrics))}).drop(*[f"_m_{i}" for i in range(len(metrics))])
+    statistics = [F.percentile(f"_x_{i}", F.array(F.lit(0.05), F.lit(0.95))).alias(f"_q_{i}") for i in range(len(metrics))]
+    reference, follow = inferred
+    follow = [m for m in follow if m in metrics]
+    guess = bool(follow) and reference in df.columns and follow[0] == inferred[1][0]
+    if guess:
+        x, y = finite(F.col(f"`{follow[0]}`")), finite(F.col(f"`{reference}`"))
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        rising = (F.count(x) >= 5) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0) & (F.covar_pop(x, y) > 0)
+        statistics.append(F.coalesce(rising, F.lit(False)).alias("_rising"))
+    rows = with_statistics(rows, *statistics)
+    out = {}
+    for i, m in enumerate(metrics):
+        x, low, high = F.col(f"_x_{i}"), F.get(f"_q_{i}", F.lit(0)), F.get(f"_q_{i}", F.lit(1))
+        if m in centred:
+            out[prefix + m] = _close(x, high, policy)
+            continue
+        ratio = clip((x - low) / F.nullif(high - low, F.lit(0.0)))
+        down = F.col("_rising") if guess and m in follow else F.lit(m in lower)
+        scaled = F.when(x.isNull(), F.lit(None).cast("double")).when(high == low, F.lit(0.5)).otherwise(F.when(down, 1 - ratio).otherwise(ratio))
+        out[prefix + m] = F.coalesce(scaled, F.lit(0.5)) if policy == "impute_median_or_half" else scaled
+    return rows.withColumns(out).drop("_rising", *[f"_{c}_{i}" for i in range(len(metrics)) for c in "xq"])
 
 
 def lower_is_better(df: DataFrame, column: str, reference: str, least_pairs: int = 5) -> DataFrame:

@@ -6,18 +6,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def starts(text: Column, pattern: str) -> Column:
+    """Struct array (start, hit) of every position where the pattern matches, overlapping ones too, in one pass.
+
+    The pattern is tried ahead of each position, whatever the case, so the text is not copied; a
+    start is the length of what lies between matches so far. Matches of no length are left out.
+    """
+    ahead = f"(?i)(?=({pattern}))"
+    hits = F.regexp_extract_all(text, F.lit(ahead), F.lit(1))
+    # What a character-wise split leaves between two starts has their distance as length.
+    pieces = F.split(F.regexp_replace(text, ahead, "\u0001"), "\u0001", -1)
+    ends = F.aggregate(
+        F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))),
+        F.array().cast("array<int>"),
+        lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(p))),
+    )
+    both = F.transform(hits, lambda h, i: F.struct((F.get(ends, i) + 1).alias("start"), h.alias("hit")))
+    return F.filter(both, lambda x: F.length(x["hit"]) > 0)
+
+
+def valid_pattern(pattern: str) -> bool:
+    """Whether the pattern compiles; bad ones are left out of a scan with a warning."""
+    import re
+    import warnings
+
+    try:
+        re.compile(pattern)
+    except re.error as fault:
+        warnings.warn(f"pattern {pattern!r} is left out: {fault}", stacklevel=2)
+        return False
+    return True
+
+
 def overlapping(df: DataFrame, text: str, pattern: str, out: str = "hit") -> DataFrame:
-    """One row per start at which the pattern matches, overlapping ones included: start, end, match."""
-    at = F.expr(f"explode(sequence(1, greatest(length({text}), 1)))")
-    rows = df.withColumn("start", at)
-    rows = rows.withColumn(out, F.regexp_extract(F.expr(f"substring({text}, start)"), f"^(?:{pattern})", 0))
-    return rows.where(F.length(out) > 0).withColumn("end", F.col("start") + F.length(out) - 1)
+    """One row per start at which the pattern matches, overlapping ones included: start, end, match.
+
+    Case does not matter. A pattern that does not compile gives no rows and a warning.
+    """
+    if not valid_pattern(pattern):
+        return df.select("*", F.lit(1).alias("start"), F.lit("").alias(out), F.lit(0).alias("end")).where(F.lit(False))
+    rows = df.withColumn("_x", F.explode(starts(F.col(text), pattern)))
+    return rows.withColumns({"start": F.col("_x.start"), out: F.col("_x.hit")}).withColumn("end", F.col("start") + F.length(out) - 1).drop("_x")
 
 
 def literal(df: DataFrame, text: str, motif: str, out: str = "hit") -> DataFrame:
     """Overlapping occurrences of a literal string."""
-    at = F.expr(f"explode(sequence(1, greatest(length({text}), 1)))")
-    return df.withColumn("start", at).withColumn(out, F.lit(motif)).where(F.expr(f"substring({text}, start, {len(motif)})") == motif).withColumn("end", F.col("start") + len(motif) - 1)
+    quoted = "".join(c if c.isalnum() else "\\" + c for c in motif)
+    rows = df.withColumn("_x", F.explode(F.filter(starts(F.col(text), quoted), lambda x: F.col(text).substr(x["start"], F.lit(len(motif))) == motif)))
+    return rows.withColumns({"start": F.col("_x.start"), out: F.lit(motif)}).withColumn("end", F.col("start") + len(motif) - 1).drop("_x")
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Struct array (start, hit) of the non-overlapping matches from the left; those of no length are left out."""
+    hits, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    ends = F.aggregate(
+        F.transform(hits, lambda h, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(h).alias("size"))),
+        F.array().cast("array<struct<start:int,end:int>>"),
+        lambda a, p: F.concat(a, F.array(F.struct((F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0)) + p["gap"] + 1).alias("start"), (F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0)) + p["gap"] + p["size"]).alias("end")))),
+    )
+    return F.filter(F.transform(hits, lambda h, i: F.struct(F.get(ends, i)["start"].alias("start"), h.alias("hit"))), lambda x: F.length(x["hit"]) > 0)
 
 
 def successive(text: Column, pattern: str) -> Column:

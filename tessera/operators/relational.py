@@ -71,3 +71,8 @@ def moving_max(df: DataFrame, keys: list[str], order: list[str], value: str, wid
     ahead = by.rowsBetween(0, width - 1)
     rows = df.select(*keys, F.row_number().over(by).alias("pos"), F.avg(value).over(ahead).alias("mean"), F.count("*").over(ahead).alias("n")).where(F.col("n") == width)
     return rows.groupBy(*keys).agg(F.max("mean").alias("best"), F.max_by("pos", F.struct("mean", -F.col("pos"))).cast("int").alias("start"))
+
+
+def carried(df: DataFrame, keys: list[str], order: list[str], column: str, out: str) -> DataFrame:
+    """Per group the last value of the column that is not null, up to each row."""
+    return df.withColumn(out, F.last(column, ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))

@@ -33,6 +33,15 @@ def series(df: DataFrame, keys: list[str], order: list[str], value: str) -> Data
     )
 
 
+def slices(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Per group: rows, and population deviations of the first and last fifth (at least three rows; none below five rows)."""
+    by = W.partitionBy(*keys)
+    rows = df.withColumns({"_i": F.row_number().over(by.orderBy(*order)), "_n": F.count("*").over(by)})
+    rows = rows.withColumn("_k", F.greatest(F.lit(3), F.floor(F.col("_n") * 0.2)))
+    part = lambda c: F.stddev_pop(F.when((F.col("_n") >= 5) & c, F.col(value)))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), part(F.col("_i") <= F.col("_k")).alias("first_std"), part(F.col("_i") > F.col("_n") - F.col("_k")).alias("last_std"))
+
+
 def trimmed_mean(df: DataFrame, keys: list[str], value: str, share: float = 0.1) -> DataFrame:
     """Mean without the floor(n * share) least and greatest values of each group."""
     by = W.partitionBy(*keys)
@@ -41,14 +50,20 @@ def trimmed_mean(df: DataFrame, keys: list[str], value: str, share: float = 0.1)
     return rows.where((F.col("_i") > cut) & (F.col("_i") <= F.col("_n") - cut)).groupBy(*keys).agg(F.avg(value).alias("trimmed"), F.max("_n").alias("n"))
 
 
-def column_profile(df: DataFrame, text: str, width: int) -> DataFrame:
+def column_profile(df: DataFrame, text: str) -> DataFrame:
     """Per position of aligned strings: rows, greatest share of one character, entropy in bits."""
-    chars = df.select(F.posexplode(F.split(F.expr(f"substring({text}, 1, {width})"), "")).alias("pos", "c")).where("c <> ''")
+    chars = df.select(F.posexplode(F.split(text, "")).alias("pos", "c")).where("c <> ''")
     counts = chars.groupBy("pos", "c").agg(F.count("*").alias("k"))
     total = counts.groupBy("pos").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.sum(F.col("k") * F.log2("k")).alias("s"))
     return total.select((F.col("pos") + 1).alias("pos"), "n", (F.col("most") / F.col("n")).alias("frequency"), (F.log2("n") - F.col("s") / F.col("n")).alias("entropy"))
 
 
+def column_counts(df: DataFrame, text: str, letters: str, gaps: str = "-.") -> DataFrame:
+    """Per position of aligned strings: rows, gaps, and the number of each letter (whatever its case)."""
+    chars = df.select(F.posexplode(F.split(F.upper(text), "")).alias("pos", "c")).where("c <> ''")
+    return chars.groupBy((F.col("pos") + 1).alias("pos")).agg(F.count("*").alias("n"), F.count_if(F.col("c").isin(*gaps)).alias("gaps"), *[F.count_if(F.col("c") == x).alias(x) for x in letters])
+
+
 def pivot(df: DataFrame, rows: str, columns: str, values: Sequence[str], value: str) -> DataFrame:
     """Mean of value by row and the stated column values."""
     return df.groupBy(rows).pivot(columns, list(values)).agg(F.avg(value))

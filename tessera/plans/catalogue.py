@@ -67,22 +67,22 @@ MOTIFS = (("pair", "th[a-z]"), ("glyco", "n[^e][st]"), ("double", "(?:ee|oo|ss)"
 MOTIF_SQL = " UNION ALL ".join(f"SELECT '{k}' motif, '^(?:{p})' p" for k, p in MOTIFS)
 
 
-@query(f"SELECT item_id, motif, CAST(s AS int) AS start, CAST(s + length(h) - 1 AS int) AS \"end\", h hit FROM (SELECT item_id, motif, s, regexp_extract(substring(t, s), p) h FROM (SELECT item_id, motif, p, substring(text, 1, 200) t, unnest(range(1, CAST(length(substring(text, 1, 200)) AS bigint) + 1)) s FROM benchmark, ({MOTIF_SQL}))) WHERE h <> ''")
+@query(f"SELECT item_id, motif, CAST(s AS int) AS start, CAST(s + length(h) - 1 AS int) AS \"end\", h hit FROM (SELECT item_id, motif, s, regexp_extract(substring(t, s), p, 0, 'i') h FROM (SELECT item_id, motif, p, text t, unnest(range(1, CAST(length(text) AS bigint) + 1)) s FROM benchmark, ({MOTIF_SQL}))) WHERE h <> ''")
 def ann_motif_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = table(spark, sf_dir, "benchmark").select("item_id", F.expr("substring(text, 1, 200)").alias("t"))
+    text = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
     found = [scan.overlapping(text, "t", p).select("item_id", F.lit(k).alias("motif"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "hit") for k, p in MOTIFS]
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-@query("SELECT item_id, CAST(s AS int) AS start FROM (SELECT item_id, substring(text, 1, 200) t, unnest(range(1, CAST(length(substring(text, 1, 200)) AS bigint) + 1)) s FROM benchmark) WHERE substring(t, s, 2) = 'ee'")
+@query("SELECT item_id, CAST(s AS int) AS start FROM (SELECT item_id, text t, unnest(range(1, CAST(length(text) AS bigint) + 1)) s FROM benchmark) WHERE substring(t, s, 2) = 'ee'")
 def ann_literal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = table(spark, sf_dir, "benchmark").select("item_id", F.expr("substring(text, 1, 200)").alias("t"))
+    text = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
     return scan.literal(text, "t", "ee").select("item_id", F.col("start").cast("int").alias("start"))
 
 
-@query("SELECT item_id, array_to_string(regexp_extract_all(substring(text, 1, 200), 'th[a-z]'), ';') hits FROM benchmark")
+@query("SELECT item_id, array_to_string(regexp_extract_all(text, 'th[a-z]'), ';') hits FROM benchmark")
 def ann_regex_nonoverlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(scan.successive(F.expr("substring(text, 1, 200)"), "th[a-z]"), ";").alias("hits"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(scan.successive(F.col("text"), "th[a-z]"), ";").alias("hits"))
 
 
 @query("SELECT d.lang, count(*) n, round(avg(d.n_chars), 2) mean_length, CAST(sum(coalesce(l.toxic, 0)) AS bigint) flagged, count(l.doc_id) labelled FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
@@ -92,9 +92,9 @@ def ann_family_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 2).alias("mean_length"), F.sum(F.coalesce("toxic", F.lit(0))).cast("bigint").alias("flagged"), F.count("seen").alias("labelled"))
 
 
-@query("WITH c AS (SELECT pos, c, count(*) k FROM (SELECT i pos, substring(text, i, 1) c FROM (SELECT text, unnest(range(1, 31)) i FROM benchmark)) WHERE c <> '' GROUP BY 1, 2) SELECT CAST(pos AS int) AS pos, CAST(sum(k) AS bigint) n, round(max(k) / sum(k), 6) frequency, round(log2(sum(k)) - sum(k * log2(k)) / sum(k), 6) entropy FROM c GROUP BY 1")
+@query("WITH c AS (SELECT pos, c, count(*) k FROM (SELECT i pos, substring(text, i, 1) c FROM (SELECT text, unnest(range(1, CAST(length(text) AS bigint) + 1)) i FROM benchmark)) WHERE c <> '' GROUP BY 1, 2) SELECT CAST(pos AS int) AS pos, CAST(sum(k) AS bigint) n, round(max(k) / sum(k), 6) frequency, round(log2(sum(k)) - sum(k * log2(k)) / sum(k), 6) entropy FROM c GROUP BY 1")
 def ann_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(summaries.column_profile(table(spark, sf_dir, "benchmark"), "text", 30), "pos", "n")
+    return rounded(summaries.column_profile(table(spark, sf_dir, "benchmark"), "text"), "pos", "n")
 
 
 @query("WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) p, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) q FROM events), b AS (SELECT *, sum(CASE WHEN q = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY p) r FROM a) SELECT user_id, event_type, CAST(min(p) AS int) AS start, CAST(max(p) AS int) AS \"end\", CAST(count(*) AS int) length FROM b GROUP BY user_id, event_type, r")
@@ -206,10 +206,10 @@ def sel_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(best).groupBy("part").agg(F.array_join(F.array_sort(F.collect_set("why")), ";").alias("classes"))
 
 
-@query("WITH c AS (SELECT c_nationkey k, round(avg(c_acctbal), 6) bal, count(*) n_c FROM customer WHERE c_nationkey < 15 GROUP BY 1), s AS (SELECT s_nationkey k, round(avg(s_acctbal), 6) bal, count(*) n_s FROM supplier WHERE s_nationkey > 5 GROUP BY 1) SELECT coalesce(c.k, s.k) k, coalesce(c.bal, s.bal) bal, n_c, n_s FROM c FULL JOIN s ON c.k = s.k")
+@query("WITH c AS (SELECT c_nationkey k, round(avg(c_acctbal), 6) bal, count(*) n_c FROM customer GROUP BY 1), s AS (SELECT s_nationkey k, round(avg(s_acctbal), 6) bal, count(*) n_s FROM supplier GROUP BY 1) SELECT coalesce(c.k, s.k) k, coalesce(c.bal, s.bal) bal, n_c, n_s FROM c FULL JOIN s ON c.k = s.k")
 def sel_outer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("k")).agg(r6(F.avg("c_acctbal")).alias("bal"), F.count("*").alias("n_c"))
-    s = table(spark, sf_dir, "supplier").where("s_nationkey > 5").groupBy(F.col("s_nationkey").alias("k")).agg(r6(F.avg("s_acctbal")).alias("bal"), F.count("*").alias("n_s"))
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(r6(F.avg("c_acctbal")).alias("bal"), F.count("*").alias("n_c"))
+    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(r6(F.avg("s_acctbal")).alias("bal"), F.count("*").alias("n_s"))
     return relational.outer_coalesce(c, s, "k").select("k", "bal", "n_c", "n_s")
 
 
@@ -317,3 +317,6 @@ def clu_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def clu_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clusters(spark, sf_dir, "density", 1.0)
+
+
+from . import extended  # noqa: E402, F401  its queries register themselves

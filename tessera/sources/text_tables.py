@@ -25,13 +25,86 @@ def number(c: Column) -> Column:
     return c.try_cast("double")
 
 
-def fasta(whole: DataFrame) -> DataFrame:
-    """(path, seq_id, description, sequence): upper case, blanks and stars dropped, empty ones left out."""
+def sheet(spark: SparkSession, path: str, required: tuple[str, ...], filled: tuple[str, ...] = ()) -> DataFrame:
+    """A tab-separated table with a header; missing columns, and empty cells in `filled`, raise."""
+    df = spark.read.csv(path, sep="\t", header=True)
+    missing = [c for c in required if c not in df.columns]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    for c in filled:
+        df = df.withColumn(c, F.when(F.trim(c) != "", F.col(c)).otherwise(F.raise_error(F.lit(f"empty {c}"))))
+    return df
+
+
+def samples(spark: SparkSession, path: str) -> DataFrame:
+    """(species, fasta, domtblout): the sample sheet, relative paths below its folder."""
+    folder = path.rsplit("/", 1)[0] if "/" in path else "."
+    df = sheet(spark, path, ("species", "fasta"), ("species", "fasta"))
+    if "domtblout" not in df.columns:
+        df = df.withColumn("domtblout", F.lit(None).cast("string"))
+    whole = lambda c: F.when(F.col(c).rlike("^(/|[a-z0-9]+:)"), F.col(c)).when(F.trim(c) != "", F.concat(F.lit(folder + "/"), F.trim(c)))
+    return df.select(F.trim("species").alias("species"), whole("fasta").alias("fasta"), whole("domtblout").alias("domtblout"))
+
+
+def families(spark: SparkSession, path: str) -> DataFrame:
+    """(family, accession) of the domain map, accessions without their version."""
+    df = sheet(spark, path, ("Family", "Pfam"), ("Family", "Pfam"))
+    return df.select(F.trim("Family").alias("family"), F.substring_index(F.trim("Pfam"), ".", 1).alias("accession")).distinct()
+
+
+def table_file(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A table whose separator is told from its first line: tab, else semicolon, else comma; with a schema there is no header."""
+    first = spark.read.text(path).first()
+    line = first[0] if first else ""
+    mark = max("\t;,", key=lambda c: (line.count(c), c == ","))
+    return spark.read.csv(path, sep=mark, schema=schema) if schema else spark.read.csv(path, sep=mark, header=True, inferSchema=True)
+
+
+#: The columns of a structure search result.
+SEARCH = "query string, target string, alntmscore double, lddt double, evalue double, bits double, prob double"
+
+
+def fasta_paths(spark: SparkSession, given: list[str], folders: list[str], suffixes: tuple[str, ...] = (".fasta", ".fa", ".faa")) -> list[str]:
+    """The given paths, then the FASTA files of the folders by name, each once; what does not exist is left out."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf, out = spark._jsc.hadoopConfiguration(), []
+    for p in given:
+        path = fs.Path(p)
+        if path.getFileSystem(conf).exists(path):
+            out.append(p)
+    for folder in folders:
+        path = fs.Path(folder)
+        system = path.getFileSystem(conf)
+        if system.exists(path):
+            names = sorted(s.getPath().getName() for s in system.listStatus(path) if s.isFile())
+            out += [f"{folder.rstrip('/')}/{n}" for n in names if n.lower().endswith(suffixes)]
+    return list(dict.fromkeys(out))
+
+
+def motif_library(df: DataFrame, order: str) -> DataFrame:
+    """(section, motif_id, pattern, region) of a motif table in which rows of one filled cell head a section.
+
+    df: family, motif_id, pattern, region and an order column; a row without id and pattern names the
+    section of those after it. A row's own family goes before its section's.
+    """
+    head = F.coalesce(F.trim("motif_id"), F.lit("")).eqNullSafe("") & F.coalesce(F.trim("pattern"), F.lit("")).eqNullSafe("")
+    section = F.last(F.when(head, F.nullif(F.trim("family"), F.lit(""))), ignorenulls=True).over(W.orderBy(order))
+    rows = df.withColumns({"_head": head, "_section": section}).where("not _head")
+    return rows.select(F.coalesce(F.nullif(F.trim("family"), F.lit("")), "_section").alias("section"), F.trim("motif_id").alias("motif_id"), F.trim("pattern").alias("pattern"), F.trim("region").alias("region"))
+
+
+def fasta(whole: DataFrame, strict: bool = False) -> DataFrame:
+    """(path, seq_id, description, sequence): upper case, blanks and stars dropped, empty ones left out; strict: a file without any raises."""
     records = whole.select("path", F.explode(F.filter(F.split("value", "(?m)^>"), lambda r: F.trim(r) != "")).alias("r"))
     header = F.split("r", "\r?\n", 2)
     sequence = F.upper(F.regexp_replace(F.coalesce(F.get(header, F.lit(1)), F.lit("")), "[\\s*]", ""))
     rows = records.select("path", F.trim(header[0]).alias("description"), sequence.alias("sequence"))
-    return rows.select("path", F.split("description", "\\s+")[0].alias("seq_id"), "description", "sequence").where("sequence <> ''")
+    rows = rows.select("path", F.split("description", "\\s+")[0].alias("seq_id"), "description", "sequence").where("sequence <> ''")
+    if strict:
+        empty = whole.select("path").join(rows.select("path").distinct(), "path", "left_anti").first()
+        if empty:
+            raise ValueError(f"no sequence in {empty[0]}")
+    return rows
 
 
 def domain_hits(rows: DataFrame) -> DataFrame:
@@ -44,11 +117,35 @@ def domain_hits(rows: DataFrame) -> DataFrame:
 
 
 def signal_peptides(rows: DataFrame) -> DataFrame:
-    """(id, prediction, cut): the second position of `CS pos: a-b`, else null."""
-    f = F.split("value", "\t")
-    cut = F.regexp_extract("value", "(?i)CS\\s*pos:\\s*(\\d+)\\s*-\\s*(\\d+)", 2)
-    kept = rows.where((F.trim("value") != "") & ~F.col("value").startswith("#") & (F.size(f) > 1))
-    return kept.select(F.trim(f[0]).alias("id"), F.trim(f[1]).alias("prediction"), F.nullif(cut, F.lit("")).cast("int").alias("cut"))
+    """(id, prediction, found, cut) of tab-separated lines, else of lines split at white space.
+
+    cut is the residue after the cleavage, which the last field gives as a pair joined by a dash;
+    found is whether the prediction names a signal.
+    """
+    kept = rows.where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    f = F.when(F.col("value").contains("\t"), F.split("value", "\t")).otherwise(F.split(F.trim("value"), "\\s+"))
+    kept = kept.withColumn("f", F.transform(f, lambda x: F.trim(x))).where(F.size("f") > 1)
+    site = F.filter(F.split(F.lower(F.array_join("f", " ")), "[\\s:.]+"), lambda x: x.contains("-") & F.get(F.split(x, "-"), F.lit(0)).try_cast("int").isNotNull())
+    after = F.get(F.split(F.get(site, F.lit(0)), "-"), F.lit(1)).try_cast("int")
+    label = F.get("f", F.lit(1))
+    return kept.select(F.get("f", F.lit(0)).alias("id"), label.alias("prediction"), (F.upper(label).startswith("SP") | F.upper(label).contains("SIGNAL")).alias("found"), F.when(F.lower("value").contains("cs pos"), after).alias("cut"))
+
+
+def membrane_calls(rows: DataFrame) -> DataFrame:
+    """(id, ranges) of lines whose first field is an id: every a-b or a..b pair of positions; none is an empty list."""
+    kept = rows.where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    pair = r"\b(\d+)(?:-|\.\.)(\d+)\b"
+    first, last = (F.regexp_extract_all("value", F.lit(pair), F.lit(i)) for i in (1, 2))
+    ranges = F.transform(F.arrays_zip(first.alias("a"), last.alias("b")), lambda x: F.struct(x["a"].cast("int").alias("start"), x["b"].cast("int").alias("end")))
+    return kept.select(F.split(F.trim("value"), "[\\s,;]+")[0].alias("id"), ranges.alias("ranges"))
+
+
+def feature_lines(rows: DataFrame, kinds: tuple[str, ...] = ("TMhelix", "signal")) -> DataFrame:
+    """(id, kind, start, end) of GFF-like lines: id, kind and two positions between tabs or blanks; other lines are skipped."""
+    f = F.split(F.trim("value"), "\\s+")
+    kept = rows.where(~F.trim("value").startswith("#") & F.lower(F.get(f, F.lit(1))).isin(*[k.lower() for k in kinds]))
+    at = lambda i: F.get(f, F.lit(i)).try_cast("int")
+    return kept.select(f[0].alias("id"), f[1].alias("kind"), at(2).alias("start"), at(3).alias("end")).where("start is not null and end is not null")
 
 
 def topologies(whole: DataFrame) -> DataFrame:
@@ -60,18 +157,72 @@ def topologies(whole: DataFrame) -> DataFrame:
 
 
 def series(rows: DataFrame) -> DataFrame:
-    """(path, line_no, column, value) of XVG files; headers and lines that are no numbers are skipped."""
-    kept = rows.where((F.trim("value") != "") & ~F.col("value").rlike("^\\s*[#@]"))
-    values = F.transform(F.split(F.trim("value"), "\\s+"), number)
-    kept = kept.select("path", "line_no", values.alias("v")).where(~F.exists("v", lambda x: x.isNull()))
-    return kept.select("path", "line_no", F.posexplode("v").alias("column", "value"))
+    """(path, line_no, column, name, value) of XVG files; headers and lines without numbers are skipped.
+
+    Short lines are filled with null. The first column is time; a legend names the others, else y1, y2, ...
+    """
+    legend = F.split("value", '"')
+    number_ = F.split(F.trim("value"), "\\s+")
+    named = rows.where(F.trim("value").startswith("@") & F.get(number_, F.lit(2)).eqNullSafe("legend") & F.get(number_, F.lit(1)).startswith("s"))
+    named = named.select(F.col("path").alias("_path"), (F.substring(F.get(number_, F.lit(1)), 2, 9).try_cast("int") + 1).alias("_column"), F.get(legend, F.lit(1)).alias("_name"))
+    kept = rows.where((F.trim("value") != "") & ~F.ltrim("value").startswith("#") & ~F.ltrim("value").startswith("@"))
+    kept = kept.select("path", "line_no", F.transform(number_, number).alias("v")).where(~F.exists("v", lambda x: x.isNull()))
+    widest = kept.groupBy(F.col("path").alias("_p")).agg(F.max(F.size("v")).alias("_w"))
+    filled = kept.join(widest, F.col("path") == F.col("_p")).select("path", "line_no", F.posexplode(F.concat("v", F.array_repeat(F.lit(None).cast("double"), F.col("_w") - F.size("v")))).alias("column", "value"))
+    both = filled.join(named, (F.col("path") == F.col("_path")) & (F.col("column") == F.col("_column")), "left")
+    plain = F.when(F.col("column") == 0, F.lit("time")).otherwise(F.concat(F.lit("y"), F.col("column").cast("string")))
+    return both.select("path", "line_no", "column", F.coalesce("_name", plain).alias("name"), "value")
 
 
 def modes(rows: DataFrame) -> DataFrame:
-    """(path, mode, affinity, rmsd_lb, rmsd_ub) of docking logs."""
-    pattern = "^\\s*(\\d+)\\s+(-?\\d+(?:\\.\\d+)?)\\s+(-?\\d+(?:\\.\\d+)?)\\s+(-?\\d+(?:\\.\\d+)?)\\s*$"
-    take = lambda k, kind: F.regexp_extract("value", pattern, k).cast(kind)
-    return rows.where(F.col("value").rlike(pattern)).select("path", take(1, "int").alias("mode"), take(2, "double").alias("affinity"), take(3, "double").alias("rmsd_lb"), take(4, "double").alias("rmsd_ub"))
+    """(path, mode, affinity, rmsd_lb, rmsd_ub) of docking logs: lines of four numbers, a count, an energy and two distances of no sign."""
+    f = F.split(F.trim("value"), "\\s+")
+    part = lambda i: F.get(f, F.lit(i))
+    plain = lambda c: c.rlike("^[0-9.]+$")
+    kept = rows.where((F.size(f) == 4) & part(0).rlike("^[0-9]+$") & part(1).rlike("^-?[0-9.]+$") & plain(part(2)) & plain(part(3)))
+    found = kept.select("path", part(0).try_cast("int").alias("mode"), *[number(part(i)).alias(c) for i, c in ((1, "affinity"), (2, "rmsd_lb"), (3, "rmsd_ub"))])
+    return found.where("mode is not null and affinity is not null and rmsd_lb is not null and rmsd_ub is not null")
+
+
+#: What validation tools call their figures.
+REPORTED = {
+    "molprobity_score": r"(?i)MolProbity score\s*[=:]\s*([0-9.]+)", "clashscore": r"(?i)Clashscore\s*[=:]\s*([0-9.]+)",
+    "rama_outliers": r"(?i)Ramachandran outliers\s*[=:]\s*([0-9.]+)", "rama_favored": r"(?i)(?:Ramachandran )?favored\s*[=:]\s*([0-9.]+)",
+    "rotamer_outliers": r"(?i)Rotamer outliers\s*[=:]\s*([0-9.]+)", "cbeta_deviations": r"(?i)C-beta deviations\s*[=:]\s*([0-9.]+)",
+    "rms_bonds": r"(?i)RMS\(bonds\)\s*[=:]\s*([0-9.]+)", "rms_angles": r"(?i)RMS\(angles\)\s*[=:]\s*([0-9.]+)",
+    "tm_score": r"(?i)TM-score\s*=\s*([0-9.]+)", "rmsd": r"(?i)RMSD\s*=\s*([0-9.]+)", "aligned_length": r"(?i)Aligned length\s*=\s*([0-9]+)",
+}
+
+
+def reported(whole: DataFrame) -> DataFrame:
+    """(path, one column per figure) of the reports of validation tools; what is not there is null."""
+    return whole.select("path", *[number(F.nullif(F.regexp_extract("value", p, 1), F.lit(""))).alias(c) for c, p in REPORTED.items()])
+
+
+def blocks(rows: list[list[str | None]], required: list[str], clean=str) -> list[tuple[str, dict[str, str | None]]]:
+    """(system, row) of a sheet with two header rows: systems above the columns of their blocks.
+
+    Blank system cells belong to the block on their left. Blocks of fewer than two of the required
+    columns are left out, as are rows without the first of them.
+    """
+    if len(rows) < 2:
+        return []
+    systems: list[str] = []
+    for cell in rows[0]:
+        systems.append(cell if cell and not cell.startswith("Unnamed") else systems[-1] if systems else "")
+    out = []
+    for system in dict.fromkeys(s for s in systems if s):
+        at: dict[str, int] = {}
+        for i, (s, c) in enumerate(zip(systems, rows[1])):
+            if s == system and c and clean(c) in required:
+                at.setdefault(clean(c), i)
+        if len(at) < 2:
+            continue
+        for row in rows[2:]:
+            found = {c: row[i] if i < len(row) else None for c, i in at.items()}
+            if found.get(required[0]) not in (None, ""):
+                out.append((system, found))
+    return out
 
 
 def atoms(rows: DataFrame) -> DataFrame:
