@@ -1,10 +1,9 @@
 """Links between items that share an index list, without all pairs of a list.
 
-Each list is led by its member of most shared lists, usually the one its near copies were made
-from. Members are compared with their leaders first; what that connects is one group. Then only
-members of different groups that share a list are left, and of these the pairs that fulfil `close`,
-a condition evaluated inside the join. Every pair of a list is thus compared, known to be connected,
-or excluded by the condition.
+Of a short list all pairs are compared. A long list is led by its member of most shared lists,
+usually the one its near copies were made from: its members are compared with the leader alone.
+They meet again in the lists of what they have and the leader has not.
+Rounds go on until no list is left. So an item costs as many comparisons as it has keys.
 """
 
 from __future__ import annotations
@@ -35,31 +34,44 @@ def led(members: DataFrame, size: str | None = None) -> DataFrame:
     return ranked.groupBy("key").agg(F.min(F.struct(-F.col("_times"), "id")).alias("x")).select(F.col("key").alias("_key"), F.col("x.id").alias("leader"))
 
 
+#: Members of a list of which all pairs are compared.
+SHORT = 12
+#: Rounds at most; long lists of the last one are led only.
+ROUNDS = 3
+
+
 def link(members: DataFrame, nodes: DataFrame, close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Pairs) -> DataFrame:
     """(node, component) of the items that link with another; members: key, id, each once; nodes: id and what `close` reads.
 
-    close(a, b) is a condition on two items' columns that all links fulfil; verify turns pairs
-    (u, v) into the linked ones. Items that are not among nodes link with none.
+    close(a, b) is a condition on two items' columns that all links fulfil. verify turns pairs
+    (u, v, led) into rows (u, v, linked, keys), keys being, where led (v is led by u), those of what
+    v has and u has not; other pairs that are not linked may be left out. Items that are not among
+    nodes link with none; pairs of later rounds are of items of the first one's.
     """
-    leaders = durable(led(members))
     near = close(lambda c: F.col("a_" + c), lambda c: F.col("b_" + c))
-    ordered = (F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v"))
-
-    def side(df: DataFrame, mark: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(mark + c) for c in df.columns])
-
-    a, b = side(nodes, "a_"), side(nodes, "b_")
-    asked = members.join(leaders, F.col("key") == F.col("_key")).where("id <> leader").select("leader", "id").distinct()
-    asked = asked.join(b, F.col("id") == F.col("b_id")).join(a, (F.col("leader") == F.col("a_id")) & near)
-    links = durable(verify(asked.select(*ordered).distinct()))
-    groups = components(links)
-    # What is still apart, in the lists of several groups; leaders have met all others.
-    rest = members.join(groups, F.col("id") == F.col("node"), "left").withColumn("g", F.coalesce("component", "id")).drop("node", "component")
-    rest = rest.join(leaders, F.col("key") == F.col("_key")).where("id <> leader").drop("_key", "leader")
-    mixed = rest.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select(F.col("key").alias("_key"))
-    rest = rest.join(mixed, F.col("key") == F.col("_key")).drop("_key").join(nodes.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
-    rest = durable(rest)
-    a, b = side(rest, "a_"), side(rest, "b_")
-    met = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_g") != F.col("b_g")) & near)
-    more = durable(verify(met.select(*ordered).distinct()))
-    return groups if more.isEmpty() else components(links.unionByName(more))
+    columns = [c for c in nodes.columns if c != "id"]
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        """pairs (a_id, b_id, led) whose ends are close."""
+        for mark in ("a_", "b_"):
+            side = nodes.select(F.col("id").alias("_id"), *[F.col(c).alias(mark + c) for c in columns])
+            pairs = pairs.join(side, F.col(mark + "id") == F.col("_id")).drop("_id")
+        return pairs.where(near)
+
+    links = None
+    for last in range(ROUNDS):
+        sizes = members.groupBy("key").agg(F.count("*").alias("number")).where("number > 1").withColumnRenamed("key", "_key")
+        sized = durable(members.join(sizes, F.col("key") == F.col("_key")).drop("_key"))
+        short = sized.where(F.col("number") <= SHORT)
+        a, b = (short.select(F.col("key").alias(m + "key"), F.col("id").alias(m + "id")) for m in ("a_", "b_"))
+        pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id"))).select("a_id", "b_id", F.lit(False).alias("led"))
+        long = sized.where(F.col("number") > SHORT).drop("number")
+        follows = long.join(led(long), F.col("key") == F.col("_key")).where("id <> leader").select(F.col("leader").alias("a_id"), F.col("id").alias("b_id"), F.lit(True).alias("led"))
+        asked = pairs.unionByName(follows).groupBy("a_id", "b_id").agg(F.max("led").alias("led"))
+        found = durable(verify(ends(asked).select(F.col("a_id").alias("u"), F.col("b_id").alias("v"), "led")))
+        new = found.where("linked").select("u", "v")
+        links = new if links is None else links.unionByName(new)
+        members = found.where("keys is not null").select(F.explode("keys").alias("key"), F.col("v").alias("id")).distinct()
+        if last == ROUNDS - 1 or members.isEmpty():
+            break
+    return components(links)
