@@ -35,6 +35,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle and checkpoint files that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which may be long after a checkpoint has made
+    them useless.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -84,15 +96,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, limit
     shuffled to find them. `train` is a condition on the label rows. Null labels and null ids are
     left out; where an id has several labels, the largest counts.
     """
+    # Whatever other columns the documents have stays out of the join.
+    docs = docs.select(F.col(id_column), text_or_empty().alias("text"))
     usable = labels.select(F.col(id_column).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isNotNull())
     usable = usable.where(train("_id"))
     total = usable.count()
     if total == 0:
-        return docs.select(F.col(id_column), text_or_empty().alias("text"), F.lit(0).alias("y")).where(F.lit(False))
+        return docs.withColumn("y", F.lit(0)).where(F.lit(False))
     scale = 1 << 20
     share = min(scale, -(-limit * scale // total))
     picked = usable.where(F.pmod(F.xxhash64("_id"), F.lit(scale)) < share).groupBy("_id").agg(F.max("_y").alias("y"))
-    return docs.join(F.broadcast(picked), F.col(id_column) == F.col("_id")).select(F.col(id_column), text_or_empty().alias("text"), "y")
+    return docs.join(F.broadcast(picked), F.col(id_column) == F.col("_id")).select(id_column, "text", "y")
 
 
 class Membership:

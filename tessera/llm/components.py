@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 
 
 def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
@@ -34,6 +34,7 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
         if state == seen:
             break
         seen = state
+        release(edges.sparkSession)
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import durable, text_or_empty
 
 WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
@@ -94,17 +94,23 @@ class Index:
         self.postings = {w: ([i for i, _ in p], [x for _, x in p]) for w, p in postings.items()}
         self.half = max(HALF, of_all.longest)
         self.most = {w: max(x) for w, (_, x) in self.postings.items()}
-        self.row = {w: k for k, w in enumerate(self.postings)}
-        self.block_most = np.zeros((len(self.row), len(found) // BLOCK + 1))
+        # Only the blocks that hold a term have an entry.
+        self.block_most: dict[Pair, dict[int, float]] = {}
         for w, (i, x) in self.postings.items():
-            np.maximum.at(self.block_most[self.row[w]], np.array(i) // BLOCK, x)
+            own = self.block_most[w] = {}
+            for item, weight in zip(i, x):
+                own[item // BLOCK] = max(own.get(item // BLOCK, 0.0), weight)
 
     def retrieve(self, words: set[Pair], least: float) -> list[tuple[int, float]]:
         """(item, score) of every item that scores at least `least`, by block-max WAND."""
-        terms = sorted(w for w in words if w in self.row)
-        if not terms or self.block_most[[self.row[w] for w in terms]].sum(axis=0).max() < least:
+        terms = sorted(w for w in words if w in self.postings)
+        bounds: dict[int, float] = {}
+        for w in terms:
+            for b, x in self.block_most[w].items():
+                bounds[b] = bounds.get(b, 0.0) + x
+        if max(bounds.values(), default=0.0) < least:
             return []
-        lists = [(*self.postings[w], self.most[w], self.block_most[self.row[w]]) for w in terms]
+        lists = [(*self.postings[w], self.most[w], self.block_most[w]) for w in terms]
         at = [0] * len(lists)
         out = []
         while True:
@@ -119,7 +125,7 @@ class Index:
                 return out
             block = pivot // BLOCK
             ahead = [k for item, k in now if item <= pivot]
-            if sum(lists[k][3][block] for k in ahead) < least:
+            if sum(lists[k][3].get(block, 0.0) for k in ahead) < least:
                 # No item can qualify before the block ends or another term's list begins.
                 beyond = min([(block + 1) * BLOCK, *(item for item, _ in now if item > pivot)])
             elif now[0][0] == pivot:
@@ -158,54 +164,82 @@ class Index:
         return out
 
 
-def indexes(benchmark: DataFrame, shard_items: int = 50_000) -> list[Index]:
-    """The index, in shards of about shard_items items if there are more; null texts have no entry.
+def indexes(benchmark: DataFrame, shard_items: int = 50_000) -> Iterator[Index]:
+    """The index, in shards of about shard_items items if there are more, one after another.
 
-    The statistics are those of all items, so scores do not depend on the shards.
+    Null texts have no entry. The statistics are those of all items, so scores do not depend on the
+    shards. The driver holds one shard and the frequencies of its own pairs at a time; those of all
+    items are counted in Spark where there are several shards.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
     shards = max(1, -(-items.count() // shard_items))
+    if shards == 1:
+        yield Index([(r[0], r[1]) for r in items.collect()])
+        return
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for _, q, a in usable(list(zip(*(c.to_pylist() for c in batch.columns)))):
+                rows.append((None, None, len(q) + len(a)))
+                rows += [(x, y, None) for x, y in sorted(set(zip(q + a, (q + a)[1:])))]
+            kinds = (pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["x", "y", "n"])
+
+    rows = durable(items.mapInArrow(parsed, "x string, y string, n long"))
+    totals = rows.where("n is not null").agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    counts = durable(rows.where("n is null").groupBy("x", "y").agg(F.count("*").alias("df")))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
-    statistics, parts = Statistics(), []
     for s in range(shards):
-        parts.append([(r[0], r[1]) for r in items.where(part == s).collect()])
-        statistics.add(parts[-1])
-    return [Index(p, statistics) for p in parts]
+        own = items.where(part == s)
+        statistics = Statistics()
+        statistics.n, statistics.words, statistics.longest = (int(t or 0) for t in totals)
+        pairs = own.mapInArrow(parsed, "x string, y string, n long").where("n is null").select("x", "y").distinct()
+        for r in counts.join(pairs, ["x", "y"], "left_semi").toLocalIterator():
+            statistics.df[r["x"], r["y"]] = r["df"]
+        yield Index([(r[0], r[1]) for r in own.collect()], statistics)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, least_overlap: float = 0.5) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, least_overlap: float = 0.5, shard_items: int = 50_000) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every leaked item of every row.
 
     score is the share of the item's BM25 score with itself. Whole texts are read. Null and empty
     texts leak nothing, nor does an empty benchmark; equal items are all reported; repeated rows
-    give repeated results.
+    give repeated results. Each shard of the index, of bounded size, is broadcast by itself.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(indexes(benchmark))
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+    names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                for index in shared.value:
-                    for item, found in index.leaks(text.as_py(), least_score, least_overlap).items():
-                        rows.append((doc_id.as_py(), index.ids[item], *found))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
+    def found(index: Index) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for doc_id, text in zip(batch.column(0), batch.column(1)):
+                    for item, shares in shared.value.leaks(text.as_py(), least_score, least_overlap).items():
+                        rows.append((doc_id.as_py(), shared.value.ids[item], *shares))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
+
+        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+        return source.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
+    out = None
+    for index in indexes(benchmark, shard_items):
+        out = found(index) if out is None else out.unionByName(found(index))
+    return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, least_overlap: float = 0.5) -> DataFrame:
-    """The rows of docs without a leaked item, all columns unchanged."""
-    shared = docs.sparkSession.sparkContext.broadcast(indexes(benchmark))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, least_overlap: float = 0.5, shard_items: int = 50_000) -> DataFrame:
+    """The rows of docs without a leaked item, all columns unchanged; each shard of the index filters what the last one left."""
+    for index in indexes(benchmark, shard_items):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    @F.pandas_udf("boolean")
-    def leaked(text):
-        import pandas as pd
+        def leaked(text, shared=shared):
+            import pandas as pd
 
-        return pd.Series([any(index.leaks(t or "", least_score, least_overlap) for index in shared.value) for t in text], dtype="bool")
+            return pd.Series([bool(shared.value.leaks(t or "", least_score, least_overlap)) for t in text], dtype="bool")
 
-    return docs.where(~leaked(text_or_empty()))
+        docs = docs.where(~F.pandas_udf(lambda text, leaked=leaked: leaked(text), "boolean")(text_or_empty()))
+    return docs

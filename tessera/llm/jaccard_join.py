@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Membership, durable, small_batches, text_or_empty, tidy
+from .common import Membership, durable, release, small_batches, text_or_empty, tidy
 from .components import components
 from .linking import led, shared_lists
 
@@ -29,7 +29,7 @@ SHORT = 8
 #: Shingles of the members in a block; keys of the members of a leader that are told apart before.
 BLOCK, KEYS = 1 << 20, 1 << 16
 #: Frequent shingles that a task reports, that a task remembers, and that all tasks are told of.
-REPORTED, REMEMBERED, TOLD = 1 << 16, 1 << 17, 1 << 20
+REPORTED, REMEMBERED, TOLD = 1 << 16, 1 << 18, 1 << 20
 
 
 def words(text: str, lower: bool) -> list[bytes]:
@@ -68,7 +68,7 @@ class Frequent:
     def add(self, own: np.ndarray) -> None:
         self.waiting.append(own)
         self.size += len(own)
-        if self.size >= 1 << 18:
+        if self.size >= 1 << 20:
             self.settle()
 
     def settle(self) -> None:
@@ -255,8 +255,8 @@ def blocks(docs: DataFrame, wanted: DataFrame, k: int, threshold: Fraction) -> D
 def promising(members: DataFrame, percent: int) -> DataFrame:
     """(leader, id, n) of the members of long lists that may link with another member of their leader.
 
-    members: key, id, n, number. Members are told apart by the number of keys that each two of a
-    leader have in common, in cells of about 2 * KEYS keys.
+    members: key, id, n, pos, number. Members are told apart by the number of keys that each two of a
+    leader have in common and the places of the last one, in cells of about 2 * KEYS keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,13 +265,21 @@ def promising(members: DataFrame, percent: int) -> DataFrame:
             rest = -(-n * percent // 100) - 1
             lengths = np.array([len(r[2]) for r in rows])
             _, element = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
-            holder = np.repeat(np.arange(len(rows)), lengths)[np.argsort(element, kind="stable")]
+            order, all_places = np.argsort(element, kind="stable"), np.concatenate([r[3] for r in rows])
+            holder, place = np.repeat(np.arange(len(rows)), lengths)[order], all_places[order]
             starts = np.concatenate([[0], np.cumsum(np.bincount(element))])
             kept, end = [], np.cumsum(lengths)
             for i in range(len(rows)):
-                common = np.bincount(_gathered(starts, holder, element[end[i] - lengths[i] : end[i]]), minlength=len(rows))
+                own = slice(end[i] - lengths[i], end[i])
+                with_ = _gathered(starts, holder, element[own])
+                common = np.bincount(with_, minlength=len(rows))
+                # Places of the last shared key in the others and in this one.
+                there, here = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
+                np.maximum.at(there, with_, _gathered(starts, place, element[own]))
+                np.maximum.at(here, with_, np.repeat(all_places[own], starts[element[own] + 1] - starts[element[own]]))
+                most = common + np.minimum(np.maximum(rest, rest[i]), np.minimum(n - there, n[i] - here) - 1)
                 room = (common > 0) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-                room &= (100 + percent) * (common + np.maximum(rest, rest[i])) >= percent * (n + n[i])
+                room &= (100 + percent) * most >= percent * (n + n[i])
                 room[i] = False
                 if room.any():
                     kept.append(i)
@@ -280,20 +288,21 @@ def promising(members: DataFrame, percent: int) -> DataFrame:
         key, rows = None, []
         for batch in batches:
             *cell, ids, n = (c.to_pylist() for c in batch.columns[:5])
-            starts, values = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
+            starts = batch.column(5).offsets.to_numpy()
+            values, places = (batch.column(5).values.field(f).to_numpy().astype(np.int64) for f in (0, 1))
             for r, at in enumerate(zip(*cell)):
                 if at != key:
                     if rows:
                         yield result(key[0], rows)
                     key, rows = at, []
-                rows.append((n[r], ids[r], values[starts[r] : starts[r + 1]].copy()))
+                rows.append((n[r], ids[r], *(x[starts[r] : starts[r + 1]].copy() for x in (values, places))))
         if rows:
             yield result(key[0], rows)
 
-    leaders = led(members, "n")
-    long = members.where(F.col("number") > SHORT).join(leaders, F.col("key") == F.col("_key")).select("leader", "id", "n").distinct()
+    long = members.where(F.col("number") > SHORT)
+    long = long.join(led(members, long, "n"), F.col("key") == F.col("_key")).select("leader", "id", "n").distinct()
     # All shared keys of a member count, whoever leads their lists.
-    held = members.groupBy("id", "n").agg(F.collect_list("key").alias("keys")).withColumnsRenamed({"id": "_id", "n": "_n"})
+    held = members.groupBy("id", "n").agg(F.collect_list(F.struct("key", "pos")).alias("keys")).withColumnsRenamed({"id": "_id", "n": "_n"})
     full = durable(long.join(held, (F.col("id") == F.col("_id")) & (F.col("n") == F.col("_n"))).select("leader", "id", "n", "keys"))
     size = full.groupBy("leader").agg(F.ceil(F.sum(F.size("keys")) / F.lit(KEYS)).cast("int").alias("_parts")).withColumnRenamed("leader", "_leader")
     sized = full.join(size, F.col("leader") == F.col("_leader"))
@@ -317,19 +326,23 @@ def links(known: DataFrame, classes: DataFrame, k: int, percent: int, frequent:
     """(u, v): linked classes, by their rep, that connect all that links connect."""
     threshold = Fraction(percent, 100)
     near = Membership(classes, "rep").sieve(known, "doc_id")
-    members = durable(shared_lists(durable(prefixes(near, k, threshold, frequent))).dropDuplicates(["key", "id", "n", "pos"]))
+    with small_batches(known.sparkSession, 1024):
+        postings = durable(prefixes(near, k, threshold, frequent))
+    members = durable(shared_lists(postings).dropDuplicates(["key", "id", "n", "pos"]))
+    release(known.sparkSession)
     a, b = (members.where(F.col("number") <= SHORT).select(*[F.col(c).alias(m + c) for c in ("key", "id", "n", "pos")]) for m in ("a_", "b_"))
     fits = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
     met = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & fits)
-    met = met.groupBy("a_id", "b_id", "a_n", "b_n").agg(F.count("*").alias("common"), *[F.min(c).alias(c) for c in ("a_pos", "b_pos")])
-    # What prefixes do not share lies behind one of them; nothing common lies before the first common one.
+    met = met.groupBy("a_id", "b_id", "a_n", "b_n").agg(F.count("*").alias("common"), *[F.max(c).alias(c) for c in ("a_pos", "b_pos")])
+    # What prefixes do not share lies behind one of them, and behind the last shared one in both.
     rest = lambda c: F.floor((percent * F.col(c) + 99) / 100) - 1
-    most = F.least(F.col("common") + F.greatest(rest("a_n"), rest("b_n")), F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")))
+    most = F.least(F.col("common") + F.greatest(rest("a_n"), rest("b_n")), F.col("common") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) - 1)
     # Pairs that share a long list too meet there.
     pairs = met.where((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n")))
     ends = [F.struct(F.col("a_id").alias("leader"), F.col(m + "id").alias("id"), F.col(m + "n").alias("n")) for m in ("a_", "b_")]
     pairs = pairs.select(F.explode(F.array(*ends)).alias("x")).select("x.*")
     asked = durable(pairs.unionByName(promising(members, percent)).distinct())
+    release(known.sparkSession)
     parts = asked.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("parts")).withColumnRenamed("leader", "_leader")
     asked = asked.join(parts, F.col("leader") == F.col("_leader")).withColumn("role", (F.col("id") != F.col("leader")).cast("int"))
     # Every block has the leader.
@@ -337,6 +350,7 @@ def links(known: DataFrame, classes: DataFrame, k: int, percent: int, frequent:
     i = F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own_block))).alias("i")
     asked = durable(asked.select("id", "leader", i, F.lit(0).alias("j"), "role", "parts").distinct())
     found = blocks(known, asked, k, threshold)
+    release(known.sparkSession)
     out = found.where("not far").select("u", "v")
     far = found.where("far").select(F.col("u").alias("_leader"), F.col("v").alias("_id")).distinct()
     if not far.isEmpty():
@@ -360,7 +374,8 @@ def groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     known = docs.where(F.col("doc_id").isNotNull())
-    measured = durable(sizes(docs, k))
+    with small_batches(docs.sparkSession, 1024):
+        measured = durable(sizes(docs, k))
     told = measured.where("key is not null").groupBy("key").agg(F.sum("number").alias("number")).orderBy(F.desc("number"), "key").limit(TOLD).toArrow().sort_by("key")
     keys, counts = told["key"].to_numpy().view(np.uint64), told["number"].to_numpy()
     at = np.argsort(keys)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Membership, durable
+from .common import Membership, durable, release
 from .components import components
 
 Pairs = Callable[[DataFrame], DataFrame]
@@ -26,12 +26,20 @@ def shared_lists(postings: DataFrame) -> DataFrame:
     return Membership(lists, "_key").sieve(postings, "key").join(lists, F.col("key") == F.col("_key")).drop("_key")
 
 
-def led(members: DataFrame, size: str | None = None) -> DataFrame:
-    """(key, leader) of each list: the member with the most shared lists (for its size), the smallest of several."""
+def led(members: DataFrame, lists: DataFrame, size: str | None = None) -> DataFrame:
+    """(key, leader) of each of the lists, which are rows of members.
+
+    A list's first leader is its member with the most shared lists (for its size), the smallest of
+    several. Then it goes to its member that leads the most lists, so that one item leads what
+    belongs together.
+    """
     times = F.count("*") / F.max(size) if size else F.count("*")
     counts = members.groupBy("id").agg(times.alias("_times")).withColumnRenamed("id", "_id")
-    ranked = members.select("key", "id").join(counts, F.col("id") == F.col("_id"))
-    return ranked.groupBy("key").agg(F.min(F.struct(-F.col("_times"), "id")).alias("x")).select(F.col("key").alias("_key"), F.col("x.id").alias("leader"))
+    ranked = durable(lists.select("key", "id").join(counts, F.col("id") == F.col("_id")).drop("_id"))
+    first = ranked.groupBy("key").agg(F.max(F.struct("_times", -F.col("id"))).alias("x"))
+    leads = first.groupBy((-F.col("x.col2")).alias("_id")).agg(F.count("*").alias("_leads"))
+    again = ranked.join(leads, F.col("id") == F.col("_id"))
+    return again.groupBy("key").agg(F.max(F.struct("_leads", "_times", -F.col("id"))).alias("x")).select(F.col("key").alias("_key"), (-F.col("x.col3")).alias("leader"))
 
 
 #: Members of a list of which all pairs are compared.
@@ -66,12 +74,13 @@ def link(members: DataFrame, nodes: DataFrame, close: Callable[[Callable[[str],
         a, b = (short.select(F.col("key").alias(m + "key"), F.col("id").alias(m + "id")) for m in ("a_", "b_"))
         pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id"))).select("a_id", "b_id", F.lit(False).alias("led"))
         long = sized.where(F.col("number") > SHORT).drop("number")
-        follows = long.join(led(long), F.col("key") == F.col("_key")).where("id <> leader").select(F.col("leader").alias("a_id"), F.col("id").alias("b_id"), F.lit(True).alias("led"))
+        follows = long.join(led(sized, long), F.col("key") == F.col("_key")).where("id <> leader").select(F.col("leader").alias("a_id"), F.col("id").alias("b_id"), F.lit(True).alias("led"))
         asked = pairs.unionByName(follows).groupBy("a_id", "b_id").agg(F.max("led").alias("led"))
         found = durable(verify(ends(asked).select(F.col("a_id").alias("u"), F.col("b_id").alias("v"), "led")))
         new = found.where("linked").select("u", "v")
         links = new if links is None else links.unionByName(new)
         members = found.where("keys is not null").select(F.explode("keys").alias("key"), F.col("v").alias("id")).distinct()
+        release(nodes.sparkSession)
         if last == ROUNDS - 1 or members.isEmpty():
             break
     return components(links)

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, text_or_empty
+from .common import durable, small_batches, text_or_empty, tidy
 
 CAPACITY = 1024
 END_ID = 2
 #: Words whose ids a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Encoder:
@@ -128,6 +128,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names[: len(columns)])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
 
@@ -293,4 +294,6 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group_rows: int = 100_000)
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with the sequence and offset each is placed at (see pieces, pack)."""
-    return pack(durable(pieces(docs, tokenizer_path, capacity, end_id, with_ids)), capacity)
+    with small_batches(docs.sparkSession, 1024):
+        made = durable(pieces(docs, tokenizer_path, capacity, end_id, with_ids))
+    return pack(made, capacity)

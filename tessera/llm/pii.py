@@ -293,13 +293,13 @@ def joined(c: str) -> Column:
 
 
 def redact(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The documents (unique ids) with every found span replaced by its kind in brackets."""
-    found = find(docs).select(F.col("doc_id").alias("_id"), "all")
+    """The documents (unique ids) with every found span replaced by its kind in brackets; other columns as they are."""
+    found = find(docs.select(F.col(id_column).alias("doc_id"), "text")).select(F.col("doc_id").alias("_pii_id"), F.col("all").alias("_pii_spans"))
     text = text_or_empty()
     first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda a, s: F.when(
         s["end"] <= a["at"], a
     ).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)).cast("int")), F.concat(F.lit("["), s["kind"], F.lit("]")))).alias("out")))
-    done = F.aggregate("all", first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    joined_ = docs.join(found, F.col(id_column) == F.col("_id"), "left")
-    return joined_.select(*[F.when(F.size(F.coalesce("all", F.array())) > 0, done).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    done = F.aggregate("_pii_spans", first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    joined_ = docs.join(found, F.col(id_column) == F.col("_pii_id"), "left")
+    return joined_.select(*[F.when(F.size(F.coalesce("_pii_spans", F.array())) > 0, done).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])

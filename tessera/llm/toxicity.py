@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, text_or_empty
+from .common import labelled_sample, text_or_empty, tidy
 
 #: Saved bytes at which windows are counted.
 CUTS = (2, 3, 4, 5, 6, 8)
 #: Characters of a window; longer words are several windows.
 WINDOW = 48
 #: Windows whose distance a worker remembers at most.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 #: What stands before and after a window: a word alone is too short for zstandard to compress.
 FRAME = ("<<<< ", " ")
 PUNCTUATION = ".,;:!?\"'()[]{}|*#$%&<>-_/\\"
@@ -175,7 +175,9 @@ def scores(docs: DataFrame, model: Model) -> Column:
     def scored(text):
         import pandas as pd
 
-        return pd.Series([shared.value.score(t or "") for t in text], dtype="float64")
+        out = pd.Series([shared.value.score(t or "") for t in text], dtype="float64")
+        tidy()
+        return out
 
     return scored(text_or_empty())
 

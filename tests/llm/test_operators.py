@@ -211,7 +211,7 @@ def test_shards_share_statistics(spark):
     items = [(i, " ".join(rng.choice(["ab", "cd", "ef", "gh"], 3 + 5 * i))) for i in range(20)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     (whole,) = decontamination.indexes(bench)
-    shards = decontamination.indexes(bench, 5)
+    shards = list(decontamination.indexes(bench, 5))
     text = " ".join(t for _, t in items[::3])
     one = {whole.ids[i]: found for i, found in whole.leaks(text, 0.5, 0.5).items()}
     many = {s.ids[i]: found for s in shards for i, found in s.leaks(text, 0.5, 0.5).items()}
@@ -219,6 +219,16 @@ def test_shards_share_statistics(spark):
     assert many.keys() == one.keys() and all(many[k] == pytest.approx(one[k]) for k in one)
 
 
+def test_shards_find_what_one_index_finds(spark):
+    rng = np.random.default_rng(3)
+    items = [(i, " ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl"], 12)) + ". The answer " + str(i)) for i in range(12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = spark.createDataFrame([(i, "x " * i + t + " y" * i) for i, t in items] + [(99, "clean"), (98, None)], "doc_id long, text string")
+    one, many = ({tuple(r) for r in decontamination.find_leaks(texts, bench, shard_items=n).select("doc_id", "item_id").collect()} for n in (100, 3))
+    assert one == many and {(i, i) for i, _ in items} <= one
+    assert {r["doc_id"] for r in decontamination.decontaminate(texts, bench, shard_items=3).collect()} == {98, 99}
+
+
 def test_retrieval_is_exact():
     rng = np.random.default_rng(5)
     vocabulary = [f"t{i}" for i in range(30)]
