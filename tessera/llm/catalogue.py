@@ -19,7 +19,7 @@ def tokenizer_path() -> str:
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("all").alias("spans"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("all").alias("spans"), "n_secret", (F.size("all") + F.col("n_secret")).alias("n_found"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

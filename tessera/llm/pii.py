@@ -48,6 +48,10 @@ CUES = {
 }
 
 
+#: A quoted key or token that is given to a name: counted, not a span of the four kinds.
+SECRET = r"""[=:]\x20?["'][A-Za-z0-9_/+-]{20,}["']"""
+
+
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
@@ -108,7 +112,8 @@ def candidates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     empty = F.expr("array()").cast("array<struct<gen:int,kind:string,ord:int,match:string,advance:bigint,before:string,after:string>>")
     base = docs.select(F.col(id_column).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), text_or_empty().alias("_text"))
     spans = F.concat(*[F.coalesce(p, empty) for p in proposed])
-    flat = base.select("doc_id", "rid", spans.alias("s")).select("doc_id", "rid", F.explode_outer("s").alias("s")).select("doc_id", "rid", "s.*")
+    secrets = F.when(F.col("_text").rlike("[\"']"), F.regexp_count("_text", F.lit(SECRET))).otherwise(F.lit(0)).cast("long")
+    flat = base.select("doc_id", "rid", secrets.alias("n_secret"), spans.alias("s")).select("doc_id", "rid", "n_secret", F.explode_outer("s").alias("s")).select("doc_id", "rid", "n_secret", "s.*")
     flat = flat.repartition("rid")
     up_to = W.partitionBy("rid", "gen").orderBy("ord")
     end = F.sum("advance").over(up_to) + F.length("match")
@@ -126,11 +131,16 @@ def candidates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     right = F.min(F.when(F.col("base"), F.col("start"))).over(by_kind.rangeBetween(W.currentRow, W.unboundedFollowing)) < F.col("end")
     misplaced = ~same & (F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False)))
     extra = ~F.coalesce(F.get(is_base, F.col("gen")), F.lit(True))
-    return flat.select("doc_id", "rid", "gen", "kind", "start", "end", "match", "before", "after", "ok", "base", extra.alias("extra"), covered.alias("covered"), misplaced.alias("misplaced"), same.alias("is_base_span"))
+    return flat.select("doc_id", "rid", "n_secret", "gen", "kind", "start", "end", "match", "before", "after", "ok", "base", extra.alias("extra"), covered.alias("covered"), misplaced.alias("misplaced"), same.alias("is_base_span"))
 
 
 def features() -> dict[str, Column]:
-    """Discrete features of a span's form and surroundings."""
+    """Discrete features of a span's shape and surroundings.
+
+    Number ranges, top-level domains and plus signs only make the labels, so for addresses and
+    phone numbers the trees learn from another view of a span than the one that labels it. The
+    checksum of a card is a feature too, as it is what numbers of other than the base lengths share.
+    """
     m, before, after = F.col("match"), F.col("before"), F.col("after")
     n = F.length(digits(m))
     cue = F.lit(False)
@@ -141,19 +151,16 @@ def features() -> dict[str, Column]:
         "kind": F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int"),
         "digits": F.when(n < 10, 0).when(n < 13, 1).when(n == 13, 2).when(n <= 16, 3).when(n <= 19, 4).otherwise(5),
         "luhn": number((F.col("kind") == "card") & F.when(n.between(13, 19), luhn(digits(m))).otherwise(F.lit(False))),
-        "octets": number((F.col("kind") == "ip") & F.col("ok")),
         "separators": number(m.rlike("[\\x20().-]")),
-        "top_level": number(m.rlike(TOP_LEVEL)),
         # Spelled out, plain, or with blanks round a plain sign: only the last is known to run too far.
         "signs": F.when(F.col("kind") != "email", 1).when(m.rlike("(?i)[(\\[](?:at|dot)[)\\]]"), 0).when(m.contains(" "), 2).otherwise(1),
-        "plus": number(m.startswith("+")),
         "edges": number(before.rlike("[\\w]$")) + 2 * number(after.rlike("^[\\w]")),
         "crowded": number(before.rlike("[0-9][^A-Za-z]{0,3}$") | after.rlike("^[^A-Za-z]{0,3}[0-9]")),
         "cue": number(cue),
     }
 
 
-FEATURES = ("kind", "digits", "luhn", "octets", "separators", "top_level", "signs", "plus", "edges", "crowded", "cue")
+FEATURES = ("kind", "digits", "luhn", "separators", "signs", "edges", "crowded", "cue")
 
 
 @dataclass(frozen=True)
@@ -252,7 +259,7 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def learn(found: DataFrame) -> Model:
-    """Fit on all proposals: base spans count as right.
+    """Fit on all proposals, labelled by their checks, by features of shape and surroundings: base spans count as right.
 
     Wrong are those of an extent that a base span of the kind refutes, and those that fail every
     check, the loose ones (top-level domain, Luhn sum of 13 to 19 digits) too. What passes a loose check, such as a
@@ -268,18 +275,21 @@ def learn(found: DataFrame) -> Model:
 def spans(found: DataFrame, model: Model) -> DataFrame:
     """Per row of the documents: base and accepted spans, each once, by start and then kind."""
     scored = with_features(found).withColumn("score", model.score())
-    kept = F.col("base") | (F.col("extra") & ~F.col("covered") & ~F.col("misplaced") & model.accepted())
+    # A proposal needs both views: its loose checks and the score.
+    likely = F.coalesce(plausible(F.col("kind"), F.col("match"), F.col("ok")), F.lit(False))
+    kept = F.col("base") | (F.col("extra") & ~F.col("covered") & ~F.col("misplaced") & likely & model.accepted())
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     span = F.struct("start", order.alias("k"), "end", "kind")
     grouped = scored.groupBy("rid", "doc_id").agg(
+        F.max("n_secret").alias("n_secret"),
         F.collect_set(F.when(F.col("base"), span)).alias("base"), F.collect_set(F.when(kept, span)).alias("all"),
         *[F.count_if(F.col("base") & (F.col("kind") == k)).alias("n_" + k) for k in KINDS],
     )
-    return grouped.select("doc_id", *["n_" + k for k in KINDS], F.sort_array("base").alias("base"), F.sort_array("all").alias("all"))
+    return grouped.select("doc_id", *["n_" + k for k in KINDS], "n_secret", F.sort_array("base").alias("base"), F.sort_array("all").alias("all"))
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_<kind> of base spans, and the arrays base and all of (start, k, end, kind).
+    """doc_id, n_<kind> of base spans, n_secret, and the arrays base and all of (start, k, end, kind).
 
     Whole texts are searched. Null text counts as empty; ids may be null or repeat, and every row
     of `docs` gives one row; an empty table gives none.
