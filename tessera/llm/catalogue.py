@@ -79,5 +79,29 @@ QUERIES = (
 )
 
 
+_WORDS = "list_filter(string_split_regex({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+#: Sets of shingles, pairs with a common one, and the smallest id reached over the linked ones.
+JACCARD_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} l FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 3 THEN [array_to_string(l, ' ')] ELSE list_distinct(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) END s FROM w),
+e AS (SELECT doc_id, len(s) n, hash(unnest(s)) t FROM s),
+p AS (SELECT a.doc_id u, b.doc_id v FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (SELECT u, u v FROM p UNION SELECT r.u, p.v FROM r JOIN p ON p.u = r.v)
+SELECT s.doc_id, CAST(len(s) AS bigint) n_shingles, coalesce(c, s.doc_id) component_id FROM s LEFT JOIN (SELECT u, min(v) c FROM r GROUP BY 1) ON u = doc_id
+"""
+
+#: Windows, the smallest document that each starts in, and the words that none of a later document covers.
+SUBSTRING_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} l FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(l[i:i + 49], ' ')) h FROM (SELECT doc_id, l, unnest(range(1, len(l) - 48)) i FROM w WHERE len(l) >= 50)),
+f AS (SELECT h, min(doc_id) m FROM x GROUP BY 1),
+g AS (SELECT DISTINCT x.doc_id, i + j p FROM x JOIN f USING (h), range(0, 50) t(j) WHERE m < x.doc_id),
+k AS (SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.p) kept, count(*) n FROM (SELECT doc_id, unnest(l) word, unnest(range(1, len(l) + 1)) p FROM w) a ANTI JOIN g ON g.doc_id = a.doc_id AND g.p = a.p GROUP BY 1)
+SELECT w.doc_id, CAST(len(l) AS bigint) n_words, CAST(len(l) - coalesce(n, 0) AS bigint) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what no learnt or approximate part decides."""
+    return {"op3_jaccard_join": JACCARD_SQL, "op5_substring_dedup": SUBSTRING_SQL}
