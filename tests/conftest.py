@@ -4,7 +4,7 @@ from tessera.session import session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = session("local[4]", 4, spark__driver__memory="4g")
+def spark(tmp_path_factory):
+    s = session("local[4]", 4, spark__driver__memory="4g", spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoints")))
     s.sparkContext.setLogLevel("ERROR")
     return s
