@@ -2,7 +2,8 @@
 
 Equal sets are one class, named by its smallest doc_id. Every class indexes its rarest shingles, as
 many as any partner must share one of. Pairs of short lists are kept where their sizes, the positions
-of their first common shingle and the number of common ones leave room for a link. Each long list
+of their last common shingle, the number of common ones and the parities of their sets leave room
+for a link. Each long list
 goes to its leader, the member of most shared lists: a leader's members are compared with it, and
 the answers of those that do not link with it are derived from its overlaps by the difference of the
 two sets. Members meet in blocks of bounded size, whatever the size of a list or a group.
@@ -53,6 +54,25 @@ def shingle_set(text: str, k: int, lower: bool = True) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)))
 
 
+def parities(own: np.ndarray) -> bytes:
+    """Whether the set has an odd number of hashes in each of 2**k buckets, as many as hashes or more (64 at least)."""
+    buckets = 1 << max(6, (len(own) - 1).bit_length())
+    odd = np.bincount((own >> np.uint64(20)).astype(np.int64) & (buckets - 1), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ_at_least(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of hashes that only one of two sets has: buckets of different parity."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, size = int.from_bytes(a, "little"), 8 * len(a)
+    while size > 8 * len(b):
+        # Twice the buckets fold into half.
+        size //= 2
+        x = (x & ((1 << size) - 1)) ^ (x >> size)
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
@@ -89,27 +109,28 @@ class Frequent:
 
 
 def sizes(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, n, h0, h1) per document, h0 and h1 naming its set, and (key, number) of each task's frequent shingles."""
+    """Rows (doc_id, n, h0, h1, bits) per document, h0 and h1 naming its set, bits its parities, and (key, number) of each task's frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, frequent = ["doc_id", "n", "h0", "h1", "key", "number"], Frequent()
+        names, frequent = ["doc_id", "n", "h0", "h1", "bits", "key", "number"], Frequent()
         for batch in batches:
-            n, h0, h1 = [], [], []
+            n, h0, h1, bits = [], [], [], []
             for text in batch.column(1):
                 own = shingle_set(text.as_py(), k)
                 n.append(len(own))
                 name = xxhash.xxh3_128_intdigest(own.tobytes())
                 h0.append((name >> 64) - (1 << 63))
                 h1.append((name & ((1 << 64) - 1)) - (1 << 63))
+                bits.append(parities(own) if len(own) else None)
                 frequent.add(own)
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, h0, h1)), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, h0, h1)), pa.array(bits, pa.binary()), none, none], names)
         keys, counts = frequent.most(REPORTED)
         none = pa.nulls(len(keys), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(keys.view(np.int64)), pa.array(counts)], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(keys), pa.binary()), pa.array(keys.view(np.int64)), pa.array(counts)], names)
         tidy()
 
-    return _source(docs).mapInArrow(run, "doc_id long, n long, h0 long, h1 long, key long, number long")
+    return _source(docs).mapInArrow(run, "doc_id long, n long, h0 long, h1 long, bits binary, key long, number long")
 
 
 def prefixes(docs: DataFrame, k: int, threshold: Fraction, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -252,11 +273,12 @@ def blocks(docs: DataFrame, wanted: DataFrame, k: int, threshold: Fraction) -> D
         return durable(dealt.mapInArrow(decide, "u long, v long, far boolean"))
 
 
-def promising(members: DataFrame, percent: int) -> DataFrame:
+def promising(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """(leader, id, n) of the members of long lists that may link with another member of their leader.
 
     members: key, id, n, pos, number. Members are told apart by the number of keys that each two of a
-    leader have in common and the places of the last one, in cells of about 2 * KEYS keys.
+    leader have in common, the places of the last one and the parities of their sets (marks: id, n,
+    bits), in cells of about 2 * KEYS keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,13 +303,14 @@ def promising(members: DataFrame, percent: int) -> DataFrame:
                 room = (common > 0) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
                 room &= (100 + percent) * most >= percent * (n + n[i])
                 room[i] = False
-                if room.any():
+                if any((100 + percent) * differ_at_least(rows[i][4], rows[j][4]) <= (100 - percent) * (n[i] + n[j]) for j in np.flatnonzero(room).tolist()):
                     kept.append(i)
             return pa.RecordBatch.from_arrays([pa.array([leader] * len(kept), pa.int64()), pa.array([rows[i][1] for i in kept], pa.int64()), pa.array(n[kept], pa.int32())], ["leader", "id", "n"])
 
         key, rows = None, []
         for batch in batches:
             *cell, ids, n = (c.to_pylist() for c in batch.columns[:5])
+            bits = batch.column(6).to_pylist()
             starts = batch.column(5).offsets.to_numpy()
             values, places = (batch.column(5).values.field(f).to_numpy().astype(np.int64) for f in (0, 1))
             for r, at in enumerate(zip(*cell)):
@@ -295,7 +318,7 @@ def promising(members: DataFrame, percent: int) -> DataFrame:
                     if rows:
                         yield result(key[0], rows)
                     key, rows = at, []
-                rows.append((n[r], ids[r], *(x[starts[r] : starts[r + 1]].copy() for x in (values, places))))
+                rows.append((n[r], ids[r], *(x[starts[r] : starts[r + 1]].copy() for x in (values, places)), bits[r]))
         if rows:
             yield result(key[0], rows)
 
@@ -303,13 +326,14 @@ def promising(members: DataFrame, percent: int) -> DataFrame:
     long = long.join(led(members, long, "n"), F.col("key") == F.col("_key")).select("leader", "id", "n").distinct()
     # All shared keys of a member count, whoever leads their lists.
     held = members.groupBy("id", "n").agg(F.collect_list(F.struct("key", "pos")).alias("keys")).withColumnsRenamed({"id": "_id", "n": "_n"})
-    full = durable(long.join(held, (F.col("id") == F.col("_id")) & (F.col("n") == F.col("_n"))).select("leader", "id", "n", "keys"))
+    held = held.join(marks.withColumnsRenamed({"id": "_i", "n": "_m"}), (F.col("_id") == F.col("_i")) & (F.col("_n") == F.col("_m"))).drop("_i", "_m")
+    full = durable(long.join(held, (F.col("id") == F.col("_id")) & (F.col("n") == F.col("_n"))).select("leader", "id", "n", "keys", "bits"))
     size = full.groupBy("leader").agg(F.ceil(F.sum(F.size("keys")) / F.lit(KEYS)).cast("int").alias("_parts")).withColumnRenamed("leader", "_leader")
     sized = full.join(size, F.col("leader") == F.col("_leader"))
     # Members of a large leader meet in cells of two parts each.
     part = F.pmod(F.xxhash64("id"), F.col("_parts").cast("long")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(F.least(part, j).alias("i"), F.greatest(part, j).alias("j")))
-    sized = sized.select("leader", "id", "n", "keys", F.explode(cells).alias("c")).select("leader", "c.i", "c.j", "id", "n", "keys")
+    sized = sized.select("leader", "id", "n", "keys", "bits", F.explode(cells).alias("c")).select("leader", "c.i", "c.j", "id", "n", "keys", "bits")
     found = sized.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(run, "leader long, id long, n int").distinct()
     # The leader stays where any member does.
     found = durable(found)
@@ -318,8 +342,8 @@ def promising(members: DataFrame, percent: int) -> DataFrame:
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """(h0, h1, rep, times, n) of each set; rep is the smallest doc_id with it."""
-    return rows.where("n > 0 and doc_id is not null").groupBy("h0", "h1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"), F.first("n").alias("n"))
+    """(h0, h1, rep, times, n, bits) of each set; rep is the smallest doc_id with it."""
+    return rows.where("n > 0 and doc_id is not null").groupBy("h0", "h1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("bits").alias("bits"))
 
 
 def links(known: DataFrame, classes: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -339,9 +363,20 @@ def links(known: DataFrame, classes: DataFrame, k: int, percent: int, frequent:
     most = F.least(F.col("common") + F.greatest(rest("a_n"), rest("b_n")), F.col("common") + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) - 1)
     # Pairs that share a long list too meet there.
     pairs = met.where((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n")))
+    marks = classes.select(F.col("rep").alias("id"), F.col("n").cast("int").alias("n"), "bits")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (c.to_pylist() for c in batch.columns[2:])
+            yield batch.filter(pa.array([(100 + percent) * differ_at_least(x[i], y[i]) <= (100 - percent) * (n[i] + m[i]) for i in range(batch.num_rows)], pa.bool_())).select([0, 1, 2, 3])
+
+    for m in ("a_", "b_"):
+        own = marks.select(F.col("id").alias("_i"), F.col("n").alias("_m"), F.col("bits").alias(m + "bits"))
+        pairs = pairs.join(own, (F.col(m + "id") == F.col("_i")) & (F.col(m + "n") == F.col("_m"))).drop("_i", "_m")
+    pairs = pairs.select("a_id", "b_id", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(alike, "a_id long, b_id long, a_n int, b_n int")
     ends = [F.struct(F.col("a_id").alias("leader"), F.col(m + "id").alias("id"), F.col(m + "n").alias("n")) for m in ("a_", "b_")]
     pairs = pairs.select(F.explode(F.array(*ends)).alias("x")).select("x.*")
-    asked = durable(pairs.unionByName(promising(members, percent)).distinct())
+    asked = durable(pairs.unionByName(promising(members, marks, percent)).distinct())
     release(known.sparkSession)
     parts = asked.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("parts")).withColumnRenamed("leader", "_leader")
     asked = asked.join(parts, F.col("leader") == F.col("_leader")).withColumn("role", (F.col("id") != F.col("leader")).cast("int"))
@@ -379,8 +414,9 @@ def groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     told = measured.where("key is not null").groupBy("key").agg(F.sum("number").alias("number")).orderBy(F.desc("number"), "key").limit(TOLD).toArrow().sort_by("key")
     keys, counts = told["key"].to_numpy().view(np.uint64), told["number"].to_numpy()
     at = np.argsort(keys)
-    rows = measured.where("h0 is not null").select("doc_id", "n", "h0", "h1")
+    rows = measured.where("h0 is not null").select("doc_id", "n", "h0", "h1", "bits")
     classes = durable(classes_of(rows))
+    rows = rows.drop("bits")
     found = components(links(known, classes, k, percent, (keys[at], counts[at])))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").where("times > 1 or component is not null")
     named = durable(named.select(F.col("h0").alias("_h0"), F.col("h1").alias("_h1"), F.coalesce("component", "rep").alias("component_id")))

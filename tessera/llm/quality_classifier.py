@@ -25,12 +25,15 @@ SIZES = (1, 2, 3)
 REPEATED_WORDS = 5
 #: Bytes taken at once, so that a very long text needs bounded memory.
 BLOCK = 1 << 20
+#: Thresholds of the shares of repeated lines and of repeated windows; each has a slot after those of the n-grams.
+LINES_AGAIN, WINDOWS_AGAIN = (0.0, 0.1, 0.3, 0.6), (0.0, 0.05, 0.1, 0.2, 0.4)
+SLOTS = (1 << SLOT_BITS) + len(LINES_AGAIN) + len(WINDOWS_AGAIN)
 
 
 def slots(text: str) -> np.ndarray:
     """The slots of a text's n-grams, each once, in order; an empty text has none."""
     data = np.frombuffer(text.encode(), dtype=np.uint8)
-    seen = np.zeros(1 << SLOT_BITS, dtype=bool)
+    seen = np.zeros(SLOTS, dtype=bool)
     for at in range(0, len(data), BLOCK):
         part = data[at : at + BLOCK + max(SIZES) - 1].astype(np.uint32)
         code = np.zeros(len(part), dtype=np.uint32)
@@ -41,7 +44,7 @@ def slots(text: str) -> np.ndarray:
             if n in SIZES:
                 seen[((code + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(32 - SLOT_BITS)] = True
     lines = [x for x in text.split("\n") if x.strip()]
-    for k, share in enumerate((0.0, 0.1, 0.3, 0.6)):
+    for k, share in enumerate(LINES_AGAIN, 1 << SLOT_BITS):
         if len(lines) > 1 and 1 - len(set(lines)) / len(lines) > share:
             seen[k] = True
     words = text.split()
@@ -52,7 +55,7 @@ def slots(text: str) -> np.ndarray:
         for i in range(REPEATED_WORDS):
             gram = gram * np.uint64(0x9E3779B97F4A7C15) + hashed[i : i + windows]
         again = 1 - len(np.unique(gram)) / windows
-        for k, share in enumerate((0.0, 0.05, 0.1, 0.2, 0.4), 4):
+        for k, share in enumerate(WINDOWS_AGAIN, (1 << SLOT_BITS) + len(LINES_AGAIN)):
             seen[k] = again > share
     return np.flatnonzero(seen)
 
@@ -75,7 +78,7 @@ class Model:
 
 def log_ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     """Log ratio of each slot's smoothed share in class 1 and class 0."""
-    counts = np.full((2, 1 << SLOT_BITS), smooth)
+    counts = np.full((2, SLOTS), smooth)
     for found, label in zip(rows, y):
         counts[int(label), found] += 1
     shares = counts / (np.bincount(y.astype(int), minlength=2)[:, None] + 2 * smooth)
@@ -118,11 +121,15 @@ def calibrate(margins: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[flo
 
 
 def fit(texts: list[str], labels: list[int], cost: float = 1.0, passes: int = 12) -> Model:
-    """The model; with one class only, a constant score of that class (0.5 without any row)."""
+    """The model of labelled texts."""
+    return fit_rows([slots(t) for t in texts], labels, cost, passes)
+
+
+def fit_rows(rows: list[np.ndarray], labels: list[int], cost: float = 1.0, passes: int = 12) -> Model:
+    """The model of labelled slots; with one class only, a constant score of that class (0.5 without any row)."""
     y = np.array(labels, dtype=int)
     if len(set(labels)) < 2:
-        return Model(np.zeros(1 << SLOT_BITS), 0.0, 1.0, 0.0 if not labels else 4.0 * (2 * labels[0] - 1))
-    rows = [slots(t) for t in texts]
+        return Model(np.zeros(SLOTS), 0.0, 1.0, 0.0 if not labels else 4.0 * (2 * labels[0] - 1))
 
     def machine(use: np.ndarray) -> tuple[np.ndarray, float]:
         part = [rows[i] for i in use]
@@ -143,14 +150,21 @@ def fit(texts: list[str], labels: list[int], cost: float = 1.0, passes: int = 12
     return Model(w, bias, slope, shift)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str, train: Callable[[str], Column], limit: int = 4000, most_chars: int = 20_000) -> Model:
-    """Fit on at most about `limit` labelled documents of at most most_chars characters each.
+def learn(docs: DataFrame, labels: DataFrame, label: str, train: Callable[[str], Column], limit: int = 4000) -> Model:
+    """Fit on at most about `limit` labelled documents, the whole text of each.
 
-    Both bounds hold for training alone and keep what reaches the driver below 80 MB.
+    Only the slots of a text, of which there are at most SLOTS, reach the driver.
     """
-    sample = labelled_sample(docs, labels, label, train, limit).where(F.length("text") <= most_chars)
-    rows = sorted((r["doc_id"], r["text"], r["y"]) for r in sample.collect())
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [slots(t.as_py()).astype(np.int32) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "y", "slots"])
+
+    sample = labelled_sample(docs, labels, label, train, limit).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y")
+    got = sample.mapInArrow(run, "doc_id long, y int, slots array<int>").toArrow()
+    rows = sorted(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), (tuple(x.values.to_numpy()) for x in got["slots"])))
+    return fit_rows([np.array(r[2], dtype=np.int64) for r in rows], [r[1] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFrame:
