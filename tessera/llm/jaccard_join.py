@@ -26,7 +26,7 @@ from .linking import led, shared_lists
 
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 #: Members of a list of which all pairs may be looked at.
-SHORT = 8
+SHORT = 20
 #: Shingles of the members in a block; keys of the members of a leader that are told apart before.
 BLOCK, KEYS = 1 << 20, 1 << 16
 #: Frequent shingles that a task reports, that a task remembers, and that all tasks are told of.
@@ -55,8 +55,8 @@ def shingle_set(text: str, k: int, lower: bool = True) -> np.ndarray:
 
 
 def parities(own: np.ndarray) -> bytes:
-    """Whether the set has an odd number of hashes in each of 2**k buckets, as many as hashes or more (64 at least)."""
-    buckets = 1 << max(6, (len(own) - 1).bit_length())
+    """Whether the set has an odd number of hashes in each of 2**k buckets, at least half as many as hashes (64 at least)."""
+    buckets = 1 << max(6, (len(own) - 1).bit_length() - 1)
     odd = np.bincount((own >> np.uint64(20)).astype(np.int64) & (buckets - 1), minlength=buckets) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -310,9 +310,9 @@ def promising(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
         key, rows = None, []
         for batch in batches:
             *cell, ids, n = (c.to_pylist() for c in batch.columns[:5])
-            bits = batch.column(6).to_pylist()
+            bits = batch.column(7).to_pylist()
             starts = batch.column(5).offsets.to_numpy()
-            values, places = (batch.column(5).values.field(f).to_numpy().astype(np.int64) for f in (0, 1))
+            values, places = (batch.column(c).values.to_numpy().astype(np.int64) for c in (5, 6))
             for r, at in enumerate(zip(*cell)):
                 if at != key:
                     if rows:
@@ -327,13 +327,16 @@ def promising(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     # All shared keys of a member count, whoever leads their lists.
     held = members.groupBy("id", "n").agg(F.collect_list(F.struct("key", "pos")).alias("keys")).withColumnsRenamed({"id": "_id", "n": "_n"})
     held = held.join(marks.withColumnsRenamed({"id": "_i", "n": "_m"}), (F.col("_id") == F.col("_i")) & (F.col("_n") == F.col("_m"))).drop("_i", "_m")
-    full = durable(long.join(held, (F.col("id") == F.col("_id")) & (F.col("n") == F.col("_n"))).select("leader", "id", "n", "keys", "bits"))
-    size = full.groupBy("leader").agg(F.ceil(F.sum(F.size("keys")) / F.lit(KEYS)).cast("int").alias("_parts")).withColumnRenamed("leader", "_leader")
-    sized = full.join(size, F.col("leader") == F.col("_leader"))
+    full = long.join(held, (F.col("id") == F.col("_id")) & (F.col("n") == F.col("_n")))
+    full = durable(full.select("leader", "id", "n", F.transform("keys", lambda x: x["key"]).alias("keys"), F.transform("keys", lambda x: x["pos"]).alias("places"), "bits"))
+    size = full.groupBy("leader").agg(F.ceil(F.sum(F.size("keys")) / F.lit(KEYS)).cast("int").alias("_parts"))
+    # Of those there is at most one for each KEYS keys of the index, so they are broadcast.
+    large = size.where("_parts > 1").withColumnRenamed("leader", "_leader")
+    sized = full.join(F.broadcast(large), F.col("leader") == F.col("_leader"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
     # Members of a large leader meet in cells of two parts each.
     part = F.pmod(F.xxhash64("id"), F.col("_parts").cast("long")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.struct(F.least(part, j).alias("i"), F.greatest(part, j).alias("j")))
-    sized = sized.select("leader", "id", "n", "keys", "bits", F.explode(cells).alias("c")).select("leader", "c.i", "c.j", "id", "n", "keys", "bits")
+    sized = sized.select("leader", "id", "n", "keys", "places", "bits", F.explode(cells).alias("c")).select("leader", "c.i", "c.j", "id", "n", "keys", "places", "bits")
     found = sized.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(run, "leader long, id long, n int").distinct()
     # The leader stays where any member does.
     found = durable(found)
