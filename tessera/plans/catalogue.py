@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scaling, scan
-from ..operators import geometry, relational, summaries
+from ..operators import geometry, relational, selection, summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -185,7 +185,7 @@ GENERAL = "WITH m AS (SELECT l_partkey k, avg(l_discount) a, avg(l_tax) b, avg(l
 
 def general(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b"), F.avg("l_quantity").alias("q"))
-    scaled = scaling.robust_scale(scaling.robust_scale(m, "a", "sa", lower_better=True), "b", "sb")
+    scaled = scaling.scale_all(m, ["a", "b"], ["a"], [], ("", ()), "keep_null", "s")
     score = r6(100 * scaling.weighted_mean({"sa": 0.6, "sb": 0.4}) * scaling.gate({"q": 30.0}))
     scored = scaled.select("part", score.alias("score"))
     return scored.withColumn("decision", scaling.band(F.col("score"), [(75, "priority"), (60, "retain"), (45, "backup")], "reject"))
@@ -193,8 +193,7 @@ def general(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(GENERAL)
 def sel_general(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = general(spark, sf_dir)
-    return scored.withColumn("rank", F.expr("cast(dense_rank() over (order by score desc) as int)"))
+    return selection.dense_rank(general(spark, sf_dir), "score", "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 @query(f"WITH g AS ({GENERAL}), f AS (SELECT g.*, p_type family FROM g JOIN part ON p_partkey = part), c AS (SELECT part, 'top' why FROM (SELECT part, row_number() OVER (ORDER BY score DESC, part) i FROM f) WHERE i <= 10 UNION SELECT part, 'family' FROM (SELECT part, row_number() OVER (PARTITION BY family ORDER BY score DESC, part) i FROM f) WHERE i = 1) SELECT part, string_agg(why, ';' ORDER BY why) classes FROM c GROUP BY 1")

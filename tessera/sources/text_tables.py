@@ -107,13 +107,13 @@ def fasta(whole: DataFrame, strict: bool = False) -> DataFrame:
     return rows
 
 
-def domain_hits(rows: DataFrame) -> DataFrame:
-    """(protein_id, accession, evalue) of a domain table; short or non-numeric lines raise."""
+def domain_hits(rows: DataFrame, keep: str | None = None) -> DataFrame:
+    """(protein_id, accession, evalue) of a domain table, with the column `keep` if asked; short or non-numeric lines raise."""
     f = F.split(F.trim("value"), "\\s+")
     kept = rows.where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
     bad = (F.size(f) < 13) | number(F.get(f, F.lit(12))).isNull()
     checked = kept.withColumn("_bad", F.assert_true(~bad, F.concat(F.lit("malformed line: "), F.col("value"))))
-    return checked.where("_bad is null").select(f[3].alias("protein_id"), F.split(f[1], "\\.")[0].alias("accession"), number(f[12]).alias("evalue"))
+    return checked.where("_bad is null").select(*([keep] if keep else []), f[3].alias("protein_id"), F.split(f[1], "\\.")[0].alias("accession"), number(f[12]).alias("evalue"))
 
 
 def signal_peptides(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scaling, scan, sequences, tables
 from tessera.operators import checks, docking, geometry, relational, selection, summaries, trajectory
-from tessera.plans import catalogue
+from tessera.plans import catalogue, pipelines
 from tessera.sinks import files as sinks
 from tessera.sources import structures, text_tables
 
@@ -351,3 +351,59 @@ def test_sinks(spark, tmp_path):
     pdb = "ATOM      1  CA AALA A   1      0.0\nATOM      2  HA  ALA A   1\nHETATM    3  C1  LIG A   2\nENDMDL\nATOM      4  CA  ALA A   1"
     kept = structures.cleaned_lines(text_tables.lines(spark.createDataFrame([("p", pdb)], "path string, value string")).withColumnRenamed("value", "line"))
     assert [r["line"][:11] for r in kept.orderBy("line_no").collect()] == ["ATOM      1", "ENDMDL"]
+
+
+def test_candidates_of_samples(spark, tmp_path):
+    (tmp_path / "s.tsv").write_text("species\tfasta\tdomtblout\none\ta.fa\ta.dom\n")
+    (tmp_path / "f.tsv").write_text("Family\tPfam\nFABP\tPF00061.1\nCD36\tPF01130\n")
+    (tmp_path / "a.fa").write_text(">P1 x\nMKV\n>P2\nMK*\n")
+    row = "dom {0} 130 {1} - 140 1e-20 70 0.1 1 1 1e-23 {2} rest\n"
+    text = "# c\n" + row.format("PF00061.30", "P1", "1e-20") * 2 + row.format("PF01130.1", "P2", "1e-05") + row.format("PF01130.1", "P3", "1.1e-05") + row.format("PF99999.2", "P1", "1e-30")
+    (tmp_path / "a.dom").write_text(text)
+    made = pipelines.candidates(spark, str(tmp_path / "s.tsv"), str(tmp_path / "f.tsv"))
+    assert sorted(tuple(r) for r in made["candidates"].collect()) == [("one", "CD36", "P2"), ("one", "FABP", "P1")]
+    (tmp_path / "a.fa").write_text(">P1 x\nMKV\n")
+    with pytest.raises(ValueError, match="1 _key values are missing.*P2"):
+        pipelines.candidates(spark, str(tmp_path / "s.tsv"), str(tmp_path / "f.tsv"))
+
+
+def test_annotation_run(spark):
+    records = spark.createDataFrame([("a", "F", "MKKR" + "L" * 25 + "GESAG" + "KDE" * 12), ("b", "F", "KDE" * 20), ("c", "G", "GESAG")], "seq_id string, family string, sequence string")
+    signals = spark.createDataFrame([("b", True, 20)], "id string, found boolean, cut int")
+    membranes = spark.createDataFrame([("b", [])], "id string, ranges array<struct<start:int,end:int>>")
+    made = pipelines.annotation(records, [("gxsxg", "G[A-Z]S[A-Z]G")], signals, membranes)
+    got = {r["seq_id"]: r for r in made["features"].collect()}
+    assert got["b"]["signal"] and got["b"]["signal_source"] == "given" and got["b"]["passes"] == 0
+    assert got["a"]["signal"] and got["a"]["signal_source"] == "heuristic" and got["a"]["passes"] == 1 and got["a"]["hits"] == 1 and got["c"]["motifs"] == "gxsxg"
+    assert {r["family"]: r["n"] for r in made["summary"].collect()} == {"F": 2, "G": 1}
+    assert {r["family"]: r["status"] for r in made["families"].collect()} == {"F": "skipped_less_than_3_sequences", "G": "skipped_less_than_3_sequences"}
+
+
+def test_runs_of_models_poses_and_frames(spark, tmp_path):
+    (tmp_path / "ceh_model_0.cif").write_text("loop_\n_atom_site.label_asym_id\n_atom_site.label_seq_id\n_atom_site.label_comp_id\n_atom_site.B_iso_or_equiv\nA 1 HIS 90\nA 2 GLY 80\n#\n")
+    (tmp_path / "confidence_ceh.json").write_text('{"ptm": 0.8}')
+    made = pipelines.evaluation(spark, str(tmp_path))
+    assert made["models"].first()["mean_plddt"] == 85.0 and made["chains"].first()["sequence"] == "HG"
+    assert {r["model"] for r in made["confidences"].collect()} == {"ceh"}
+    metrics = spark.createDataFrame([(f"m{i}", float(i), i % 2) for i in range(8)], "model string, clashscore double, global_cluster int")
+    chosen = pipelines.choice(metrics, "model", {"global_cluster": "best_per_global_cluster"}, first=1)
+    assert {r["model"]: r["RepresentativeClass"] for r in chosen["representatives"].collect()} == {"m0": "best_per_global_cluster;overall_top", "m1": "best_per_global_cluster"}
+    poses = spark.createDataFrame([("R", "L", f"p{i}", -5.0 - i, float(i), 0.1 * i) for i in range(6)], ["receptor", "ligand", "prediction", "SMINA Minimized Affinity", "SMINA Minimized RMSD", "DiffDock Confidence"])
+    docked = pipelines.docking_run(poses, 2)
+    assert docked["top"].count() == 2 and docked["clusters"].agg(F.sum("ClusterSize")).first()[0] == 6
+    wide = spark.createDataFrame([(0.0, 1.0, 2.0), (1000.0, 3.0, None)], ["Time (ps)", "A", "B"])
+    ran = pipelines.trajectory_run({"RMSD": wide}, 0.5)
+    assert {r["System"]: r["RMSD"] for r in ran["comparative"].collect()} == {"A": 3.0}
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    from tessera.streaming import windows
+
+    events = catalogue.table(spark, DATA, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    found = windows.event_statistics(stream)
+    run = found.writeStream.format("memory").queryName("found").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    plain = lambda df: sorted((str(r["start"]), r["event_type"], r["n"], round(r["total"], 6)) for r in df.collect())
+    assert plain(spark.table("found")) == plain(windows.event_statistics(events))
