@@ -128,7 +128,9 @@ def candidates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     # A proposal that overlaps a base span of its kind has the wrong extent.
     by_kind = W.partitionBy("rid", "kind").orderBy("start")
     left = F.max(F.when(F.col("base"), F.col("end"))).over(by_kind.rangeBetween(W.unboundedPreceding, W.currentRow)) > F.col("start")
-    right = F.min(F.when(F.col("base"), F.col("start"))).over(by_kind.rangeBetween(W.currentRow, W.unboundedFollowing)) < F.col("end")
+    # From the other end, as a frame that reaches to the last row is gone through anew for every row.
+    from_end = W.partitionBy("rid", "kind").orderBy(F.desc("start"))
+    right = F.min(F.when(F.col("base"), F.col("start"))).over(from_end.rangeBetween(W.unboundedPreceding, W.currentRow)) < F.col("end")
     misplaced = ~same & (F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False)))
     extra = ~F.coalesce(F.get(is_base, F.col("gen")), F.lit(True))
     return flat.select("doc_id", "rid", "n_secret", "gen", "kind", "start", "end", "match", "before", "after", "ok", "base", extra.alias("extra"), covered.alias("covered"), misplaced.alias("misplaced"), same.alias("is_base_span"))
