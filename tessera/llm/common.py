@@ -52,6 +52,17 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until none is a column of df (whatever its case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most so many rows for what is run inside, as single rows may be large."""
@@ -144,4 +155,5 @@ class Membership:
 
     def sieve(self, df: DataFrame, column: str) -> DataFrame:
         """The rows of df whose key may be in the bitmap."""
-        return self.flag(df, column, "_maybe").where("_maybe").drop("_maybe")
+        (maybe,) = fresh(df, "_maybe")
+        return self.flag(df, column, maybe).where(F.col(maybe)).drop(maybe)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Membership, durable, release, small_batches, text_or_empty, tidy
+from .common import Membership, durable, fresh, release, small_batches, text_or_empty, tidy
 from .components import components
 from .linking import led, shared_lists
 
@@ -432,7 +432,8 @@ def groups(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs (unique ids) without those linked to one of a smaller doc_id's component."""
-    dropped = durable(groups(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_drop")))
-    flagged = Membership(dropped, "_drop").flag(docs, "doc_id", "_near")
-    kept = flagged.where("_near").join(dropped, F.col("doc_id") == F.col("_drop"), "left_anti")
-    return kept.unionByName(flagged.where("not _near")).drop("_near")
+    drop, near = fresh(docs, "_drop", "_near")
+    dropped = durable(groups(docs, k, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(drop)))
+    flagged = Membership(dropped, drop).flag(docs, "doc_id", near)
+    kept = flagged.where(F.col(near)).join(dropped, F.col("doc_id") == F.col(drop), "left_anti")
+    return kept.unionByName(flagged.where(~F.col(near))).drop(near)
