@@ -237,11 +237,11 @@ def dock_relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docking.relabelled(binned(spark, sf_dir), ["l_suppkey", "l_returnflag"], "cl", "aff", "l_orderkey").select("l_orderkey", "l_linenumber", "cl")
 
 
-@query("WITH a AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber mo, -l_extendedprice x, l_tax lb, l_discount ub, row_number() OVER (PARTITION BY l_suppkey ORDER BY -l_extendedprice) i, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_tax) j, count(*) OVER (PARTITION BY l_suppkey) n FROM lineitem) SELECT l_suppkey, min_by(x, (mo, x, lb, ub)) AS first, min_by(lb, (mo, x, lb, ub)) AS first_lb, min(x) best, round(avg(x), 6) mean, round(avg(x) FILTER (WHERE i > floor(n * 0.1) AND i <= n - floor(n * 0.1)), 6) trimmed, round(avg(lb), 6) mean_lb, round(avg(lb) FILTER (WHERE j > floor(n * 0.1) AND j <= n - floor(n * 0.1)), 6) trimmed_lb, count(*) n FROM a GROUP BY 1")
+@query("WITH a AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber mo, -l_extendedprice x, l_tax lb, l_discount ub, row_number() OVER (PARTITION BY l_suppkey ORDER BY -l_extendedprice) i, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_tax) j, count(*) OVER (PARTITION BY l_suppkey) n FROM lineitem) SELECT l_suppkey, min_by(x, (mo, x, lb, ub)) AS first, min_by(lb, (mo, x, lb, ub)) AS first_lb, min(x) best, round(avg(x), 3) mean, round(avg(x) FILTER (WHERE i > floor(n * 0.1) AND i <= n - floor(n * 0.1)), 3) trimmed, round(avg(lb), 6) mean_lb, round(avg(lb) FILTER (WHERE j > floor(n * 0.1) AND j <= n - floor(n * 0.1)), 6) trimmed_lb, count(*) n FROM a GROUP BY 1")
 def dock_log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     modes = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("Mode"), (-F.col("l_extendedprice")).alias("Affinity"), F.col("l_tax").alias("RMSD_lb"), F.col("l_discount").alias("RMSD_ub"))
     s = docking.log_summary(modes, "l_suppkey")
-    return s.select("l_suppkey", F.col("Top1_Affinity").alias("first"), F.col("Top1_RMSD_lb").alias("first_lb"), F.col("Best_Affinity").alias("best"), r6("Mean_Affinity").alias("mean"), r6("TrimmedMean_Affinity").alias("trimmed"), r6("Mean_RMSD_lb").alias("mean_lb"), r6("TrimmedMean_RMSD_lb").alias("trimmed_lb"), F.col("NumModes").alias("n"))
+    return s.select("l_suppkey", F.col("Top1_Affinity").alias("first"), F.col("Top1_RMSD_lb").alias("first_lb"), F.col("Best_Affinity").alias("best"), F.round("Mean_Affinity", 3).alias("mean"), F.round("TrimmedMean_Affinity", 3).alias("trimmed"), r6("Mean_RMSD_lb").alias("mean_lb"), r6("TrimmedMean_RMSD_lb").alias("trimmed_lb"), F.col("NumModes").alias("n"))
 
 
 _CONTACTS = "SELECT l_returnflag pr, l_linestatus li, l_orderkey pose, l_suppkey res, l_quantity d FROM lineitem"
