@@ -29,7 +29,9 @@ def departure(p: str, q: str) -> str:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, n_docs): occurrences, and documents with one, of each term."""
-    terms = F.split(F.translate("text", UPPER, LOWER), BETWEEN)
+    # lower() is the quick way where all is ASCII; elsewhere it would change other letters as well.
+    low = F.when(F.octet_length("text") == F.length("text"), F.lower("text")).otherwise(F.translate("text", UPPER, LOWER))
+    terms = F.split(low, BETWEEN)
     listed = docs.select("lang", "source", F.array_remove(terms, "").alias("terms"))
     # Every occurrence, then every term once: both counts come from one explosion and one aggregation.
     each = listed.select("lang", "source", F.size("terms").alias("size"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"))
@@ -47,9 +49,11 @@ def audit(docs: DataFrame, least_documents: int = 3, top: int = 200) -> DataFram
     smaller item in UTF-8 order. Null text, lang and source are read as ''; texts without terms and repeated rows
     count like any other; an empty table gives no rows; other columns are ignored.
 
-    Each term becomes one row with an array of counts by source; higher-order functions make from it the
-    contributions of the pairs of which at least one source has the term, which are added up before the
-    shuffle. All terms that neither source has contribute the same, so those are only counted.
+    Each term becomes one row with an array over the sources that have it; higher-order functions make from it
+    the contributions of each two of these, which are added up before the shuffle. Where one of two sources lacks
+    the term, what it adds depends only on the other's count, so those contributions come from a histogram of
+    counts; where both lack it, from the number of terms. What is emitted for a term in both is therefore the rest:
+    f(p, q) less what the histograms hold already.
     """
     docs = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     groups = docs.select("lang", "source").distinct()
@@ -61,27 +65,36 @@ def audit(docs: DataFrame, least_documents: int = 3, top: int = 200) -> DataFram
     vocabulary = kept.groupBy("lang").agg(F.count("*").alias("v"))
     per_source = groups.join(totals, ["lang", "source"], "left").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", F.coalesce("n", F.lit(0)).alias("n")))).alias("s"))
     languages = per_source.join(vocabulary, "lang", "left").select("lang", F.col("s.source").alias("sources"), F.col("s.n").alias("sizes"), F.coalesce("v", F.lit(0)).alias("v"))
-    languages = durable(languages.withColumn("all_n", F.expr("aggregate(sizes, 0L, (a, n) -> a + n)")))
+    lacking = f"if(v = 0, transform(sizes, n -> 0L), transform(sizes, n -> {share('0L', '(n + v)')}))"
+    languages = durable(languages.withColumns({"all_n": F.expr("aggregate(sizes, 0L, (a, n) -> a + n)"), "lacking": F.expr(lacking)}))
 
     salted = languages.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"])
 
-    rows = rows.withColumn("c", F.expr("transform(sources, s -> coalesce(try_element_at(by_source, s), 0L))"))
-    shares = rows.select("lang", "c", F.expr(f"zip_with(c, sizes, (c, n) -> {share('c', '(n + v)')})").alias("p"), F.expr("sequence(0, size(c) - 1)").alias("every"))
-    shares = shares.withColumn("having", F.expr("filter(every, i -> c[i] > 0)"))
-    emitted = F.expr(
-        f"flatten(transform(every, i -> transform(filter(if(c[i] > 0, every, having), j -> j <> i), j -> struct(i as i, j as j, {departure('p[i]', 'p[j]')} as f))))"
+    # Where a source has the term (i from 0), its share p, and the share q of a term it lacks.
+    at = "transform(map_entries(by_source), e -> struct(cast(array_position(sources, e.key) - 1 as int) as i, e.value as n))"
+    rows = rows.withColumn("at", F.expr(at)).withColumn("z", F.expr(f"transform(at, e -> struct(e.i as i, {share('e.n', '(sizes[e.i] + v)')} as p, lacking[e.i] as q))"))
+    rest = f"{departure('x.p', 'y.p')} - {departure('x.p', 'y.q')} - {departure('x.q', 'y.p')} + {departure('x.q', 'y.q')}"
+    emitted = F.expr(f"flatten(transform(z, x -> transform(filter(z, y -> y.i <> x.i), y -> struct(x.i as i, y.i as j, {rest} as f))))")
+    both = rows.select("lang", F.explode(emitted).alias("e")).select("lang", "e.*")
+
+    histogram = kept.select("lang", F.explode("by_source").alias("source", "n")).groupBy("lang", "source", "n").agg(F.count("*").alias("m"))
+    histogram = histogram.withColumn("salt", F.pmod(F.xxhash64("source", "n"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"])
+    histogram = histogram.withColumn("i", F.expr("cast(array_position(sources, source) - 1 as int)"))
+    histogram = histogram.select("lang", "i", "m", F.expr(share("n", "(sizes[i] + v)")).alias("p"), F.expr("lacking[i]").alias("q"), F.posexplode("lacking").alias("j", "r")).where("i <> j")
+    ways = F.array(
+        F.struct("i", "j", F.expr(f"m * ({departure('p', 'r')} - {departure('q', 'r')})").alias("f")),
+        F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.expr(f"m * ({departure('r', 'p')} - {departure('r', 'q')})").alias("f")),
     )
-    sums = shares.select("lang", F.explode(emitted).alias("x")).groupBy("lang", "x.i", "x.j").agg(F.sum("x.f").alias("f"), F.count("*").alias("n"))
+    single = histogram.select("lang", F.explode(ways).alias("e")).select("lang", "e.*")
+    sums = both.groupBy("lang", "i", "j").agg(F.sum("f").alias("f")).unionByName(single.groupBy("lang", "i", "j").agg(F.sum("f").alias("f"))).groupBy("lang", "i", "j").agg(F.sum("f").alias("f"))
 
-    pairs = languages.select("lang", "sources", "sizes", "v", F.posexplode("sources").alias("i", "source"))
-    pairs = pairs.select("lang", "source", "v", "i", F.col("sizes")[F.col("i")].alias("own"), F.posexplode(F.arrays_zip("sources", "sizes")).alias("j", "other")).where("i <> j")
-    without = departure(f"({share('0L', '(own + v)')})", f"({share('0L', '(other.sizes + v)')})")
-    neither = f"if(v = coalesce(n, 0), 0L, (v - coalesce(n, 0)) * ({without}))"
-    pairs = pairs.join(sums, ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), F.col("other.sources").alias("item"), F.expr(f"coalesce(f, 0L) + {neither}").alias("value"))
+    pairs = languages.select("lang", "sources", "lacking", "v", F.posexplode("sources").alias("i", "source"))
+    pairs = pairs.select("lang", "source", "v", "i", F.expr("lacking[i]").alias("p"), F.posexplode(F.arrays_zip("sources", "lacking")).alias("j", "other")).where("i <> j")
+    pairs = pairs.join(sums, ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), F.col("other.sources").alias("item"), F.expr(f"if(v = 0, 0L, v * ({departure('p', 'other.lacking')}) + coalesce(f, 0L))").alias("value"))
 
-    own = rows.select("lang", "term", "v", "all_n", "total", F.explode(F.arrays_zip("sources", "sizes", "c")).alias("x")).where("x.c > 0")
-    own = own.select("lang", F.col("x.sources").alias("source"), "term", F.expr(share("x.c", "(x.sizes + v)")).alias("p"), F.expr(share("total", "(all_n + v)")).alias("q")).where("p > q")
+    own = rows.select("lang", "term", "v", "all_n", "total", "sources", F.explode("z").alias("x"))
+    own = own.select("lang", F.expr("sources[x.i]").alias("source"), "term", F.col("x.p").alias("p"), F.expr(share("total", "(all_n + v)")).alias("q")).where("p > q")
     terms = own.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(departure("p", "q")).alias("value"))
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
