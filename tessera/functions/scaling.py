@@ -1,7 +1,8 @@
 """Percentile-robust scaling, closeness, direction inference and weighted scores.
 
-Column statistics are one-row aggregates that are cross-joined back by broadcast: their size does not
-depend on the data. NaN is read as null throughout.
+Percentiles come from order.with_percentiles: one aggregate for a small input, refined histograms of
+all metrics at once for a large one. Other statistics are one-row aggregates that are cross-joined back by
+broadcast: their size does not depend on the data. NaN is read as null throughout.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import with_percentiles
+
 POLICIES = ("keep_null", "impute_median", "impute_median_or_half")
 
 
@@ -30,6 +33,12 @@ def with_statistics(df: DataFrame, *stats: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*stats)))
 
 
+def imputed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with the nulls of each column replaced by its median."""
+    medians = {f"_m_{c}": (F.col(f"`{c}`"), (0.5,)) for c in columns}
+    return with_percentiles(df, medians).withColumns({c: F.coalesce(F.col(f"`{c}`"), F.get(f"`_m_{c}`", F.lit(0))) for c in columns}).drop(*medians)
+
+
 def robust_scale(df: DataFrame, column: str, out: str, lower_better: bool = False, policy: str = "keep_null") -> DataFrame:
     """Scale between the 5th and 95th percentile to 0..1, clipped.
 
@@ -41,8 +50,8 @@ def robust_scale(df: DataFrame, column: str, out: str, lower_better: bool = Fals
         raise ValueError(f"unknown policy {policy}")
     base = df.withColumn("_x", finite(F.col(column)))
     if policy != "keep_null":
-        base = with_statistics(base, F.median("_x").alias("_m")).withColumn("_x", F.coalesce("_x", "_m")).drop("_m")
-    base = with_statistics(base, F.percentile("_x", F.lit(0.05)).alias("_lo"), F.percentile("_x", F.lit(0.95)).alias("_hi"))
+        base = imputed(base, ["_x"])
+    base = with_percentiles(base, {"_q": (F.col("_x"), (0.05, 0.95))}).withColumns({"_lo": F.get("_q", F.lit(0)), "_hi": F.get("_q", F.lit(1))}).drop("_q")
     ratio = clip((F.col("_x") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)))
     value = 1 - ratio if lower_better else ratio
     scaled = F.when(F.col("_x").isNull(), F.lit(None).cast("double")).when(F.col("_hi") == F.col("_lo"), F.lit(0.5)).otherwise(value)
@@ -59,8 +68,8 @@ def closeness(df: DataFrame, column: str, out: str, policy: str = "keep_null") -
     """
     base = df.withColumn("_x", F.abs(finite(F.col(column))))
     if policy != "keep_null":
-        base = with_statistics(base, F.median("_x").alias("_m")).withColumn("_x", F.coalesce("_x", "_m")).drop("_m")
-    base = with_statistics(base, F.percentile("_x", F.lit(0.95)).alias("_hi"))
+        base = imputed(base, ["_x"])
+    base = with_percentiles(base, {"_q": (F.col("_x"), (0.95,))}).withColumn("_hi", F.get("_q", F.lit(0))).drop("_q")
     return base.withColumn(out, _close(F.col("_x"), F.col("_hi"), policy)).drop("_x", "_hi")
 
 
@@ -81,9 +90,8 @@ def scale_all(df: DataFrame, metrics: list[str], lower: list[str], centred: list
     value = lambda m: F.abs(finite(F.col(f"`{m}`"))) if m in centred else finite(F.col(f"`{m}`"))
     rows = df.withColumns({f"_x_{i}": value(m) for i, m in enumerate(metrics)})
     if policy != "keep_null":
-        rows = with_statistics(rows, *[F.median(f"_x_{i}").alias(f"_m_{i}") for i in range(len(metrics))])
-        rows = rows.withColumns({f"_x_{i}": F.coalesce(f"_x_{i}", f"_m_{i}") for i in range(len(metrics))}).drop(*[f"_m_{i}" for i in range(len(metrics))])
-    statistics = [F.percentile(f"_x_{i}", F.array(F.lit(0.05), F.lit(0.95))).alias(f"_q_{i}") for i in range(len(metrics))]
+        rows = imputed(rows, [f"_x_{i}" for i in range(len(metrics))])
+    statistics = []
     reference, follow = inferred
     follow = [m for m in follow if m in metrics]
     guess = bool(follow) and reference in df.columns and follow[0] == inferred[1][0]
@@ -92,7 +100,8 @@ def scale_all(df: DataFrame, metrics: list[str], lower: list[str], centred: list
         x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
         rising = (F.count(x) >= 5) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0) & (F.covar_pop(x, y) > 0)
         statistics.append(F.coalesce(rising, F.lit(False)).alias("_rising"))
-    rows = with_statistics(rows, *statistics)
+    rows = with_percentiles(rows, {f"_q_{i}": (F.col(f"_x_{i}"), (0.05, 0.95)) for i in range(len(metrics))})
+    rows = with_statistics(rows, *statistics) if statistics else rows
     out = {}
     for i, m in enumerate(metrics):
         x, low, high = F.col(f"_x_{i}"), F.get(f"_q_{i}", F.lit(0)), F.get(f"_q_{i}", F.lit(1))

@@ -2,40 +2,57 @@
 
 from __future__ import annotations
 
+import re
+import warnings
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def fault(pattern: str) -> str | None:
+    """Why the pattern does not compile; None if it does."""
+    try:
+        re.compile(pattern, re.I)
+    except (re.error, OverflowError, RecursionError) as why:
+        return str(why)
+    return None
+
+
+def found(pattern: re.Pattern[str], text: str) -> Iterator[tuple[int, str]]:
+    """(start, hit) of every start at which the pattern matches; matches of no length are left out."""
+    at = pattern.search(text)
+    while at:
+        if at.end() > at.start():
+            yield at.start() + 1, at.group()
+        at = pattern.search(text, at.start() + 1) if at.start() < len(text) else None
+
+
+def _hits(text: Column, hits: Callable[[str], list[tuple[int, str]]]) -> Column:
+    """Struct array (start, hit) made of each text by a function; of a null text an empty one."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": s, "hit": h} for s, h in hits(t)] if t else [] for t in texts], dtype=object)
+
+    return F.pandas_udf(run, "array<struct<start:int,hit:string>>")(text)
+
+
 def starts(text: Column, pattern: str) -> Column:
-    """Struct array (start, hit) of every position where the pattern matches, overlapping ones too, in one pass.
+    """Struct array (start, hit) of every position where the pattern matches, overlapping ones too, whatever the case.
 
-    The pattern is tried ahead of each position, whatever the case, so the text is not copied; a
-    start is the length of what lies between matches so far. Matches of no length are left out.
+    A text is searched from the start after the last match's, so time grows with its length. Matches of no
+    length are left out.
     """
-    ahead = f"(?i)(?=({pattern}))"
-    hits = F.regexp_extract_all(text, F.lit(ahead), F.lit(1))
-    # What a character-wise split leaves between two starts has their distance as length.
-    pieces = F.split(F.regexp_replace(text, ahead, "\u0001"), "\u0001", -1)
-    ends = F.aggregate(
-        F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        F.array().cast("array<int>"),
-        lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(p))),
-    )
-    both = F.transform(hits, lambda h, i: F.struct((F.get(ends, i) + 1).alias("start"), h.alias("hit")))
-    return F.filter(both, lambda x: F.length(x["hit"]) > 0)
+    return _hits(text, lambda t, p=pattern: list(found(re.compile(p, re.I), t)))
 
 
 def valid_pattern(pattern: str) -> bool:
     """Whether the pattern compiles; bad ones are left out of a scan with a warning."""
-    import re
-    import warnings
-
-    try:
-        re.compile(pattern)
-    except re.error as fault:
-        warnings.warn(f"pattern {pattern!r} is left out: {fault}", stacklevel=2)
-        return False
-    return True
+    why = fault(pattern)
+    if why is not None:
+        warnings.warn(f"pattern {pattern!r} is left out: {why}", stacklevel=2)
+    return why is None
 
 
 def overlapping(df: DataFrame, text: str, pattern: str, out: str = "hit") -> DataFrame:
@@ -45,26 +62,22 @@ def overlapping(df: DataFrame, text: str, pattern: str, out: str = "hit") -> Dat
     """
     if not valid_pattern(pattern):
         return df.select("*", F.lit(1).alias("start"), F.lit("").alias(out), F.lit(0).alias("end")).where(F.lit(False))
-    rows = df.withColumn("_x", F.explode(starts(F.col(text), pattern)))
-    return rows.withColumns({"start": F.col("_x.start"), out: F.col("_x.hit")}).withColumn("end", F.col("start") + F.length(out) - 1).drop("_x")
+    return _rows(df, starts(F.col(text), pattern), out)
 
 
 def literal(df: DataFrame, text: str, motif: str, out: str = "hit") -> DataFrame:
     """Overlapping occurrences of a literal string."""
-    quoted = "".join(c if c.isalnum() else "\\" + c for c in motif)
-    rows = df.withColumn("_x", F.explode(F.filter(starts(F.col(text), quoted), lambda x: F.col(text).substr(x["start"], F.lit(len(motif))) == motif)))
-    return rows.withColumns({"start": F.col("_x.start"), out: F.lit(motif)}).withColumn("end", F.col("start") + len(motif) - 1).drop("_x")
+    return _rows(df, _hits(F.col(text), lambda t: list(found(re.compile(re.escape(motif)), t))), out)
+
+
+def _rows(df: DataFrame, hits: Column, out: str) -> DataFrame:
+    rows = df.withColumn("_x", F.explode(hits))
+    return rows.withColumns({"start": F.col("_x.start"), out: F.col("_x.hit")}).withColumn("end", F.col("start") + F.length(out) - 1).drop("_x")
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Struct array (start, hit) of the non-overlapping matches from the left; those of no length are left out."""
-    hits, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    ends = F.aggregate(
-        F.transform(hits, lambda h, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(h).alias("size"))),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda a, p: F.concat(a, F.array(F.struct((F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0)) + p["gap"] + 1).alias("start"), (F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0)) + p["gap"] + p["size"]).alias("end")))),
-    )
-    return F.filter(F.transform(hits, lambda h, i: F.struct(F.get(ends, i)["start"].alias("start"), h.alias("hit"))), lambda x: F.length(x["hit"]) > 0)
+    return _hits(text, lambda t, p=pattern: [(m.start() + 1, m.group()) for m in re.compile(p).finditer(t) if m.group()])
 
 
 def successive(text: Column, pattern: str) -> Column:

@@ -1,11 +1,13 @@
 """Evidence from sequences: hydropathy, signal and anchor tails, membrane segments, class rules.
 
-Every function takes a string column and works on the whole string inside the plan; positions count
-from one. Empty and null sequences give empty or null evidence, never an error.
+Every function takes a string column and works on whole strings; what looks along a sequence goes over
+Arrow batches. Positions count from one. Empty and null sequences give empty or null evidence, never an error.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,20 +38,35 @@ def leading_mean(sequence: Column, residues: int = 30) -> Column:
     return F.coalesce(_mean(F.slice(values(sequence), 1, residues)), F.lit(0.0))
 
 
-def window_means(array: Column, width: int) -> Column:
+def sliding(x: np.ndarray, width: int) -> np.ndarray:
     """Means of all full windows by differences of running sums; empty if there is none."""
-    start = F.struct(F.lit(0.0).alias("sum"), F.array(F.lit(0.0)).alias("sums"))
-    sums = F.aggregate(array, start, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["sums"], F.array(a["sum"] + x)).alias("sums")), lambda a: a["sums"])
-    means = F.transform(F.sequence(F.lit(width), F.size(array)), lambda j: (F.get(sums, j) - F.get(sums, j - width)) / width)
-    return F.when(F.size(array) >= width, means).otherwise(F.array().cast("array<double>"))
+    if len(x) < width:
+        return np.empty(0)
+    sums = np.concatenate([[0.0], np.cumsum(x)])
+    return (sums[width:] - sums[:-width]) / width
+
+
+def window_means(array: Column, width: int) -> Column:
+    """Means of all full windows; empty if there is none."""
+
+    def run(arrays: pd.Series) -> pd.Series:
+        return pd.Series([sliding(np.asarray(x if x is not None else [], float), width) for x in arrays], dtype=object)
+
+    return F.pandas_udf(run, "array<double>")(array)
 
 
 def padded_means(array: Column, width: int) -> Column:
     """As many means as values: full windows by their start, the last one repeated; the overall mean where none is full."""
-    found = window_means(array, width)
-    n = F.size(array)
-    tail = F.array_repeat(F.element_at(found, -1), n - F.size(found))
-    return F.when(n == 0, F.array().cast("array<double>")).when(n < width, F.array_repeat(_mean(array), n)).otherwise(F.concat(found, tail))
+
+    def run(arrays: pd.Series) -> pd.Series:
+        out = []
+        for x in arrays:
+            x = np.asarray(x if x is not None else [], float)
+            means = sliding(x, width) if len(x) >= width else np.full(len(x), x.mean() if len(x) else 0.0)
+            out.append(np.concatenate([means, np.full(len(x) - len(means), means[-1] if len(means) else 0.0)]))
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "array<double>")(array)
 
 
 def best_window(sequence: Column, scanned: int, width: int) -> Column:
@@ -77,27 +94,38 @@ def merged(ranges: Column, gap: int) -> Column:
     return F.aggregate(F.array_sort(ranges), F.array().cast("array<struct<start:int,end:int>>"), step)
 
 
+def windows_over(sequence: str, width: int, threshold: float, gap: int) -> list[tuple[int, int]]:
+    """Segments of one sequence: see segments()."""
+    x = np.array([HYDROPATHY.get(c, 0.0) for c in sequence.upper()])
+    ok = sliding(x, width) >= threshold - 1e-9
+    # Runs of windows over the threshold, as first and last start from 1.
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], ok, [False]]).astype(int)))
+    out: list[tuple[int, int]] = []
+    passed = 0
+    for first, last in zip(edges[::2] + 1, edges[1::2]):
+        first = max(int(first), passed + 1)
+        if first > last:
+            continue
+        passed = int(last) + width - 1
+        if out and first <= out[-1][1] + gap:
+            out[-1] = (out[-1][0], passed)
+        else:
+            out.append((first, passed))
+    return out
+
+
 def segments(sequence: Column, width: int = 19, threshold: float = 1.6, gap: int = 3) -> Column:
-    """Membrane segments as (start, end) by a sequential scan.
+    """Membrane segments as (start, end), by one pass over the window means of a sequence.
 
-    The window means are run over once. A segment opens at a window that reaches the threshold where
-    none is open and the last one's residues are passed; it grows while the following windows reach
-    it. Windows that begin inside a finished segment open none.
+    A segment opens at a window that reaches the threshold where none is open and the last one's
+    residues are passed; it grows while the following windows reach it. Windows that begin inside a
+    finished segment open none. Segments at most `gap` apart are one. Time grows with the length.
     """
-    means = F.transform(window_means(values(sequence), width), lambda m: m >= F.lit(threshold) - F.lit(1e-9))
-    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int>>").alias("done"))
-    numbered = F.transform(means, lambda ok, i: F.struct((i + 1).alias("at"), ok.alias("ok")))
-
-    def step(a: Column, x: Column) -> Column:
-        closed = F.concat(a["done"], F.array(F.struct(a["open"].alias("start"), a["end"].alias("end"))))
-        last = x["at"] + (width - 1)
-        grown = F.struct(a["open"].alias("open"), last.alias("end"), a["done"].alias("done"))
-        opened = F.struct(x["at"].alias("open"), last.alias("end"), a["done"].alias("done"))
-        shut = F.struct(F.lit(0).alias("open"), a["end"].alias("end"), closed.alias("done"))
-        return F.when((a["open"] > 0) & x["ok"], grown).when(a["open"] > 0, shut).when(x["ok"] & (x["at"] > a["end"]), opened).otherwise(a)
-
-    ends = lambda a: F.when(a["open"] > 0, F.concat(a["done"], F.array(F.struct(a["open"].alias("start"), a["end"].alias("end"))))).otherwise(a["done"])
-    return merged(F.aggregate(numbered, start, step, ends), gap)
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": s, "end": e} for s, e in windows_over(t or "", width, threshold, gap)] for t in texts], dtype=object)
+
+    return F.pandas_udf(run, "array<struct<start:int,end:int>>")(sequence)
 
 
 def _in(sequence: Column, at: Column, letters: str) -> Column:

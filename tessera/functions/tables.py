@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import row_numbers
+
 
 def first_column(df: DataFrame, names: Sequence[str]) -> str | None:
     """The first of the names that is a column: as written, else regardless of case."""
@@ -32,13 +33,10 @@ def conformed(df: DataFrame, names: Mapping[str, str], required: Sequence[str],
 
 
 def named(df: DataFrame, column: str, order: Sequence[str], stem: str = "model_") -> DataFrame:
-    """df with names stem1, stem2, ... in the given order where it has no such column.
-
-    One order over all rows is the feature; tables of models are small.
-    """
+    """df with names stem1, stem2, ... in the given order where it has no such column."""
     if column in df.columns:
         return df
-    return df.withColumn(column, F.concat(F.lit(stem), F.row_number().over(W.orderBy(*order)).cast("string")))
+    return row_numbers(df, order, "_number").withColumn(column, F.concat(F.lit(stem), F.col("_number").cast("string"))).drop("_number")
 
 
 def value_columns(df: DataFrame, index: Sequence[str]) -> list[str]:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import scaling
-from . import geometry
+from ..functions import order, scaling
+from . import geometry, relational, selection
 
 # Names and weights of pose columns, residue names of water.
 POSE_NAMES = {"receptor": "Receptor", "ligand": "Ligand", "prediction": "Prediction", "diffdock confidence": "DiffDock_Confidence", "diffdock_confidence": "DiffDock_Confidence", "smina minimized affinity": "SMINA_Minimized_Affinity", "smina_minimized_affinity": "SMINA_Minimized_Affinity", "smina minimized rmsd": "SMINA_Minimized_RMSD", "smina_minimized_rmsd": "SMINA_Minimized_RMSD", "smina affinity": "SMINA_Affinity", "smina_affinity": "SMINA_Affinity"}
@@ -215,3 +215,37 @@ def work_grid(proteins: DataFrame, ligands: DataFrame, done: DataFrame, protein:
     """
     grid = proteins.select(protein).distinct().crossJoin(F.broadcast(ligands.select(ligand).distinct()))
     return grid.join(done.select(protein, ligand, "reason"), [protein, ligand], "left")
+
+
+def held_oxyanions(nitrogens: DataFrame, oxygens: DataFrame, group: str, low: float = 2.5, high: float = 3.5) -> DataFrame:
+    """(group, id, n_held): how many nitrogens of its group an oxygen has in the band, ends included; oxygens without any have 0."""
+    near = geometry.contacts(nitrogens, oxygens, high, by=group).where(F.col("distance") >= low)
+    counts = near.groupBy(group, F.col("right_id").alias("id")).agg(F.count("*").alias("n_held"))
+    return oxygens.select(group, "id").join(counts, [group, "id"], "left").withColumn("n_held", F.coalesce("n_held", F.lit(0)))
+
+
+def final_screen(vina: DataFrame, diffdock: DataFrame, catalytic: DataFrame, key: str, weights: Mapping[str, float], out: str) -> DataFrame:
+    """All ligands of three tables, by two full outer joins, with the weighted score and its rank (the best first, ties by key)."""
+    merged = relational.outer_coalesce(relational.outer_coalesce(vina, diffdock, key), catalytic, key)
+    scored = selection.screen(merged, weights, out)
+    return order.row_numbers(scored.withColumn("_down", -F.round(out, 9)), ["_down", key], "Rank").drop("_down")
+
+
+def cluster_sizes(assigned: DataFrame, outer: str, inner: str) -> DataFrame:
+    """(outer, inner, size) of nested clusters."""
+    return assigned.groupBy(outer, inner).agg(F.count("*").alias("size"))
+
+
+def combined_representatives(assigned: DataFrame, clusters: Sequence[str], rank: Sequence[str]) -> DataFrame:
+    """The first row of each combination of clusters in the order of the columns (nulls last), with the size of its cluster."""
+    best = [F.col(c).asc_nulls_last() for c in rank]
+    sizes = assigned.groupBy(*clusters).agg(F.count("*").alias("size"))
+    return _back(assigned.withColumn("_i", F.row_number().over(W.partitionBy(*clusters).orderBy(*best))).where("_i = 1").drop("_i"), sizes, clusters)
+
+
+def from_template(template: str, values: Mapping[str, str | Column]) -> Column:
+    """A path in which each {name} of the template is the value of that name."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value if isinstance(value, Column) else F.col(value))
+    return out

@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.order import carried, merge_ranges, runs  # noqa: F401  they are relational operators as well
+
 
 def join_all(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner join that fails, with count and five smallest examples, if left has keys right lacks."""
     missing = left.select(key).distinct().join(right, key, "left_anti")
-    first = [str(r[0]) for r in missing.orderBy(key).limit(5).collect()]
-    if first:
-        raise ValueError(f"{missing.count()} {key} values are missing, e.g. {', '.join(first)}")
+    found = missing.count()
+    if found:
+        first = [str(r[0]) for r in missing.orderBy(key).limit(5).collect()]
+        raise ValueError(f"{found} {key} values are missing, e.g. {', '.join(first)}")
     return left.join(right, key)
 
 
@@ -47,32 +50,9 @@ def filter_or_all(df: DataFrame, keys: list[str], condition: Column) -> DataFram
     return df.withColumns({"_ok": ok, "_some": some}).where("_ok or _some = 0").drop("_ok", "_some")
 
 
-def runs(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Runs of equal values: keys, value, first and last position (from 1) and length."""
-    by = W.partitionBy(*keys).orderBy(*order)
-    flagged = df.withColumn("_pos", F.row_number().over(by))
-    flagged = flagged.withColumn("_new", (~F.col(value).eqNullSafe(F.lag(value).over(by)) | (F.col("_pos") == 1)).cast("int"))
-    numbered = flagged.withColumn("_run", F.sum("_new").over(by))
-    return numbered.groupBy(*keys, "_run", value).agg(F.min("_pos").alias("start"), F.max("_pos").alias("end")).withColumn("length", F.col("end") - F.col("start") + 1).drop("_run")
-
-
-def merge_ranges(df: DataFrame, keys: list[str], start: str, end: str, gap: int) -> DataFrame:
-    """Ranges merged where one starts at most `gap` after the end reached so far."""
-    by = W.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1))
-    flagged = df.withColumn("_new", F.when(F.col(start) <= reach + gap, 0).otherwise(1))
-    numbered = flagged.withColumn("_island", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return numbered.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
-
-
 def moving_max(df: DataFrame, keys: list[str], order: list[str], value: str, width: int) -> DataFrame:
     """Per group the greatest mean of `width` successive values and its first position."""
     by = W.partitionBy(*keys).orderBy(*order)
     ahead = by.rowsBetween(0, width - 1)
     rows = df.select(*keys, F.row_number().over(by).alias("pos"), F.avg(value).over(ahead).alias("mean"), F.count("*").over(ahead).alias("n")).where(F.col("n") == width)
     return rows.groupBy(*keys).agg(F.max("mean").alias("best"), F.max_by("pos", F.struct("mean", -F.col("pos"))).cast("int").alias("start"))
-
-
-def carried(df: DataFrame, keys: list[str], order: list[str], column: str, out: str) -> DataFrame:
-    """Per group the last value of the column that is not null, up to each row."""
-    return df.withColumn(out, F.last(column, ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))

@@ -1,7 +1,7 @@
 """Composite scores of models: metrics scaled by their direction, combined by weight, gated and ranked.
 
-An engine is a table of weights. All percentiles of all metrics come from one aggregate, which is
-joined back as one row; every further step is a projection.
+An engine is a table of weights. The percentiles of all metrics are found together; every further step
+is a projection, but for the ranks.
 """
 
 from __future__ import annotations
@@ -10,10 +10,9 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import scaling
+from ..functions import order, scaling
 
 
 @dataclass(frozen=True)
@@ -125,14 +124,8 @@ def scores(df: DataFrame, engine: Engine, key: Sequence[str]) -> DataFrame:
 
 
 def dense_rank(df: DataFrame, score: str, out: str) -> DataFrame:
-    """df with the dense rank of the score, greatest first, null as 0.
-
-    Only the distinct scores are ordered in one place, rounded to nine digits; they are counted
-    before they move.
-    """
-    value = F.round(F.coalesce(F.col(score), F.lit(0.0)), 9)
-    ranks = df.select(value.alias("_v")).distinct().withColumn(out, F.dense_rank().over(W.orderBy(F.desc("_v"))))
-    return df.join(ranks, value == F.col("_v")).drop("_v")
+    """df with the dense rank of the score, greatest first, null as 0; scores count to nine digits."""
+    return order.dense_ranks(df, -F.round(F.coalesce(F.col(score), F.lit(0.0)), 9), out)
 
 
 def representatives(scored: DataFrame, key: str, score: str, groups: Mapping[str, str], first: int = 10) -> DataFrame:
@@ -140,8 +133,8 @@ def representatives(scored: DataFrame, key: str, score: str, groups: Mapping[str
 
     groups: class name by column. Ties go to the smallest key.
     """
-    order = [F.desc(score), F.col(key)]
-    found = [scored.orderBy(*order).limit(first).select(key, F.lit("overall_top").alias("why"))]
+    best_first = [F.desc(score), F.col(key)]
+    found = [scored.orderBy(*best_first).limit(first).select(key, F.lit("overall_top").alias("why"))]
     for column, name in groups.items():
         best = scored.groupBy(column).agg(F.min_by(key, F.struct(-F.col(score), F.col(key))).alias(key))
         found.append(best.select(key, F.lit(name).alias("why")))
@@ -159,8 +152,8 @@ def decision_counts(scored: DataFrame, decision: str = "SelectionDecision") -> D
 def screen(parts: DataFrame, weights: Mapping[str, float], out: str) -> DataFrame:
     """Weighted sum of the columns, null replaced by the column's median, 0.5 where it has none."""
     there = [c for c in weights if c in parts.columns]
-    rows = scaling.with_statistics(parts, *[F.median(scaling.finite(F.col(c))).alias("_m_" + c) for c in there]) if there else parts
-    value = lambda c: F.coalesce(scaling.finite(F.col(c)), F.col("_m_" + c), F.lit(0.5)) if c in there else F.lit(0.5)
+    rows = order.with_percentiles(parts, {"_m_" + c: (scaling.finite(F.col(c)), (0.5,)) for c in there})
+    value = lambda c: F.coalesce(scaling.finite(F.col(c)), F.get("_m_" + c, F.lit(0)), F.lit(0.5)) if c in there else F.lit(0.5)
     total: Column = F.lit(0.0)
     for c, w in weights.items():
         total = total + w * value(c)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scaling, scan
-from ..operators import geometry, relational, selection, summaries
+from ..operators import clusters, geometry, motifs, relational, selection, summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,9 +69,8 @@ MOTIF_SQL = " UNION ALL ".join(f"SELECT '{k}' motif, '^(?:{p})' p" for k, p in M
 
 @query(f"SELECT item_id, motif, CAST(s AS int) AS start, CAST(s + length(h) - 1 AS int) AS \"end\", h hit FROM (SELECT item_id, motif, s, regexp_extract(substring(t, s), p, 0, 'i') h FROM (SELECT item_id, motif, p, text t, unnest(range(1, CAST(length(text) AS bigint) + 1)) s FROM benchmark, ({MOTIF_SQL}))) WHERE h <> ''")
 def ann_motif_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
-    found = [scan.overlapping(text, "t", p).select("item_id", F.lit(k).alias("motif"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "hit") for k, p in MOTIFS]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    library = spark.createDataFrame([(k, p, False) for k, p in MOTIFS], "motif string, pattern string, literal boolean")
+    return motifs.scan(table(spark, sf_dir, "benchmark"), library, "item_id", "text")
 
 
 @query("SELECT item_id, CAST(s AS int) AS start FROM (SELECT item_id, text t, unnest(range(1, CAST(length(text) AS bigint) + 1)) s FROM benchmark) WHERE substring(t, s, 2) = 'ee'")
@@ -245,18 +244,16 @@ def dock_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 POINTS = "SELECT vec_id id, label, CAST(embedding[1] AS double) x, CAST(embedding[2] AS double) y, CAST(embedding[3] AS double) z FROM embeddings"
 
 
-@query(f"WITH p AS ({POINTS}) SELECT left_id, right_id, round(distance, 6) distance FROM (SELECT a.id left_id, b.id right_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) distance FROM p a, p b WHERE a.label = 0 AND b.label = 1) WHERE distance <= 0.1")
+@query(f"WITH p AS ({POINTS}) SELECT left_id, right_id, round(distance, 6) distance FROM (SELECT a.id left_id, b.id right_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) distance FROM p a, p b WHERE a.label < 5 AND b.label >= 5) WHERE distance <= 0.1")
 def dock_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
-    return rounded(geometry.contacts(points.where("label = 0"), points.where("label = 1"), 0.1), "left_id", "right_id")
+    return rounded(geometry.contacts(points.where("label < 5"), points.where("label >= 5"), 0.1), "left_id", "right_id")
 
 
 @query("WITH e AS (SELECT vec_id, label, unnest(embedding) v, generate_subscripts(embedding, 1) i FROM embeddings), d AS (SELECT a.label, a.vec_id x, b.vec_id y, sqrt(sum((CAST(a.v AS double) - CAST(b.v AS double)) ** 2)) d FROM e a JOIN e b ON a.label = b.label AND a.i = b.i GROUP BY 1, 2, 3), m AS (SELECT label, x, round(avg(d), 9) d FROM d GROUP BY 1, 2) SELECT label, CAST(count(*) AS bigint) size, min_by(x, (d, x)) medoid, round(min(d), 6) distance FROM m GROUP BY 1")
 def clu_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("x"), F.col("embedding").cast("array<double>").alias("v"))
-    other = e.select(F.col("label").alias("l"), F.col("x").alias("y"), F.col("v").alias("w"))
-    d = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    means = e.join(other, F.col("label") == F.col("l")).groupBy("label", "x").agg(F.round(F.avg(d), 9).alias("d"))
+    sums = clusters.total_distances(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+    means = sums.select("label", F.col("vec_id").alias("x"), F.round(F.col("total") / F.col("n"), 9).alias("d"))
     return means.groupBy("label").agg(F.count("*").alias("size"), F.min_by("x", F.struct("d", "x")).alias("medoid"), r6(F.min("d")).alias("distance"))
 
 
@@ -298,24 +295,23 @@ def util_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", scan.safe_label(F.col("p_name")).alias("label"))
 
 
-def _clusters(spark: SparkSession, sf_dir: str, method: str, cutoff: float) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "grp")
-    return geometry.cluster(e, "grp", "vec_id", "embedding", method, cutoff)
+def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").withColumnRenamed("label", "grp")
 
 
 @query(None)
 def clu_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir, "average", 1.2)
+    return clusters.linkage(grouped(spark, sf_dir), "grp", "vec_id", "embedding", 1.2, complete=False)
 
 
 @query(None)
 def clu_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir, "complete", 1.2)
+    return clusters.linkage(grouped(spark, sf_dir), "grp", "vec_id", "embedding", 1.2, complete=True)
 
 
 @query(None)
 def clu_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir, "density", 1.0)
+    return clusters.density(grouped(spark, sf_dir), "grp", "vec_id", "embedding", 1.0)
 
 
-from . import extended  # noqa: E402, F401  its queries register themselves
+from . import extended, further  # noqa: E402, F401  their queries register themselves

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scaling, scan, sequences, tables
-from ..operators import checks, docking, geometry, relational, selection, summaries, trajectory
+from ..functions import scaling, sequences, tables
+from ..operators import checks, clusters, docking, geometry, motifs, relational, selection, summaries, trajectory
 from ..sinks import files as sinks
 from ..sources import structures
 from .catalogue import query, r6, rounded, table
@@ -335,7 +335,7 @@ def dock_pose_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH e AS (SELECT vec_id, label, embedding[1:63] v FROM embeddings) SELECT a.label AS label, a.vec_id AS \"left\", b.vec_id AS \"right\", round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (CAST(p[1] AS double) - CAST(p[2] AS double)) ** 2)) / 21), 5) AS rmsd FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id")
 def clu_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.slice("embedding", 1, 63).alias("p"))
-    return geometry.pairwise_rmsd(e, "label", "vec_id", "p", align=False).withColumn("rmsd", F.round("rmsd", 5))
+    return clusters.near_pairs(e, "label", "vec_id", "p", None).select("label", "left", "right", F.round(F.col("distance") / 21**0.5, 5).alias("rmsd"))
 
 
 @query(None)
@@ -492,11 +492,12 @@ def snk_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("source", "([0-9]+)", 1).cast("bigint").alias("s_suppkey"), "destination")
 
 
-@query("SELECT user_id, CAST(start AS int) AS start, hit FROM (SELECT user_id, 0 start, '' hit FROM events) WHERE false")
+@query("SELECT DISTINCT p_brand AS motif, substr('([{', CAST(p_size % 3 + 1 AS int), 1) || p_type AS pattern FROM part WHERE p_size % 3 < 2")
 def util_no_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pattern that does not compile gives no rows."""
-    rows = table(spark, sf_dir, "events").select("user_id", "event_type")
-    return scan.overlapping(rows, "event_type", "(").select("user_id", F.col("start").cast("int").alias("start"), "hit")
+    """Patterns that do not compile, each a row of its own: those of an open bracket, not those of a brace."""
+    opening = F.substring(F.lit("([{"), (F.col("p_size") % 3 + 1).cast("int"), F.lit(1))
+    library = table(spark, sf_dir, "part").select(F.col("p_brand").alias("motif"), F.concat(opening, "p_type").alias("pattern"), F.lit(False).alias("literal")).distinct()
+    return motifs.faults(library).select("motif", "pattern")
 
 
 @query("SELECT l_suppkey, count(*) n, round(stddev_pop(l_tax) FILTER (WHERE i <= k), 6) AS first_std, round(stddev_pop(l_tax) FILTER (WHERE i > n0 - k), 6) AS last_std FROM (SELECT *, greatest(3, floor(n0 * 0.2)) k FROM (SELECT l_suppkey, l_tax, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) i, count(*) OVER (PARTITION BY l_suppkey) n0 FROM lineitem)) GROUP BY 1")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scan, sequences, tables
+from ..functions import sequences, tables
 from ..operators import checks, docking, relational, selection, trajectory
+from ..operators.motifs import scan
 from ..sources import structures, text_tables
 
 
@@ -20,13 +22,18 @@ def candidates(spark: SparkSession, sheet: str, families: str, cutoff: float = 1
     """
     listed = text_tables.samples(spark, sheet).collect()
     checks.inputs_exist(spark, [p for r in listed for p in (r["fasta"], r["domtblout"]) if p])
-    species = spark.createDataFrame([(r["species"], r["fasta"], r["domtblout"]) for r in listed], "species string, fasta string, domtblout string")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+
+    def full(path: str) -> str:
+        """The path with its file system, but for local ones, as files are named when they are read."""
+        system = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        return re.sub("^file:/+", "/", system.makeQualified(hadoop(path)).toString())
 
     def of(column: str) -> DataFrame:
-        """Whole files with their species, told apart by the end of their path."""
+        """Whole files with their species, by their full path."""
         paths = [r[column] for r in listed if r[column]]
-        whole = text_tables.files(spark, *paths)
-        return whole.join(F.broadcast(species.select("species", F.col(column).alias("_p"))), F.col("path").endswith(F.col("_p")))
+        given = spark.createDataFrame([(r["species"], full(r[column])) for r in listed if r[column]], "species string, _p string")
+        return text_tables.files(spark, *paths).join(given, F.regexp_replace("path", "^file:/+", "/") == F.col("_p"))
 
     records, found = of("fasta"), of("domtblout")
     known = text_tables.fasta(records.select(F.col("species").alias("path"), "value"), strict=True).select(F.col("path").alias("species"), F.col("seq_id").alias("protein_id")).distinct()
@@ -43,10 +50,8 @@ def annotation(records: DataFrame, motifs: Sequence[tuple[str, str]], signals: D
 
     signals: (id, found, cut); membranes: (id, ranges); evidence goes before what the sequence itself tells.
     """
-    found = None
-    for name, pattern in motifs:
-        one = scan.overlapping(records.select("seq_id", "sequence"), "sequence", pattern).select("seq_id", F.lit(name).alias("motif"), "start", "end", "hit")
-        found = one if found is None else found.unionByName(one)
+    library = records.sparkSession.createDataFrame([(n, p, False) for n, p in motifs], "motif string, pattern string, literal boolean")
+    found = scan(records, library, "seq_id", "sequence")
     s, m = signals.select(F.col("id").alias("_s"), F.struct("found", "cut").alias("_signal")), membranes.select(F.col("id").alias("_m"), F.col("ranges").alias("_ranges"))
     rows = records.join(s, F.col("seq_id") == F.col("_s"), "left").join(m, F.col("seq_id") == F.col("_m"), "left")
     sequence = F.col("sequence")

@@ -6,6 +6,7 @@ gives a row that says so, or none, never a failed job, unless a reader is asked
 
 from __future__ import annotations
 
+import functools
 import io
 import json
 import math
@@ -13,7 +14,7 @@ import shlex
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences
@@ -319,3 +320,15 @@ def model_faults(models_: DataFrame, key: str, ligand_atoms: int, needed: Sequen
     rules |= {"differs from the first model": (F.col("smiles") == F.col("_first.smiles")) & (F.col("pairs") == F.col("_first.pairs")), "repeated mode": F.col("_n") == F.col("_d")}
     broken = F.concat(F.array_compact(F.array(F.col("fault"))), F.when(F.col("fault").isNull(), F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in rules.items()]))).otherwise(F.array().cast("array<string>")))
     return rows.select(key, "mode", F.explode(broken).alias("fault"))
+
+
+# Kinds of files by their ending.
+KINDS = {"structures": (".cif", ".mmcif", ".pdb"), "jsons": (".json",), "npzs": (".npz",)}
+
+
+def grouped_files(files: DataFrame, key: Column, path: str = "path") -> DataFrame:
+    """(key, structures, jsons, npzs): the sorted paths of each kind per key; other endings are left out."""
+    low = F.lower(F.col(path))
+    is_kind = {k: functools.reduce(lambda a, b: a | b, (low.endswith(e) for e in ends)) for k, ends in KINDS.items()}
+    kept = files.where(functools.reduce(lambda a, b: a | b, is_kind.values()))
+    return kept.groupBy(key.alias("key")).agg(*[F.array_sort(F.collect_list(F.when(c, F.col(path)))).alias(k) for k, c in is_kind.items()])

@@ -6,6 +6,8 @@ Each takes a DataFrame of lines (path, line_no, value) or of whole files (path,
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,18 +83,6 @@ def fasta_paths(spark: SparkSession, given: list[str], folders: list[str], suffi
     return list(dict.fromkeys(out))
 
 
-def motif_library(df: DataFrame, order: str) -> DataFrame:
-    """(section, motif_id, pattern, region) of a motif table in which rows of one filled cell head a section.
-
-    df: family, motif_id, pattern, region and an order column; a row without id and pattern names the
-    section of those after it. A row's own family goes before its section's.
-    """
-    head = F.coalesce(F.trim("motif_id"), F.lit("")).eqNullSafe("") & F.coalesce(F.trim("pattern"), F.lit("")).eqNullSafe("")
-    section = F.last(F.when(head, F.nullif(F.trim("family"), F.lit(""))), ignorenulls=True).over(W.orderBy(order))
-    rows = df.withColumns({"_head": head, "_section": section}).where("not _head")
-    return rows.select(F.coalesce(F.nullif(F.trim("family"), F.lit("")), "_section").alias("section"), F.trim("motif_id").alias("motif_id"), F.trim("pattern").alias("pattern"), F.trim("region").alias("region"))
-
-
 def fasta(whole: DataFrame, strict: bool = False) -> DataFrame:
     """(path, seq_id, description, sequence): upper case, blanks and stars dropped, empty ones left out; strict: a file without any raises."""
     records = whole.select("path", F.explode(F.filter(F.split("value", "(?m)^>"), lambda r: F.trim(r) != "")).alias("r"))
@@ -194,35 +184,57 @@ REPORTED = {
 }
 
 
+#: Per cent in brackets on the lines of a backbone report, by what the line says (the first that fits).
+BACKBONE = (("disfavored conformations", "cablam_disfavored"), ("outlier conformations", "cablam_outliers"), ("severe ca geometry outliers", "cablam_severe"), ("helix-like", "cablam_helix"))
+#: The numbers of a contact-area report in order.
+AREAS = ("voro_dark", "voro_light")
+
+
 def reported(whole: DataFrame) -> DataFrame:
     """(path, one column per figure) of the reports of validation tools; what is not there is null."""
     return whole.select("path", *[number(F.nullif(F.regexp_extract("value", p, 1), F.lit(""))).alias(c) for c, p in REPORTED.items()])
 
 
-def blocks(rows: list[list[str | None]], required: list[str], clean=str) -> list[tuple[str, dict[str, str | None]]]:
-    """(system, row) of a sheet with two header rows: systems above the columns of their blocks.
+def backbone_report(whole: DataFrame) -> DataFrame:
+    """(path, one column per figure): the first bracketed per cent of the last line of each kind; severe outliers are no plain ones."""
+    lines = F.filter(F.split("value", "\r?\n"), lambda x: x.rlike(r"\([0-9.]+%\)"))
+
+    def kind(line: Column) -> Column:
+        low, out = F.lower(line), F
+        for part, name in BACKBONE:
+            fits = low.contains(part) & ~low.contains("severe") if name == "cablam_outliers" else low.contains(part)
+            out = out.when(fits, F.lit(name))
+        return out.otherwise(F.lit(None))
+
+    found = F.transform(lines, lambda x: F.struct(kind(x).alias("k"), F.regexp_extract(x, r"\(([0-9.]+)%\)", 1).alias("v")))
+    rows = whole.select("path", found.alias("f"))
+    of = lambda name: F.filter("f", lambda x: x["k"] == name)
+    return rows.select("path", *[number(F.get(F.reverse(of(name)), F.lit(0))["v"]).alias(name) for _, name in BACKBONE])
+
+
+def area_report(whole: DataFrame) -> DataFrame:
+    """(path, one column per figure): the numbers that stand alone, in order."""
+    numbers = F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x.rlike(r"^-?[0-9.]+$"))
+    return whole.select("path", *[number(F.get(numbers, F.lit(i))).alias(name) for i, name in enumerate(AREAS)])
+
+
+def block_rows(cells: DataFrame, required: Sequence[str]) -> DataFrame:
+    """(sheet, system, row_no, the required columns) of sheets with two header rows: systems above the columns of their blocks.
 
-    Blank system cells belong to the block on their left. Blocks of fewer than two of the required
-    columns are left out, as are rows without the first of them.
+    cells: sheet, row_no (from 0) and values (array of strings). The name of a system holds for the blank cells to its
+    right. Of equal columns of a block the first counts; blocks of fewer than two of the required columns are
+    left out, as are rows without the first of them.
     """
-    if len(rows) < 2:
-        return []
-    systems: list[str] = []
-    for cell in rows[0]:
-        systems.append(cell if cell and not cell.startswith("Unnamed") else systems[-1] if systems else "")
-    out = []
-    for system in dict.fromkeys(s for s in systems if s):
-        at: dict[str, int] = {}
-        for i, (s, c) in enumerate(zip(systems, rows[1])):
-            if s == system and c and clean(c) in required:
-                at.setdefault(clean(c), i)
-        if len(at) < 2:
-            continue
-        for row in rows[2:]:
-            found = {c: row[i] if i < len(row) else None for c, i in at.items()}
-            if found.get(required[0]) not in (None, ""):
-                out.append((system, found))
-    return out
+    each = cells.select("sheet", "row_no", F.posexplode("values").alias("col", "value")).withColumn("value", F.nullif(F.trim("value"), F.lit("")))
+    own = F.when(~F.col("value").startswith("Unnamed"), F.col("value"))
+    carry = W.partitionBy("sheet").orderBy("col").rowsBetween(W.unboundedPreceding, W.currentRow)
+    systems = each.where("row_no = 0").select("sheet", "col", F.last(own, ignorenulls=True).over(carry).alias("system"))
+    names = each.where("row_no = 1").select("sheet", "col", F.col("value").alias("name")).where(F.col("name").isin(*required))
+    at = systems.where("system is not null").join(names, ["sheet", "col"]).groupBy("sheet", "system", "name").agg(F.min("col").alias("col"))
+    whole = at.groupBy("sheet", "system").agg(F.count("*").alias("n")).where("n >= 2").select("sheet", "system")
+    placed = each.where("row_no > 1").join(F.broadcast(at.join(whole, ["sheet", "system"])), ["sheet", "col"])
+    found = placed.groupBy("sheet", "system", "row_no").agg(*[F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in required])
+    return found.where(F.col(f"`{required[0]}`").isNotNull())
 
 
 def atoms(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scaling, scan, sequences, tables
-from tessera.operators import checks, docking, geometry, relational, selection, summaries, trajectory
+from tessera.operators import axes, checks, docking, geometry, relational, selection, summaries, trajectory
 from tessera.plans import catalogue, pipelines
 from tessera.sinks import files as sinks
 from tessera.sources import structures, text_tables
@@ -293,7 +293,8 @@ def test_table_rules(spark):
     names = spark.createDataFrame([("RP4_CE20_5",), ("xCE18:1",), ("other",)], "s string")
     assert [r[0] for r in names.select(tables.system_label(F.col("s"))).collect()] == ["RP4–CE20:5", "CE18:1", "other"]
     assert tables.keywords("L=a, b;M=c;x") == {"L": ["a", "b"], "M": ["c"]} and tables.clean_name(" RMSD (Å).1") == "RMSD (A)"
-    assert tables.first_column(rows.toDF("Model"), ["name", "model"]) == "model" or True
+    assert tables.first_column(rows.toDF("Model"), ["name", "model"]) == "Model"
+    assert tables.first_column(rows.toDF("Model"), ["name", "other"]) is None and tables.first_column(rows.toDF("model"), ["Model", "model"]) == "model"
     paths = spark.createDataFrame([("/r/sys/a/x.xvg",), ("/q/sys2/y.xvg",)], "p string")
     assert [r[0] for r in paths.select(tables.system_of(F.col("p"), "/r")).collect()] == ["sys", "sys2"]
     assert [r[0] for r in spark.createDataFrame([("a/95.2/80",), ("x",)], "s string").select(tables.support(F.col("s"))).collect()] == [80.0, None]
@@ -311,9 +312,11 @@ def test_readers_of_text(spark):
     assert [(r["id"], [tuple(x) for x in r["ranges"]]) for r in calls] == [("P1", [(10, 30), (40, 60)]), ("P2", [])]
     xvg = text_tables.series(lines('@ s0 legend "Rg"\n# c\n0 1.5 2\n1 1.6\nbad row\n')).orderBy("line_no", "column").collect()
     assert [(r["name"], r["value"]) for r in xvg] == [("time", 0.0), ("Rg", 1.5), ("y2", 2.0), ("time", 1.0), ("Rg", 1.6), ("y2", None)]
-    library = spark.createDataFrame([(1, "CD36", "", "", ""), (2, "", "M1", "A+", "x"), (3, "NPC", None, None, ""), (4, "", "M2", "B", ""), (5, "own", "M3", "C", "")], "i int, family string, motif_id string, pattern string, region string")
-    assert [tuple(r)[:2] for r in text_tables.motif_library(library, "i").orderBy("motif_id").collect()] == [("CD36", "M1"), ("NPC", "M2"), ("own", "M3")]
-    assert text_tables.blocks([["A", None, "B"], ["Frame", "x", "Frame"], ["1", "2", "3"], ["", "5", "6"]], ["Frame", "x"]) == [("A", {"Frame": "1", "x": "2"})]
+    cells = spark.createDataFrame([("s", 0, ["A", None, "B", "C", ""]), ("s", 1, ["Frame", "x", "Frame", "x", "Frame"]), ("s", 2, ["1", "2", "3", "4", "9"]), ("s", 3, ["", "5", "6", "7", ""])], "sheet string, row_no int, values array<string>")
+    assert sorted(tuple(r)[1:] for r in text_tables.block_rows(cells, ["Frame", "x"]).collect()) == [("A", 2, "1", "2"), ("C", 2, "9", "4")]
+    report = "SUMMARY: 12 (3.5%) disfavored conformations\nSUMMARY: 4 (1.25%) outlier conformations\nSUMMARY: 2 severe CA geometry outliers (0.5%)\n9 (40%) helix-like"
+    assert tuple(text_tables.backbone_report(spark.createDataFrame([("p", report)], "path string, value string")).first()) == ("p", 3.5, 1.25, 0.5, 40.0)
+    assert tuple(text_tables.area_report(spark.createDataFrame([("p", "model.pdb 0.41 -1.5\n7")], "path string, value string")).first()) == ("p", 0.41, -1.5)
     report = text_tables.reported(spark.createDataFrame([("p", "MolProbity score = 1.5\nClashscore: 3\nTM-score= 0.7")], "path string, value string")).first()
     assert (report["molprobity_score"], report["clashscore"], report["tm_score"], report["rmsd"]) == (1.5, 3.0, 0.7, None)
 
@@ -407,3 +410,24 @@ def test_stream_equals_batch(spark, tmp_path):
     run.awaitTermination(120)
     plain = lambda df: sorted((str(r["start"]), r["event_type"], r["n"], round(r["total"], 6)) for r in df.collect())
     assert plain(spark.table("found")) == plain(windows.event_statistics(events))
+
+
+def test_projection_equals_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 6)) @ np.diag([5, 3, 1, 0.5, 0.2, 0.1]) + 1e6
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(999, None)], "i int, v array<double>").repartition(4)
+    got = {r["i"]: (r["pc1"], r["pc2"]) for r in axes.project(df, "i", "v").collect()}
+    centred = x - x.mean(axis=0)
+    _, _, vt = np.linalg.svd(centred, full_matrices=False)
+    want = centred @ vt[:2].T
+    assert len(got) == 200
+    for k in (0, 1):
+        own = np.array([got[i][k] for i in range(200)])
+        assert min(np.abs(own - want[:, k]).max(), np.abs(own + want[:, k]).max()) < 1e-6
+    assert axes.project(df.limit(0), "i", "v").count() == 0
+
+
+def test_names_where_there_are_none(spark):
+    rows = spark.createDataFrame([(3, "a"), (1, "b")], "i int, s string")
+    assert {r["i"]: r["model"] for r in tables.named(rows, "model", ["i"]).collect()} == {1: "model_1", 3: "model_2"}
+    assert tables.named(rows, "s", ["i"]).columns == ["i", "s"]
