@@ -24,7 +24,7 @@ WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
 #: Items in a block of the index.
 BLOCK = 16
-#: Words of half a passage at least; passages overlap by half and hold any item whole.
+#: Words of half a passage at least. Passages overlap by half, so those of an item's width hold it whole.
 HALF = 64
 NGRAM = 3
 NO_ITEM = 1 << 60
@@ -40,6 +40,14 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:at], words[at:]
 
 
+def half_of(words: int) -> int:
+    """Half the width of the passages in which an item of so many words is looked for: HALF, doubled until it fits."""
+    half = HALF
+    while half < words:
+        half *= 2
+    return half
+
+
 Pair = tuple[str, str]
 
 
@@ -92,8 +100,15 @@ class Index:
                 postings[w].append((i, x / total))
             self.parts.append([(n, ngrams(p, n)) for p in (q, a) if p for n in [min(NGRAM, len(p))]])
         self.postings = {w: ([i for i, _ in p], [x for _, x in p]) for w, p in postings.items()}
-        self.half = max(HALF, of_all.longest)
+        self.half = half_of(of_all.longest)
         self.most = {w: max(x) for w, (_, x) in self.postings.items()}
+        # An item's own length sets the passages it is looked for in; long items do not widen those of others.
+        self.width = [half_of(n) for n in lengths]
+        self.most_by_width: dict[int, dict[Pair, float]] = {h: {} for h in sorted(set(self.width))}
+        for w, (numbers, weights) in self.postings.items():
+            for i, x in zip(numbers, weights):
+                own = self.most_by_width[self.width[i]]
+                own[w] = max(own.get(w, 0.0), x)
         # Only the blocks that hold a term have an entry.
         self.block_most: dict[Pair, dict[int, float]] = {}
         for w, (i, x) in self.postings.items():
@@ -147,20 +162,23 @@ class Index:
         words = WORD.findall(text.lower())
         if not words or not self.ids:
             return {}
-        most = self.most.get
         pairs = list(zip(words, words[1:]))
         if not pairs:
             return {}
-        bound = np.add.reduceat(np.array([most(p, 0.0) for p in pairs]), np.arange(0, len(pairs), self.half))
-        passages = bound[:-1] + bound[1:] if len(bound) > 1 else bound
         out: dict[int, tuple[float, float, float]] = {}
-        for k in np.flatnonzero(passages >= least_score):
-            # One word more than pairs.
-            passage = words[k * self.half : (k + 2) * self.half + 1]
-            for item, score in self.retrieve(set(zip(passage, passage[1:])), least_score):
-                shares = self.overlaps(item, passage)
-                if min(shares) >= least_overlap:
-                    out[item] = max(out.get(item, (0.0, 0.0, 0.0)), (score, shares[0], shares[-1]))
+        for half, weights in self.most_by_width.items():
+            most = weights.get
+            bound = np.add.reduceat(np.array([most(p, 0.0) for p in pairs]), np.arange(0, len(pairs), half))
+            passages = bound[:-1] + bound[1:] if len(bound) > 1 else bound
+            for k in np.flatnonzero(passages >= least_score):
+                # One word more than pairs.
+                passage = words[k * half : (k + 2) * half + 1]
+                for item, score in self.retrieve(set(zip(passage, passage[1:])), least_score):
+                    if self.width[item] != half:
+                        continue
+                    shares = self.overlaps(item, passage)
+                    if min(shares) >= least_overlap:
+                        out[item] = max(out.get(item, (0.0, 0.0, 0.0)), (score, shares[0], shares[-1]))
         return out
 
 

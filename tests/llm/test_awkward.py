@@ -209,3 +209,36 @@ def test_pipeline_runs_whole(spark, tmp_path, docs, labels):
         assert r["offset"] == ends.get(r["sequence_id"], 0)
         ends[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(ends.values()) <= 1024
+
+
+def test_a_long_item_changes_no_other_verdict(spark):
+    rng = np.random.default_rng(21)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary, 20))) for i in range(30)]
+    long = " ".join(rng.choice(vocabulary, 1000))
+    rows = []
+    for i, (_, text) in enumerate(items):
+        words = text.split()
+        rows.append((i, " ".join(rng.choice(vocabulary, 500)) + " " + text + " " + " ".join(rng.choice(vocabulary, 300))))
+        # Scattered halves of an item, far apart in a text: no leak, unless passages are as wide as the long item.
+        rows.append((100 + i, (" " + " ".join(rng.choice(vocabulary, 150)) + " ").join(" ".join(words[k : k + 4]) for k in range(0, 20, 4))))
+    rows.append((200, "before " + long + " after"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for name, own in (("short", items), ("both", [*items, (99, long)])):
+        got = decontamination.find_leaks(docs, spark.createDataFrame(own, "item_id long, text string")).collect()
+        found[name] = {(r["doc_id"], r["item_id"]) for r in got}
+    assert found["short"] == {(i, i) for i in range(30)}
+    assert found["both"] == found["short"] | {(200, 99)}
+
+
+def test_every_query_takes_empty_tables(spark, tmp_path):
+    """All tables without rows: every query gives its columns, and no row that stands for one."""
+    from tessera.llm import catalogue as training
+
+    schemas = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "embeddings": "vec_id long, embedding array<float>, label int", "pages": "page_id long, url string, html string", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int"}
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name, run in training.queries().items():
+        found = run(spark, str(tmp_path))
+        assert found.count() == 0 and found.columns, name
