@@ -242,3 +242,30 @@ def test_every_query_takes_empty_tables(spark, tmp_path):
     for name, run in training.queries().items():
         found = run(spark, str(tmp_path))
         assert found.count() == 0 and found.columns, name
+
+
+def test_line_dedup_finds_scattered_edits(spark):
+    """One line of 20 for each length and share of replaced characters, and its edited copy; recall by cell."""
+    rng = np.random.default_rng(17)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    vocabulary = ["".join(rng.choice(letters, rng.integers(3, 9))) for _ in range(4000)]
+    rows, cells = [], {}
+    for size in (40, 100, 150, 250, 400):
+        for share in (0.05, 0.1):
+            for block in (False, True):
+                for _ in range(20):
+                    line = list(" ".join(rng.choice(vocabulary, size // 4 + 5))[:size].strip().ljust(size, "x"))
+                    k = int(share * size)
+                    first = int(rng.integers(size - k))
+                    other = list(line)
+                    for i in range(first, first + k) if block else rng.choice(size, k, replace=False):
+                        other[i] = str(rng.choice(letters))
+                    n = len(rows)
+                    cells.setdefault((size, share, block), []).append(n + 1)
+                    rows += [(n, "".join(line)), (n + 1, "".join(other))]
+    found = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed = 1").collect()}
+    assert not found & {n for n, _ in rows if n % 2 == 0}
+    recall = {cell: len(found & set(own)) / len(own) for cell, own in cells.items()}
+    assert all(r >= (0.9 if cell[1] == 0.05 or cell[2] else 0.7) for cell, r in recall.items()), recall
+    scattered = [r for cell, r in recall.items() if not cell[2]]
+    assert sum(scattered) / len(scattered) >= 0.9, recall
