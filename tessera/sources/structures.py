@@ -303,6 +303,33 @@ def models(df: DataFrame, key: str, text: str, **parts) -> DataFrame:
     return df.select(key, text).mapInPandas(run, f"{key} {kind}, {MODEL_SCHEMA}, fault string")
 
 
+#: What begins a model of a file; the text reader cuts files there, wherever its byte ranges fall.
+MODEL_MARK = "\nMODEL "
+
+
+def model_texts(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, text): one row per model of docking results, large files being read by several tasks.
+
+    What stands before a file's first model is left out.
+    """
+    rows = spark.read.text(list(paths), lineSep=MODEL_MARK).select(F.col("_metadata.file_path").alias("path"), "value")
+    first, number = F.col("value").rlike("^MODEL\\s"), F.col("value").rlike(r"^\s*\d+\s*([\r\n]|$)")
+    whole = F.when(first, F.col("value")).when(number, F.concat(F.lit(MODEL_MARK[1:]), "value"))
+    return rows.select("path", whole.alias("text")).where("text is not null")
+
+
+def model_files(spark: SparkSession, *paths: str, **parts) -> DataFrame:
+    """One row per model of the files (path, mode, scores, smiles, pairs, atoms, fault), like models(); a fault is that of one model."""
+    return models(model_texts(spark, *paths), "path", "text", **parts)
+
+
+def model_scores(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, mode, score, rmsd_lb, rmsd_ub) of each model, without reading its atoms."""
+    told = r"REMARK\s+VINA\s+RESULT:\s+(\S+)\s+(\S+)\s+(\S+)"
+    rows = model_texts(spark, *paths)
+    return rows.select("path", F.regexp_extract("text", r"^MODEL\s+(\d+)", 1).try_cast("int").alias("mode"), *[F.regexp_extract("text", told, i).try_cast("double").alias(c) for i, c in enumerate(("score", "rmsd_lb", "rmsd_ub"), 1)])
+
+
 def model_faults(models_: DataFrame, key: str, ligand_atoms: int, needed: Sequence[str]) -> DataFrame:
     """(key, mode, fault) of models that lack atoms, repeat serials or do not map atoms 1..n, or that differ from the file's first."""
     ligand = F.filter("atoms", lambda a: a["part"] == "ligand")
