@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import order, scaling
-from . import geometry, relational, selection
+from . import geometry, relational, selection, summaries
 
 # Names and weights of pose columns, residue names of water.
 POSE_NAMES = {"receptor": "Receptor", "ligand": "Ligand", "prediction": "Prediction", "diffdock confidence": "DiffDock_Confidence", "diffdock_confidence": "DiffDock_Confidence", "smina minimized affinity": "SMINA_Minimized_Affinity", "smina_minimized_affinity": "SMINA_Minimized_Affinity", "smina minimized rmsd": "SMINA_Minimized_RMSD", "smina_minimized_rmsd": "SMINA_Minimized_RMSD", "smina affinity": "SMINA_Affinity", "smina_affinity": "SMINA_Affinity"}
@@ -89,24 +89,10 @@ def log_summary(modes: DataFrame, key: str, share: float = 0.1) -> DataFrame:
     plain = modes.groupBy(key).agg(top.alias("_t"), F.min("Affinity").alias("Best_Affinity"), F.avg("Affinity").alias("Mean_Affinity"), F.avg("RMSD_lb").alias("Mean_RMSD_lb"), F.count("*").alias("NumModes"))
     plain = plain.select(key, *[F.col("_t." + c).alias("Top1_" + c) for c in ("Affinity", "RMSD_lb", "RMSD_ub")], "Best_Affinity", "Mean_Affinity", "Mean_RMSD_lb", "NumModes")
     for c in ("Affinity", "RMSD_lb"):
-        plain = plain.join(trimmed(modes, [key], c, share, "TrimmedMean_" + c), key, "left")
+        plain = plain.join(summaries.trimmed_mean(modes, [key], c, share).select(key, F.col("trimmed").alias("TrimmedMean_" + c)), key, "left")
     return plain
 
 
-def trimmed(df: DataFrame, keys: Sequence[str], value: str, share: float, out: str) -> DataFrame:
-    """Mean without the floor(n * share) least and greatest values of each group.
-
-    Rows are counted per distinct value first; only values are ordered, and each weighs what of it
-    lies between the cuts.
-    """
-    counts = df.where(scaling.finite(F.col(value)).isNotNull()).groupBy(*keys, scaling.finite(F.col(value)).alias("_v")).agg(F.count("*").alias("_k"))
-    by = W.partitionBy(*keys)
-    rows = counts.withColumns({"_n": F.sum("_k").over(by), "_end": F.sum("_k").over(by.orderBy("_v"))})
-    cut = F.floor(F.col("_n") * share)
-    inside = F.greatest(F.least("_end", F.col("_n") - cut) - F.greatest(F.col("_end") - F.col("_k"), cut), F.lit(0))
-    return rows.groupBy(*keys).agg((F.sum(F.col("_v") * inside) / F.sum(inside)).alias(out))
-
-
 def contact_statistics(contacts: DataFrame, keys: Sequence[str], pose: str, residue: str, distance: str, high: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(frequency per residue, statistics per group) of pose contacts.
 
@@ -211,9 +197,9 @@ def matched_files(poses: DataFrame, files: DataFrame, prediction: str = "Predict
 def work_grid(proteins: DataFrame, ligands: DataFrame, done: DataFrame, protein: str, ligand: str) -> DataFrame:
     """Every protein with every ligand, and why a pair is skipped (null: it is not).
 
-    Both lists are small by nature; the ligands are broadcast. done: protein, ligand, reason.
+    The grid is the result; whether a side is small enough to broadcast is left to the optimizer. done: protein, ligand, reason.
     """
-    grid = proteins.select(protein).distinct().crossJoin(F.broadcast(ligands.select(ligand).distinct()))
+    grid = proteins.select(protein).distinct().crossJoin(ligands.select(ligand).distinct())
     return grid.join(done.select(protein, ligand, "reason"), [protein, ligand], "left")
 
 

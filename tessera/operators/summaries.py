@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scaling import finite
+
 
 def distribution(c: str) -> list[Column]:
     """n, mean, sd (sample, 0 for one value), sem, median, quartiles, min and max."""
@@ -43,11 +45,18 @@ def slices(df: DataFrame, keys: list[str], order: list[str], value: str) -> Data
 
 
 def trimmed_mean(df: DataFrame, keys: list[str], value: str, share: float = 0.1) -> DataFrame:
-    """Mean without the floor(n * share) least and greatest values of each group."""
+    """Mean without the floor(n * share) least and greatest values of each group, and n.
+
+    Rows are counted per distinct value first; only values are ordered, and each weighs what of it
+    lies between the cuts. What is no finite number is left out.
+    """
+    x = finite(F.col(value))
+    counts = df.where(x.isNotNull()).groupBy(*keys, x.alias("_v")).agg(F.count("*").alias("_k"))
     by = W.partitionBy(*keys)
-    rows = df.where(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(by.orderBy(value)), "_n": F.count("*").over(by)})
+    rows = counts.withColumns({"_n": F.sum("_k").over(by), "_end": F.sum("_k").over(by.orderBy("_v"))})
     cut = F.floor(F.col("_n") * share)
-    return rows.where((F.col("_i") > cut) & (F.col("_i") <= F.col("_n") - cut)).groupBy(*keys).agg(F.avg(value).alias("trimmed"), F.max("_n").alias("n"))
+    inside = F.greatest(F.least("_end", F.col("_n") - cut) - F.greatest(F.col("_end") - F.col("_k"), cut), F.lit(0))
+    return rows.groupBy(*keys).agg((F.sum(F.col("_v") * inside) / F.sum(inside)).alias("trimmed"), F.max("_n").alias("n"))
 
 
 def column_profile(df: DataFrame, text: str) -> DataFrame:

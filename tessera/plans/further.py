@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import order, tables
-from ..operators import axes, docking, motifs, selection, trees
+from ..functions import order, sequences, tables
+from ..operators import axes, docking, geometry, motifs, selection, summaries, trees
 from ..sources import structures, text_tables
 from .catalogue import query, r6, table
 
@@ -191,3 +191,45 @@ def md_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def util_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.numbered(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "n").select("event_id", "n")
 
+
+
+# --- geometry and sequences -----------------------------------------------------------------------
+
+_V = "SELECT vec_id, [embedding[i]::double for i in range(1, 4)] a, [embedding[i]::double for i in range(4, 7)] b FROM embeddings"
+
+
+@query(f"SELECT vec_id, round(degrees(acos(greatest(-1, least(1, list_dot_product(a, b) / nullif(sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)), 0))))), 6) AS angle FROM ({_V})")
+def geo_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The angle between the first three and the next three components."""
+    e = table(spark, sf_dir, "embeddings")
+    part = lambda first: [F.col("embedding")[i].cast("double") for i in range(first, first + 3)]
+    return e.select("vec_id", r6(geometry.angle(part(0), part(3))).alias("angle"))
+
+
+_MODELS = "SELECT vec_id, [{'x': embedding[3 * i + 1]::double, 'y': embedding[3 * i + 2]::double, 'z': embedding[3 * i + 3]::double} for i in range(0, 10)] p, [{'x': embedding[3 * i + 31]::double, 'y': embedding[3 * i + 32]::double, 'z': embedding[3 * i + 33]::double} for i in range(0, 10)] q FROM embeddings"
+_CENTRED = "(p[i].{0} - list_avg([u.{0} for u in p])) - (q[i].{0} - list_avg([u.{0} for u in q]))"
+
+
+@query(
+    f"WITH r AS (SELECT vec_id, sqrt(list_avg([({_CENTRED.format('x')}) ** 2 + ({_CENTRED.format('y')}) ** 2 + ({_CENTRED.format('z')}) ** 2 for i in range(1, 11)])) r FROM ({_MODELS})) "
+    "SELECT vec_id, round(r, 6) rmsd, round((8 / sqrt(10.0 * 12)) / (1 + (r / 3) ** 2), 6) q FROM r"
+)
+def geo_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of two halves of a vector, read as ten points each, about their centres; and the Q-score it gives."""
+    point = lambda i: F.struct(*[F.col("embedding")[i + k].cast("double").alias(c) for k, c in enumerate("xyz")])
+    halves = [F.array(*[point(first + 3 * i) for i in range(10)]) for first in (0, 30)]
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", geometry.centred_rmsd(*halves).alias("r"))
+    return rows.select("vec_id", r6("r").alias("rmsd"), r6(geometry.q_score(F.lit(8.0), F.lit(10.0), F.lit(12.0), F.col("r"))).alias("q"))
+
+
+@query("WITH c AS (SELECT pos, upper(substr(text, pos, 1)) c FROM (SELECT text, unnest(range(1, CAST(length(text) AS bigint) + 1)) pos FROM benchmark)) SELECT CAST(pos AS int) AS pos, count(*) n, count(*) FILTER (WHERE c IN ('-', '.')) gaps, " + ", ".join(f"count(*) FILTER (WHERE c = '{x}') AS \"{x}\"" for x in "ACDE") + " FROM c GROUP BY 1")
+def ann_column_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.column_counts(table(spark, sf_dir, "benchmark"), "text", "ACDE").withColumn("pos", F.col("pos").cast("int"))
+
+
+@query("WITH e AS (SELECT vec_id, unnest(embedding)::double v, generate_subscripts(embedding, 1) i FROM embeddings), m AS (SELECT vec_id, i, avg(v) OVER w m FROM e WINDOW w AS (PARTITION BY vec_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING)) SELECT vec_id, CAST(i AS int) AS i, round(coalesce(CASE WHEN i <= 56 THEN m END, max(CASE WHEN i = 56 THEN m END) OVER (PARTITION BY vec_id)), 6) AS mean FROM m")
+def ann_padded_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of nine components from each one on; the last full window stands for those after it."""
+    means = sequences.padded_means(F.col("embedding"), 9)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(means).alias("i", "mean"))
+    return rows.select("vec_id", (F.col("i") + 1).alias("i"), r6("mean").alias("mean"))

@@ -6,9 +6,10 @@ import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import sequences, tables
+from ..functions import order, scaling, sequences, tables
 from ..operators import checks, docking, relational, selection, trajectory
 from ..operators.motifs import scan
 from ..sources import structures, text_tables
@@ -66,14 +67,72 @@ def annotation(records: DataFrame, motifs: Sequence[tuple[str, str]], signals: D
     return {"hits": found, "features": features, "summary": summary, "families": checks.skipped_small(records, "family")}
 
 
-def evaluation(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """`residues`, `chains`, `models` of the mmCIF files below path, and `confidences` of its JSON files, by model."""
+# Weights of the parts of a model's quality, and its bands.
+QUALITY = {"structure": 0.35, "motif": 0.25, "json_plddt": 0.20, "iptm": 0.15, "ptm": 0.10, "ranking": 0.10, "pae": 0.10}
+BANDS = [(90.0, "very_high"), (70.0, "confident"), (50.0, "low")]
+LOWEST, NO_VALUE = "very_low", "not_available"
+
+
+def quality(models: DataFrame) -> DataFrame:
+    """models with the integrated score, 0 to 100: parts clamped to their range, weights renormalised over those there are.
+
+    Columns: structure, motif, json_plddt (counts where there is no motif), iptm, ptm, ranking (0 to 1.5 read as
+    a share), pae (30 and more count nothing).
+    """
+    clamp = lambda c, most: F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(0.0)), F.lit(most)))
+    ranking = F.when(F.col("ranking") <= 1.5, F.col("ranking") * 100).otherwise(F.col("ranking"))
+    parts = {
+        "structure": clamp(F.col("structure"), 100.0), "motif": clamp(F.col("motif"), 100.0), "json_plddt": F.when(F.col("motif").isNull(), clamp(F.col("json_plddt"), 100.0)),
+        "iptm": clamp(F.col("iptm"), 1.0) * 100, "ptm": clamp(F.col("ptm"), 1.0) * 100, "ranking": clamp(ranking, 100.0), "pae": clamp(100.0 - F.col("pae") / 30.0 * 100.0, 100.0),
+    }
+    rows = models.withColumns({"_p_" + k: c for k, c in parts.items()})
+    return rows.withColumn("integrated_quality_score_0_100", scaling.weighted_mean({"_p_" + k: w for k, w in QUALITY.items()})).drop(*["_p_" + k for k in parts])
+
+
+def motif_values(atoms: DataFrame, residues: DataFrame, chains: DataFrame, motifs: Sequence[str], literal: bool = True) -> DataFrame:
+    """Per hit of a motif in a chain: start, end, residue labels, and statistics of the values of its atoms."""
+    session = atoms.sparkSession
+    library = session.createDataFrame([(m, m, literal) for m in motifs], "motif string, pattern string, literal boolean")
+    named = chains.select(F.to_json(F.struct("model", "chain")).alias("key"), "model", "chain", "sequence")
+    hits = scan(named, library, "key", "sequence").join(named.drop("sequence"), "key").drop("key")
+    place = W.partitionBy("model", "chain").orderBy("order", "resname")
+    placed = residues.select("model", "chain", "resid", "resname", "residue_name_1", F.row_number().over(place).alias("position"))
+    inside = hits.select("model", "chain", "motif", "start", "end", "hit", F.explode(F.sequence("start", "end")).alias("position")).join(placed, ["model", "chain", "position"])
+    each = inside.join(atoms, ["model", "chain", "resid", "resname"])
+    label = F.struct("position", F.concat("residue_name_1", "resid").alias("label"))
+    found = each.groupBy("model", "chain", "motif", "start", "end", "hit").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_set(label)), lambda x: x["label"]), ";").alias("residue_labels"), F.count("*").alias("atom_count"),
+        F.avg("value").alias("mean_plddt"), F.median("value").alias("median_plddt"), F.min("value").alias("min_plddt"), F.max("value").alias("max_plddt"),
+    )
+    return found.withColumn("quality_band", scaling.band(F.col("mean_plddt"), BANDS, LOWEST, NO_VALUE))
+
+
+def evaluation(spark: SparkSession, path: str, motifs: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """The tables of the structure files, confidence JSON and array archives below path, by model.
+
+    `residues`, `chains`, `motifs` (hits with their values), `confidences`, `pairs` (matrices over chains), `arrays`,
+    and `models`: files of each kind, means, bands and the integrated score, scored models first, best first.
+    """
     model = tables.group_stem(F.col("path")).alias("model")
+    files = structures.files(spark, [path], [e for ends in structures.KINDS.values() for e in ends])
+    grouped = structures.grouped_files(files, tables.group_stem(F.col("path"))).withColumnRenamed("key", "model")
+    told = structures.texts(spark, path, "*.json").select(model, "text")
     atoms = structures.loop_atoms(structures.texts(spark, path, "*.cif").select(model, "text"), "model", "text")
     residues = structures.residues(atoms, "model")
     chains = structures.chains(residues, "model")
-    values = structures.json_values(structures.texts(spark, path, "*.json").select(model, "text"), "model", "text")
-    return {"residues": residues, "chains": chains, "models": chains.groupBy("model").agg(F.avg("mean_plddt").alias("mean_plddt")), "confidences": structures.value_statistics(values, ["model", "metric"])}
+    hits = motif_values(atoms, residues, chains, motifs)
+    confidences = structures.value_statistics(structures.json_values(told, "model", "text"), ["model", "metric"])
+    held = structures.arrays(spark, path).select(model, "path", "name", "values", "status")
+    arrays = structures.value_statistics(held, ["model", "path", "name", "status"]).withColumn("metric_guess", tables.first_rule(F.col("name"), tables.METRIC_RULES, "unknown"))
+    means = {"plddt": "json_plddt", "pae": "pae", "iptm": "iptm", "ptm": "ptm", "ranking_score": "ranking"}
+    by_model = confidences.groupBy("model").pivot("metric", list(means)).agg(F.avg("mean")).withColumnsRenamed(means)
+    structure = chains.groupBy("model").agg(F.avg("mean_plddt").alias("structure"))
+    motif = hits.groupBy("model").agg(F.avg("mean_plddt").alias("motif"))
+    joined = grouped.join(structure, "model", "left").join(motif, "model", "left").join(by_model, "model", "left")
+    bands = {c + "_band": scaling.band(F.col(c), BANDS, LOWEST, NO_VALUE) for c in ("structure", "motif")}
+    models = quality(joined).withColumns(bands).withColumn("mean_plddt", F.col("structure"))
+    ordered = order.row_numbers(models.withColumn("_down", -F.col("integrated_quality_score_0_100")).withColumn("_none", F.col("_down").isNull()), ["_none", "_down", "model"], "place").drop("_down", "_none")
+    return {"residues": residues, "chains": chains, "motifs": hits, "confidences": confidences, "pairs": structures.chain_pairs(told, "model", "text"), "arrays": arrays, "models": ordered}
 
 
 def choice(metrics: DataFrame, key: str, groups: dict[str, str], engine: str = "auto", first: int = 10) -> dict[str, DataFrame]:
@@ -89,10 +148,10 @@ def docking_run(poses: DataFrame, first: int = 10) -> dict[str, DataFrame]:
     plain = tables.conformed(poses, docking.POSE_NAMES, [*keys, "Prediction"], ["DiffDock_Confidence", "SMINA_Minimized_Affinity", "SMINA_Minimized_RMSD"])
     ranked = docking.rank_poses(plain, "SMINA_Minimized_Affinity", "SMINA_Minimized_RMSD", "DiffDock_Confidence")
     members = docking.score_bins(ranked, keys, [("SMINA_Minimized_Affinity", 0.25), ("SMINA_Minimized_RMSD", 0.5)])
-    order = [F.desc("global_pose_score"), F.asc_nulls_last("SMINA_Minimized_Affinity"), F.asc_nulls_last("SMINA_Minimized_RMSD"), F.col("Prediction")]
+    best_first = [F.desc("global_pose_score"), F.asc_nulls_last("SMINA_Minimized_Affinity"), F.asc_nulls_last("SMINA_Minimized_RMSD"), F.col("Prediction")]
     best = [-F.col("global_pose_score"), F.coalesce("SMINA_Minimized_Affinity", F.lit(float("inf"))), F.coalesce("SMINA_Minimized_RMSD", F.lit(float("inf"))), F.col("Prediction")]
     clusters = docking.cluster_summary(members, keys, "ClusterID", best, ["Prediction", "global_pose_score"], ["SMINA_Minimized_Affinity", "SMINA_Minimized_RMSD"])
-    return {"members": members, "clusters": clusters, "top": relational.top(members, keys, order, first, "TopPoseRank")}
+    return {"members": members, "clusters": clusters, "top": relational.top(members, keys, best_first, first, "TopPoseRank")}
 
 
 def trajectory_run(series: dict[str, DataFrame], start: float) -> dict[str, DataFrame]:

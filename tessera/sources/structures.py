@@ -103,6 +103,46 @@ def json_values(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, f"{key} {schema[key]}, metric string, values array<double>")
 
 
+# Names of matrices over pairs of chains.
+PAIRWISE = {"chain_pair_iptm": ("chain_pair_iptm", "pair_iptm"), "chain_pair_pae_min": ("chain_pair_pae_min", "pair_pae_min"), "chain_pair_pde": ("chain_pair_pde", "pair_pde")}
+
+
+def matrices(data: object) -> Iterator[tuple[str, int, int, float]]:
+    """(metric, row, column, value), counted from 1, of every matrix under one of the names, at any depth."""
+    names = {n: m for m, all_ in PAIRWISE.items() for n in all_}
+    waiting = [data]
+    while waiting:
+        x = waiting.pop()
+        if isinstance(x, dict):
+            for k, v in x.items():
+                m = names.get(str(k).lower())
+                if m and isinstance(v, list):
+                    for i, row in enumerate(v, 1):
+                        for j, value in enumerate(row if isinstance(row, list) else (), 1):
+                            yield from ((m, i, j, n) for n in numbers([value] if not isinstance(value, list) else []))
+            waiting.extend(reversed(x.values()))
+        elif isinstance(x, list):
+            waiting.extend(reversed(x))
+
+
+def chain_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, metric, row_chain_index, col_chain_index, value) of each text's matrices; texts that are no JSON give none."""
+    schema = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    rows += [(k, *found) for found in matrices(json.loads(t))]
+                except (TypeError, ValueError):
+                    continue
+            kinds = (batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [key, "metric", "row_chain_index", "col_chain_index", "value"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {schema[key]}, metric string, row_chain_index int, col_chain_index int, value double")
+
+
 def value_statistics(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     """mean, median, min, max and number of the gathered values; null but 0 without any."""
     flat = values.select(*keys, F.explode_outer("values").alias("v"))

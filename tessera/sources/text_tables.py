@@ -252,9 +252,3 @@ def atoms(rows: DataFrame) -> DataFrame:
         cut(22, 1).alias("chain"), cut(23, 4).try_cast("int").alias("resid"), *[number(cut(a, 8)).alias(c) for a, c in ((31, "x"), (39, "y"), (47, "z"))],
         number(cut(55, 6)).alias("occupancy"), number(cut(61, 6)).alias("bfactor"), element.alias("element"),
     ).where("x is not null and y is not null and z is not null and resid is not null")
-
-
-def write_fasta(df: DataFrame, path: str, family: str = "family", seq_id: str = "seq_id", sequence: str = "sequence") -> None:
-    """One directory per family with the distinct records, sorted by id within a file."""
-    rows = df.select(family, seq_id, sequence).distinct().select(family, seq_id, F.concat(F.lit(">"), seq_id, F.lit("\n"), sequence).alias("value"))
-    rows.repartition(family).sortWithinPartitions(family, seq_id).select(family, "value").write.mode("overwrite").partitionBy(family).text(path)

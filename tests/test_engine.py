@@ -388,6 +388,19 @@ def test_runs_of_models_poses_and_frames(spark, tmp_path):
     made = pipelines.evaluation(spark, str(tmp_path))
     assert made["models"].first()["mean_plddt"] == 85.0 and made["chains"].first()["sequence"] == "HG"
     assert {r["model"] for r in made["confidences"].collect()} == {"ceh"}
+    (tmp_path / "npc_model_0.cif").write_text("loop_\n_atom_site.label_asym_id\n_atom_site.label_seq_id\n_atom_site.label_comp_id\n_atom_site.B_iso_or_equiv\n" + "".join(f"A {i} {n} {v}\n" for i, n, v in ((1, "HIS", 60), (2, "GLY", 70), (2, "GLY", 90), (3, "HIS", 40), (4, "GLY", 50))) + "#\n")
+    (tmp_path / "confidence_npc.json").write_text('{"iptm": 0.5, "pae": [[3, 9]], "deep": {"pair_iptm": [[0.1, "x"], [0.3, 0.4]]}, "ranking_score": 80}')
+    np.savez(tmp_path / "npc_model_0.npz", pae_full=np.array([1.0, 3.0]))
+    made = pipelines.evaluation(spark, str(tmp_path), ["HG", "GH"])
+    hits = sorted((r["model"], r["motif"], r["start"], r["residue_labels"], r["atom_count"], r["mean_plddt"], r["quality_band"]) for r in made["motifs"].collect())
+    assert hits == [("ceh", "HG", 1, "H1;G2", 2, 85.0, "confident"), ("npc", "GH", 2, "G2;H3", 3, pytest.approx(200 / 3), "low"), ("npc", "HG", 1, "H1;G2", 3, pytest.approx(220 / 3), "confident"), ("npc", "HG", 3, "H3;G4", 2, 45.0, "very_low")]
+    assert sorted(tuple(r)[1:] for r in made["pairs"].collect()) == [("chain_pair_iptm", 1, 1, 0.1), ("chain_pair_iptm", 2, 1, 0.3), ("chain_pair_iptm", 2, 2, 0.4)]
+    assert [(r["name"], r["metric_guess"], r["mean"], r["count"]) for r in made["arrays"].collect()] == [("pae_full", "pae", 2.0, 2)]
+    models = made["models"].orderBy("place").collect()
+    motif = (200 / 3 + 220 / 3 + 45) / 3
+    npc = (0.35 * 57.5 + 0.25 * motif + 0.15 * 50 + 0.10 * 80 + 0.10 * 80) / 0.95
+    assert [r["model"] for r in models] == ["ceh", "npc"] and models[1]["integrated_quality_score_0_100"] == pytest.approx(npc)
+    assert models[0]["integrated_quality_score_0_100"] == pytest.approx((0.35 * 85 + 0.25 * 85 + 0.10 * 80) / 0.70) and len(models[1]["npzs"]) == 1 and models[1]["structure_band"] == "low"
     metrics = spark.createDataFrame([(f"m{i}", float(i), i % 2) for i in range(8)], "model string, clashscore double, global_cluster int")
     chosen = pipelines.choice(metrics, "model", {"global_cluster": "best_per_global_cluster"}, first=1)
     assert {r["model"]: r["RepresentativeClass"] for r in chosen["representatives"].collect()} == {"m0": "best_per_global_cluster;overall_top", "m1": "best_per_global_cluster"}
