@@ -32,6 +32,13 @@ def outer_coalesce(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"_r_{c}")) for c in shared}).drop(*[f"_r_{c}" for c in shared])
 
 
+def merged(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Two tables by their key; where one lacks it, the rows of both, with nulls for columns of the other."""
+    if key in left.columns and key in right.columns:
+        return outer_coalesce(left, right, key)
+    return left.unionByName(right, allowMissingColumns=True)
+
+
 def first_non_null(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
     """Per group and column, the first non-null value in the given order."""
     rank = F.struct(*order)

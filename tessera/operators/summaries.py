@@ -69,7 +69,7 @@ def column_profile(df: DataFrame, text: str) -> DataFrame:
 
 def column_counts(df: DataFrame, text: str, letters: str, gaps: str = "-.") -> DataFrame:
     """Per position of aligned strings: rows, gaps, and the number of each letter (whatever its case)."""
-    chars = df.select(F.posexplode(F.split(F.upper(text), "")).alias("pos", "c")).where("c <> ''")
+    chars = df.select(F.posexplode(F.split(text, "")).alias("pos", "c")).where("c <> ''").withColumn("c", F.upper("c"))
     return chars.groupBy((F.col("pos") + 1).alias("pos")).agg(F.count("*").alias("n"), F.count_if(F.col("c").isin(*gaps)).alias("gaps"), *[F.count_if(F.col("c") == x).alias(x) for x in letters])
 
 

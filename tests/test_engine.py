@@ -444,3 +444,10 @@ def test_names_where_there_are_none(spark):
     rows = spark.createDataFrame([(3, "a"), (1, "b")], "i int, s string")
     assert {r["i"]: r["model"] for r in tables.named(rows, "model", ["i"]).collect()} == {1: "model_1", 3: "model_2"}
     assert tables.named(rows, "s", ["i"]).columns == ["i", "s"]
+
+
+def test_tables_merge_with_and_without_a_key(spark):
+    a, b = spark.createDataFrame([(1, "x", None), (2, None, 5)], "m int, s string, n int"), spark.createDataFrame([(2, "y", 7), (3, "z", 8)], "m int, s string, k int")
+    assert sorted(tuple(r) for r in relational.merged(a, b, "m").select("m", "s", "n", "k").collect()) == sorted([(1, "x", None, None), (2, "y", 5, 7), (3, "z", None, 8)])
+    rows = relational.merged(a, b.drop("m"), "m").select("m", "s", "n", "k").collect()
+    assert {tuple(r) for r in rows} == {(1, "x", None, None), (2, None, 5, None), (None, "y", None, 7), (None, "z", None, 8)}
