@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import scan, sequences
+
 
 def files(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, value) of whole text files."""
@@ -146,6 +148,45 @@ def topologies(whole: DataFrame) -> DataFrame:
     return whole.select(F.explode(found).alias("r")).select(F.trim(head[0]).alias("id"), F.trim(head[1]).alias("label"), part[1].alias("sequence"), part[2].alias("topology"))
 
 
+# Names of the features, and the states of a topology line.
+MEMBRANE, SIGNAL, STATES = ("tmhelix", "transmembrane", "tm"), ("signal", "signal_peptide", "sp"), "^[SIMOousim]+$"
+
+
+def topology_calls(rows: DataFrame) -> DataFrame:
+    """(id, label, ranges, has_signal, signal_start, signal_end, source) of topology predictions, whatever their form.
+
+    rows: path, line_no, value, of feature tables (id, source, feature, start, end between tabs, or id, feature, start, end between
+    blanks) and of three-line records (`>id | label`, sequence, states), bare or in Markdown fences. Membrane ranges of
+    both that touch are one; a record's first run of signal states goes before a feature line's, whose last one counts.
+    """
+    tabs, blanks = F.split("value", "\t"), F.split(F.trim("value"), "\\s+")
+    wide = F.size(tabs) >= 5
+    at = lambda i, j: F.when(wide, F.trim(F.get(tabs, F.lit(i)))).otherwise(F.get(blanks, F.lit(j)))
+    lines = rows.where((F.trim("value") != "") & ~F.trim("value").startswith("#") & ~F.trim("value").startswith("```"))
+    marked = lines.select("path", "line_no", at(0, 0).alias("id"), F.lower(at(2, 1)).alias("kind"), at(3, 2).try_cast("int").alias("start"), at(4, 3).try_cast("int").alias("end"))
+    marked = marked.where(F.col("kind").isin(*MEMBRANE, *SIGNAL) & F.col("start").isNotNull() & F.col("end").isNotNull())
+    span = F.struct("start", "end")
+    features = marked.groupBy("id").agg(
+        F.collect_list(F.when(F.col("kind").isin(*MEMBRANE), span)).alias("f_ranges"), F.max_by(F.when(F.col("kind").isin(*SIGNAL), span), F.when(F.col("kind").isin(*SIGNAL), F.struct("path", "line_no"))).alias("f_signal"),
+    )
+    after = W.partitionBy("path").orderBy("line_no")
+    follow = rows.where((F.trim("value") != "") & (F.trim("value") != "```")).select("path", "line_no", F.trim("value").alias("head"), *[F.regexp_replace(F.lead("value", i).over(after), "\\s", "").alias(c) for i, c in ((1, "sequence"), (2, "states"))])
+    header = F.split(F.substring("head", 2, 1 << 20), "\\|", 2)
+    found = follow.where(F.col("head").startswith(">") & (F.length("sequence") > 0) & F.col("states").rlike(STATES) & (F.length("states") >= F.greatest(F.lit(5), F.floor(F.length("sequence") / 2))))
+    found = found.select("path", "line_no", F.get(F.split(F.trim(F.get(header, F.lit(0))), "\\s+"), F.lit(0)).alias("id"), F.trim(F.coalesce(F.get(header, F.lit(1)), F.lit(""))).alias("label"), F.upper("states").alias("states"))
+    spans = lambda letter: F.transform(scan.matches(F.col("states"), letter + "+"), lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["hit"]) - 1).alias("end")))
+    found = found.withColumns({"m": spans("M"), "s": F.get(spans("S"), F.lit(0))})
+    records = found.groupBy("id").agg(F.flatten(F.collect_list("m")).alias("r_ranges"), F.max_by("label", F.struct("path", "line_no")).alias("label"), F.max_by("s", F.when(F.col("s").isNotNull(), F.struct("path", "line_no"))).alias("r_signal"))
+    both = features.join(records, "id", "full_outer")
+    signal = F.coalesce("r_signal", "f_signal")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return both.select(
+        "id", F.coalesce("label", F.lit("")).alias("label"), sequences.merged(F.concat(F.coalesce("f_ranges", none), F.coalesce("r_ranges", none)), 1).alias("ranges"),
+        (signal.isNotNull() | F.upper(F.coalesce("label", F.lit(""))).contains("SP")).alias("has_signal"), signal["start"].alias("signal_start"), signal["end"].alias("signal_end"),
+        F.when(F.col("label").isNotNull(), F.lit("DeepTMHMM/3line")).otherwise(F.lit("DeepTMHMM/GFF")).alias("source"),
+    )
+
+
 def series(rows: DataFrame) -> DataFrame:
     """(path, line_no, column, name, value) of XVG files; headers and lines without numbers are skipped.
 

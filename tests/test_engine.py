@@ -451,3 +451,10 @@ def test_tables_merge_with_and_without_a_key(spark):
     assert sorted(tuple(r) for r in relational.merged(a, b, "m").select("m", "s", "n", "k").collect()) == sorted([(1, "x", None, None), (2, "y", 5, 7), (3, "z", None, 8)])
     rows = relational.merged(a, b.drop("m"), "m").select("m", "s", "n", "k").collect()
     assert {tuple(r) for r in rows} == {(1, "x", None, None), (2, None, 5, None), (None, "y", None, 7), (None, "z", None, 8)}
+
+
+def test_topologies_of_every_form(spark):
+    text = "# gff\nP1\tx\tTMhelix\t5\t9\nP1\tx\tTMhelix\t10\t12\nP1 signal 1 4\nP2\tx\tinside\t1\t3\n```\n>P3 extra | SP+TM\nMKKLLAA\n\nSSSMMMO\n```\n>P1 | TM\nMKKLLAAMKKLLAAMKKLLAA\nIIIIIIIIIIIIIIIMMMOOO\n>P4 | SP\nMKKLL\nIIIII\n>P5 | TM\nMKKLL\nMMxMM\n"
+    rows = spark.createDataFrame([("p", i, v) for i, v in enumerate(text.split("\n"))], "path string, line_no int, value string")
+    got = {r["id"]: (r["label"], [tuple(x) for x in r["ranges"]], r["has_signal"], r["signal_start"], r["signal_end"], r["source"][-5:]) for r in text_tables.topology_calls(rows).collect()}
+    assert got == {"P1": ("TM", [(5, 12), (16, 18)], True, 1, 4, "3line"), "P3": ("SP+TM", [(4, 6)], True, 1, 3, "3line"), "P4": ("SP", [], True, None, None, "3line")}
