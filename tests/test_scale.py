@@ -173,3 +173,19 @@ def test_pairs_and_totals_by_blocks(spark, points):
     assert got == want
     totals = {(r["g"], r["i"]): (round(r["total"], 9), r["n"]) for r in clusters.total_distances(df, "g", "i", "v", size=16).collect()}
     assert totals == {(g, i): (round(float(d[a].sum()), 9), len(ids)) for g, ids, d in by_group(rows) for a, i in enumerate(ids)}
+
+
+def test_superposed_blocks(spark):
+    """All pairs by blocks equal pairs superposed one by one, also copies, mirror images, flat, straight and empty shapes."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 21))
+    x[1], x[2] = x[0], x[0] * np.tile([1, 1, -1], 7)
+    x[3], x[4], x[5] = x[3] * np.tile([1, 1, 0], 7), x[4] * np.tile([1, 0, 0], 7), 0
+    df = spark.createDataFrame([(i % 2, i // 2, v.tolist()) for i, v in enumerate(np.repeat(x, 2, axis=0))], "g int, i int, v array<double>")
+    found = geometry.pairwise_rmsd(df, "g", "i", "v")
+    # Each item's points travel once a block: no row of a join holds the points of one pair.
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    got = {(r["g"], r["left"], r["right"]): r["rmsd"] for r in found.collect()}
+    assert len(got) == 2 * 40 * 39 // 2
+    for (_, a, b), d in got.items():
+        assert d == pytest.approx(geometry.rmsd(x[a].reshape(-1, 3), x[b].reshape(-1, 3)), abs=1e-9)
