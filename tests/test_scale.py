@@ -189,3 +189,44 @@ def test_superposed_blocks(spark):
     assert len(got) == 2 * 40 * 39 // 2
     for (_, a, b), d in got.items():
         assert d == pytest.approx(geometry.rmsd(x[a].reshape(-1, 3), x[b].reshape(-1, 3)), abs=1e-9)
+
+
+@pytest.mark.parametrize("complete", [False, True])
+def test_linkage_looks_at_few_rows(complete):
+    """Equal to merging the lowest pair of the whole table, ties too, in time that does not grow with its cube."""
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=(60, 3)), rng.integers(0, 3, size=(60, 2)).astype(float)):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        e, sets = np.where(np.eye(len(d), dtype=bool), np.inf, d), {i: [i] for i in range(len(d))}
+        while len(sets) > 1:
+            i, j = divmod(int(np.argmin(e)), len(d))
+            if e[i, j] > 0.9:
+                break
+            a, b = len(sets[i]), len(sets[j])
+            row = np.maximum(e[i], e[j]) if complete else (a * e[i] + b * e[j]) / (a + b)
+            e[i], e[:, i] = row, row
+            e[i, i], e[j], e[:, j] = np.inf, np.inf, np.inf
+            sets[i] += sets.pop(j)
+        want = {frozenset(v) for v in sets.values()}
+        labels = geometry.linkage_labels(d, 0.9, complete)
+        assert {frozenset(np.flatnonzero(labels == k)) for k in set(labels)} == want
+    x = rng.normal(size=(1500, 3))
+    d = np.stack([np.sqrt(((x - row) ** 2).sum(axis=1)) for row in x])
+    started = time.process_time()
+    geometry.linkage_labels(d, 5.0, complete)
+    assert time.process_time() - started < 6
+
+
+def test_large_nested_clusters_go_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "WHOLE", 25)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(50, 2))
+    outer = [int(i >= 20) for i in range(50)]
+    df = spark.createDataFrame([(0, outer[i], i, v.tolist()) for i, v in enumerate(x)], "g int, o int, i int, v array<double>")
+    found = geometry.nested_labels(df, "g", "o", "i", "v", "average", 0.8)
+    assert "parquet" in found._jdf.queryExecution().toString()
+    got = {r["i"]: r["label"] for r in found.collect()}
+    for o in (0, 1):
+        own = np.flatnonzero(np.array(outer) == o)
+        d = np.sqrt(((x[own][:, None] - x[own][None]) ** 2).sum(axis=2))
+        assert [got[i] for i in own] == [f"H{o}_L{k}" for k in geometry.linkage_labels(d, 0.8, False)]
