@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import catalogue, decontamination, jaccard_join, line_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
+from tessera.llm import catalogue, decontamination, jaccard_join, line_dedup, linking, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
 from tessera.llm.common import labelled_sample
 
 CLASH = ("y", "_id", "all", "n_lines", "n_removed", "_doc", "_near", "_drop", "key", "id", "n", "u", "v", "score", "rid", "component_id", "_maybe", "_cut")
@@ -271,3 +271,50 @@ def test_line_dedup_finds_scattered_edits(spark):
     assert all(r >= least(*cell) for cell, r in recall.items()), recall
 
 
+
+
+def test_line_dedup_compares_all_pairs_of_a_long_list(spark):
+    """Lines that share a long passage, in pairs whose other parts have no twelve characters in common: as comparing all with all."""
+    rng = np.random.default_rng(23)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    passage = "".join(rng.choice(letters, 116))
+    lines = []
+    for _ in range(30):
+        own = rng.choice(letters, 70)
+        other = own.copy()
+        other[3::8] = rng.choice(letters, len(other[3::8]))
+        lines += ["".join(own) + passage, "".join(other) + passage]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in line_dedup.lines_of(docs, 20).collect()}
+
+    def linked(i, j):
+        a, b = found[i], found[j]
+        bits = sum(((a[c] ^ b[c]) & (1 << 64) - 1).bit_count() for c in ("s0", "s1"))
+        n = max(a["n"], b["n"])
+        return bool(set(a["keys"]) & set(b["keys"])) and bits <= line_dedup.APART and line_dedup.distance_within(lines[i], lines[j], int(0.2 * n + 1e-9))
+
+    least = list(range(len(lines)))
+    for j in range(len(lines)):
+        for i in range(j):
+            if linked(i, j) and least[i] != least[j]:
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    expected = {i for i, x in enumerate(least) if x != i}
+    assert len(expected) >= 20
+    assert {r["doc_id"] for r in line_dedup.removals(docs).collect()} == expected
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_links_of_long_lists_are_whole(spark, block):
+    """Links of one list of 60 items, and of short ones, against a plain union; blocks of any size."""
+    members = spark.createDataFrame([(1, i) for i in range(60)] + [(2, 60), (2, 61), (3, 61), (3, 62)], "key long, id long")
+    nodes = spark.createDataFrame([(i, i) for i in range(63)], "id long, n int")
+    is_linked = (F.col("v") - F.col("u") == 20) | ((F.col("u") % 9 == 4) & (F.col("v") == F.col("u") + 1)) | (F.col("u") >= 60)
+    got = {r["node"]: r["component"] for r in linking.link(members, nodes, lambda a, b: F.abs(a("n") - b("n")) <= 20, lambda pairs, _: pairs.where(is_linked), 12, block).collect()}
+    least = list(range(63))
+    for i in range(63):
+        for j in range(i + 1, 63):
+            if (j < 60 and (j - i == 20 or i % 9 == 4 and j == i + 1)) or (i >= 60 and j == i + 1):
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    assert got == dict(enumerate(least))
