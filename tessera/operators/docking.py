@@ -188,7 +188,9 @@ def matched_files(poses: DataFrame, files: DataFrame, prediction: str = "Predict
     wanted = [p, base(p), F.concat(p, F.lit(".sdf")), F.concat(stemmed(p), F.lit(".sdf")), stemmed(p)]
     asked = poses.select(p.alias("_p")).distinct().withColumnRenamed("_p", prediction)
     asked = asked.select(p.alias("_asked"), F.posexplode(F.array(*wanted)).alias("_rank", "_name"))
-    offered = files.select(F.col(path).alias("_path"), F.explode(F.array_distinct(F.array(F.col(path), base(F.col(path)), stemmed(F.col(path))))).alias("_n"))
+    # A path offered many times is one file, and a name needs only its least path.
+    offered = files.select(F.col(path).alias("_path")).distinct().withColumnRenamed("_path", path)
+    offered = offered.select(F.col(path).alias("_path"), F.explode(F.array_distinct(F.array(F.col(path), base(F.col(path)), stemmed(F.col(path))))).alias("_n")).groupBy("_n").agg(F.min("_path").alias("_path"))
     hit = asked.join(offered, F.col("_name") == F.col("_n")).groupBy("_asked").agg(F.min_by("_path", F.struct("_rank", "_path")).alias("PosePath"))
     joined = poses.join(hit, p == F.col("_asked"), "left").drop("_asked")
     return joined.where("PosePath is not null"), joined.where("PosePath is null").drop("PosePath").withColumn("Reason", F.lit("SDF_not_found"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import order, scan, sequences
-from tessera.operators import clusters, geometry, graph, motifs, relational, selection
+from tessera.operators import clusters, docking, geometry, graph, motifs, relational, selection
 
 
 @pytest.fixture
@@ -238,3 +238,13 @@ def test_row_numbers_of_some_megabytes_need_more_than_one_task(spark):
     found = order.row_numbers(rows, ["v"], "place")
     assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.where("place = v + 1").count() == 2_000_000
+
+
+def test_a_file_offered_often_meets_a_pose_once(spark):
+    """Names of the files are made distinct before they meet the poses; the least path of a name stays."""
+    poses = spark.createDataFrame([(1, "a"), (2, "b.sdf"), (3, "c")], "id int, Prediction string")
+    files = spark.createDataFrame([("y/a.sdf",), ("x/a.sdf",)] * 50 + [("z/b.sdf",)] * 50 + [(None,)], "path string")
+    found, dropped = docking.matched_files(poses, files)
+    assert {(r["id"], r["PosePath"]) for r in found.collect()} == {(1, "x/a.sdf"), (2, "z/b.sdf")} and found.count() == 2
+    assert [r["id"] for r in dropped.collect()] == [3]
+    assert "Aggregate [_n" in found._jdf.queryExecution().optimizedPlan().toString()
