@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, text_or_empty, tidy
+from .common import forget, labelled_sample, text_or_empty, tidy
 
 #: Saved bytes at which windows are counted.
 CUTS = (2, 3, 4, 5, 6, 8)
@@ -175,6 +175,7 @@ def scores(docs: DataFrame, model: Model) -> Column:
     def scored(text):
         import pandas as pd
 
+        forget()
         out = pd.Series([shared.value.score(t or "") for t in text], dtype="float64")
         tidy()
         return out

@@ -1,12 +1,13 @@
 """Clashing column names, very long texts, labels, learnt parts against plain ones, and the whole pipeline."""
 
+import weakref
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import catalogue, decontamination, jaccard_join, line_dedup, linking, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
+from tessera.llm import catalogue, common, decontamination, jaccard_join, line_dedup, linking, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
 from tessera.llm.common import labelled_sample
 
 CLASH = ("y", "_id", "all", "n_lines", "n_removed", "_doc", "_near", "_drop", "key", "id", "n", "u", "v", "score", "rid", "component_id", "_maybe", "_cut")
@@ -318,3 +319,16 @@ def test_links_of_long_lists_are_whole(spark, block):
                 low, high = sorted((least[i], least[j]))
                 least = [low if x == high else x for x in least]
     assert got == dict(enumerate(least))
+
+
+def test_worker_gives_back_what_another_stage_kept():
+    """The encoder and its words stay for a worker's next tasks, until a stage without one runs there."""
+    path = catalogue.tokenizer_path()
+    first = packing.encoder(path)
+    first.encode("river stone window")
+    gone = weakref.ref(first)
+    assert packing.encoder(path) is first
+    del first
+    common.forget()
+    assert gone() is None
+    assert common.kept("other", lambda: 3) == 3
