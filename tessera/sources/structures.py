@@ -66,16 +66,18 @@ def numbers(value: object) -> list[float]:
     return out
 
 
+METRIC_OF = {n: m for m, all_ in METRICS.items() for n in all_}
+
+
 def harvest(data: object) -> dict[str, list[float]]:
     """For each metric the numbers under any of its names, at any depth, also inside a found value."""
-    names = {n: m for m, all_ in METRICS.items() for n in all_}
     out: dict[str, list[float]] = {m: [] for m in METRICS}
     waiting = [data]
     while waiting:
         x = waiting.pop()
         if isinstance(x, dict):
             for k, v in x.items():
-                m = names.get(str(k).lower())
+                m = METRIC_OF.get(str(k).lower())
                 if m:
                     out[m].extend(numbers(v))
             waiting.extend(reversed(x.values()))
@@ -90,15 +92,16 @@ def json_values(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            at, lists = [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
                 try:
-                    found = harvest(json.loads(t))
+                    lists.extend(harvest(json.loads(t)).values())
                 except (TypeError, ValueError):
                     continue
-                rows += [(k, m, v) for m, v in found.items()]
-            kinds = (batch.schema.field(0).type, pa.string(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [key, "metric", "values"])
+                at.append(i)
+            # Every text has all metrics, in one order.
+            keys = batch.column(0).take(pa.array([i for i in at for _ in METRICS], pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([*METRICS] * len(at), pa.string()), pa.array(lists, pa.list_(pa.float64()))], [key, "metric", "values"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {schema[key]}, metric string, values array<double>")
 
@@ -149,6 +152,15 @@ def value_statistics(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     return flat.groupBy(*keys).agg(F.avg("v").alias("mean"), F.median("v").alias("median"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("count"))
 
 
+def row_statistics(values: Column) -> dict[str, Column]:
+    """The same of one row's own array of numbers, where it is."""
+    ordered, n = F.array_sort(values), F.size(values)
+    at = lambda i: F.get(ordered, i.cast("int"))
+    middle = at(F.floor((n - 1) / 2)) / 2 + at(F.floor(n / 2)) / 2
+    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    return {"mean": F.when(n > 0, total / n), "median": F.when(n > 0, middle), "min": F.array_min(values), "max": F.array_max(values), "count": F.greatest(n, F.lit(0))}
+
+
 def arrays(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, values, status) of the arrays in .npz files; status is ok or parse_error."""
     source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(path).select("path", "content")

@@ -458,3 +458,14 @@ def test_topologies_of_every_form(spark):
     rows = spark.createDataFrame([("p", i, v) for i, v in enumerate(text.split("\n"))], "path string, line_no int, value string")
     got = {r["id"]: (r["label"], [tuple(x) for x in r["ranges"]], r["has_signal"], r["signal_start"], r["signal_end"], r["source"][-5:]) for r in text_tables.topology_calls(rows).collect()}
     assert got == {"P1": ("TM", [(5, 12), (16, 18)], True, 1, 4, "3line"), "P3": ("SP+TM", [(4, 6)], True, 1, 3, "3line"), "P4": ("SP", [], True, None, None, "3line")}
+
+
+def test_harvest_keeps_each_text_by_itself(spark, tmp_path):
+    """Two events of one id are two rows a metric, as the SQL has it."""
+    spark.sql("SELECT 5L AS event_id, v AS value, 7L AS user_id FROM VALUES (0.25D), (0.75D) AS t(v)").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((r["metric"], r["mean"], r["median"], r["count"]) for r in catalogue.QUERIES["str_json_harvest"](spark, str(tmp_path)).where("count > 0").collect())
+    one = lambda v: [("iptm", round((v + v / 2 + v / 4) / 3, 6), v / 2, 3), ("ptm", v, v, 1), ("ranking_score", 7.0, 7.0, 1)]
+    assert got == sorted(one(0.25) + one(0.75))
+    stats = structures.row_statistics(F.col("v"))
+    rows = spark.createDataFrame([([4.0, 1.0, 2.0, 9.0],), ([3.0],), ([],), (None,)], "v array<double>").select(*[c.alias(n) for n, c in stats.items()]).collect()
+    assert [tuple(r) for r in rows] == [(4.0, 3.0, 1.0, 9.0, 4), (3.0, 3.0, 3.0, 3.0, 1), (None, None, None, None, 0), (None, None, None, None, 0)]
