@@ -248,3 +248,17 @@ def test_a_file_offered_often_meets_a_pose_once(spark):
     assert {(r["id"], r["PosePath"]) for r in found.collect()} == {(1, "x/a.sdf"), (2, "z/b.sdf")} and found.count() == 2
     assert [r["id"] for r in dropped.collect()] == [3]
     assert "Aggregate [_n" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_points_travel_as_often_as_a_cell_has_blocks(spark):
+    """A group of 600 points in tiles of 4 makes 16 blocks, not 150, and its pairs are whole."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(0, 1, (600, 5)).astype("float32")
+    df = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(vectors)], "g int, i long, v array<float>")
+    made, pairs = clusters.blocks(df, "g", "i", "v", None, 4)
+    assert made.count() == 16 and pairs.count() == 136 and made.schema["values"].dataType.simpleString() == "array<float>"
+    got = clusters.near_pairs(df, "g", "i", "v", 0.9, 4)
+    d = np.sqrt(((vectors[:, None].astype(float) - vectors[None].astype(float)) ** 2).sum(axis=2))
+    want = {(i, j) for i, j in zip(*np.nonzero(d <= 0.9)) if i < j}
+    found = [(r["left"], r["right"]) for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want
