@@ -262,3 +262,19 @@ def test_points_travel_as_often_as_a_cell_has_blocks(spark):
     want = {(i, j) for i, j in zip(*np.nonzero(d <= 0.9)) if i < j}
     found = [(r["left"], r["right"]) for r in got.collect()]
     assert len(found) == len(want) and set(found) == want
+
+
+def test_sums_of_clusters_move_points_by_blocks(spark):
+    """Sums between clusters over blocks of any number equal plain ones, and no join's rows hold a vector a pair."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (90, 3))
+    names = rng.integers(0, 12, 90)
+    points = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "key int, item long, vector array<double>")
+    members = spark.createDataFrame([(1, i, int(c)) for i, c in enumerate(names)], "key int, item long, c long")
+    pairs = spark.createDataFrame([(1, a, b) for a in range(12) for b in range(a + 1, 12)], "key int, a long, b long")
+    found = clusters._summed(pairs, members, points, 4)
+    got = {(r["a"], r["b"]): (r["s"], r["n"]) for r in found.collect()}
+    for a, b in ((a, b) for a in range(12) for b in range(a + 1, 12)):
+        d = np.sqrt(((x[names == a][:, None] - x[names == b][None]) ** 2).sum(axis=2))
+        assert got[a, b][1] == d.size and abs(got[a, b][0] - d.sum()) < 1e-9
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
