@@ -232,4 +232,6 @@ def ann_padded_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of nine components from each one on; the last full window stands for those after it."""
     means = sequences.padded_means(F.col("embedding"), 9)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(means).alias("i", "mean"))
-    return rows.select("vec_id", (F.col("i") + 1).alias("i"), r6("mean").alias("mean"))
+    # Rounding in Spark drops the sign of a negative mean that becomes zero; SQL's keeps it.
+    mean = F.when((F.col("mean") < 0) & (r6("mean") == 0), F.lit(-0.0)).otherwise(r6("mean"))
+    return rows.select("vec_id", (F.col("i") + 1).alias("i"), mean.alias("mean"))
