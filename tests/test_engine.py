@@ -469,3 +469,10 @@ def test_harvest_keeps_each_text_by_itself(spark, tmp_path):
     stats = structures.row_statistics(F.col("v"))
     rows = spark.createDataFrame([([4.0, 1.0, 2.0, 9.0],), ([3.0],), ([],), (None,)], "v array<double>").select(*[c.alias(n) for n, c in stats.items()]).collect()
     assert [tuple(r) for r in rows] == [(4.0, 3.0, 1.0, 9.0, 4), (3.0, 3.0, 3.0, 3.0, 1), (None, None, None, None, 0), (None, None, None, None, 0)]
+
+
+def test_bins_take_no_scales_of_all_poses(spark, monkeypatch):
+    """Bins and their clusters do not use the score, so the passes over all poses for its scales do not run."""
+    monkeypatch.setattr(docking, "rank_poses", lambda *_: pytest.fail("scored"))
+    for name in ("dock_cluster_summary", "dock_relabelled"):
+        assert catalogue.QUERIES[name](spark, DATA).columns
