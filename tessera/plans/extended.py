@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scaling, sequences, tables
+from ..functions import order, scaling, sequences, tables
 from ..operators import checks, clusters, docking, geometry, motifs, relational, selection, summaries, trajectory
 from ..sinks import files as sinks
 from ..sources import structures
@@ -485,6 +485,7 @@ def snk_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey AS k, l_suppkey % 10 AS name, CASE WHEN count(*) FILTER (WHERE l_returnflag = 'R') > 0 THEN max(l_quantity) FILTER (WHERE l_returnflag = 'R') ELSE max(l_quantity) END AS q FROM lineitem GROUP BY 1, 2")
 def snk_merged_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_suppkey") % 10).cast("string").alias("name"), "l_quantity", "l_returnflag")
+    rows = order.spread(rows, ["k", "name"])
     part = lambda c: rows.where(c).groupBy("k", "name").agg(F.max("l_quantity").alias("q"))
     merged = sinks.merged_residue(part("l_returnflag <> 'R'"), part("l_returnflag = 'R'"), ["k"])
     return merged.select("k", F.col("name").cast("bigint").alias("name"), "q")

@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import order
+
 
 def write_table(df: DataFrame, path: str, separator: str = "\t", one_file: bool = False) -> None:
     """A directory of delimited files with headers; one file only where a reader needs it and the table is small."""
@@ -101,7 +103,9 @@ def merged_residue(rigid: DataFrame, flexible: DataFrame, keys: Sequence[str], n
     """Atoms of both, by upper-case name within the keys; where both have one the flexible one stays."""
     both = rigid.withColumn("_from", F.lit(1)).unionByName(flexible.withColumn("_from", F.lit(0)), allowMissingColumns=True)
     rest = [c for c in both.columns if c not in keys and c != "_from"]
-    return both.groupBy(*keys, F.upper(F.trim(name)).alias("_n")).agg(F.min_by(F.struct(*rest), "_from").alias("_x")).select(*keys, "_x.*")
+    # A struct is aggregated by sorting, so a task's memory is that of its share of the rows.
+    named = order.spread(both.withColumn("_n", F.upper(F.trim(name))), [*keys, "_n"])
+    return named.groupBy(*keys, "_n").agg(F.min_by(F.struct(*rest), "_from").alias("_x")).select(*keys, "_x.*")
 
 
 def split_receptor(atoms: DataFrame, key: str, chain: str, resid: int, order: str = "line_no") -> tuple[DataFrame, DataFrame, DataFrame]:

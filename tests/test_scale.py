@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import order, scan, sequences
+from tessera.sinks import files
 from tessera.operators import clusters, docking, geometry, graph, motifs, relational, selection
 
 
@@ -278,3 +279,13 @@ def test_sums_of_clusters_move_points_by_blocks(spark):
         d = np.sqrt(((x[names == a][:, None] - x[names == b][None]) ** 2).sum(axis=2))
         assert got[a, b][1] == d.size and abs(got[a, b][0] - d.sum()) < 1e-9
     assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_partitions_follow_the_size(spark, monkeypatch):
+    """Merged residues of a table of many shares come in that many partitions, not in the session's number."""
+    rows = spark.range(2000).selectExpr("id % 500 AS k", "concat('a', id % 4) AS name", "id AS q").localCheckpoint()
+    monkeypatch.setattr(order, "SHARE", 1 << 10)
+    merged = files.merged_residue(rows.where("q < 1500"), rows.where("q >= 1500"), ["k"])
+    assert "REPARTITION_BY_NUM" in merged._jdf.queryExecution().executedPlan().toString()
+    got = {(r["k"], r["name"]): r["q"] for r in merged.collect()}
+    assert len(got) == 500 and all(q >= 1500 for q in got.values())
