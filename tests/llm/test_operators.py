@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import decontamination, jaccard_join, line_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
+from tessera.llm import decontamination, jaccard_join, line_dedup, linking, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity, url_filter
 from tessera.llm.components import components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -291,3 +291,46 @@ def test_pipeline_stages(spark, docs):
     rows = docs.select("doc_id", "text", "lang").where("doc_id is not null").selectExpr("*", "'s' source", "length(text) n_chars")
     kept = corpus_pipeline.keep_one_of_near_copies(spark, corpus_pipeline.dedup_lines(spark, rows, ""), "")
     assert kept.columns == rows.columns and {1, 4, 5, 6, 7, 10} <= {r["doc_id"] for r in kept.collect()}
+
+
+def test_bound_of_edit_distance_never_exceeds_it():
+    rng = np.random.default_rng(3)
+    pairs = []
+    for size in (20, 63, 64, 65, 130, 300):
+        for edits in (0, 3, size // 6, size // 5, size // 3):
+            a = list(rng.choice(list("aeinorst äß漢"), size))
+            b = list(a)
+            for at in rng.integers(0, size - edits, edits):
+                b[at : at + int(rng.integers(2))] = [str(x) for x in rng.choice(list("xyz"), int(rng.integers(2)))]
+            pairs.append(("".join(a), "".join(b)))
+        pairs += [tuple("".join(rng.choice(list("aeinorst "), size)) for _ in "uv") for _ in range(20)]
+    pool = line_dedup.Pool([x for x, _ in pairs] + [y for _, y in pairs])
+    at, most = np.arange(len(pairs)), line_dedup.limits(pool.lengths[: len(pairs)], pool.lengths[len(pairs) :], 0.8)
+    exact = np.array([line_dedup.distance_within(x, y, int(m)) for (x, y), m in zip(pairs, most)])
+    maybe = pool.maybe_within(at, at + len(pairs), most)
+    assert (maybe >= exact).all() and exact.sum() > 15 and maybe.sum() < 50
+
+
+@pytest.mark.parametrize("block,together", [(1 << 12, 1 << 14), (7, 5)])
+def test_long_lists_are_compared_without_rows_for_their_pairs(spark, monkeypatch, block, together):
+    """Lines that share a list and are no leader's copies; only links leave the tasks, whatever the blocks."""
+    monkeypatch.setattr(line_dedup, "TOGETHER", together)
+    rng = np.random.default_rng(8)
+    lines = []
+    for _ in range(15):
+        base = "".join(rng.choice(list("aeinorst "), 90))
+        lines += [base, *(base[: 6 * k] + "xx" + base[6 * k :] for k in range(1, 4))]
+    marks, _, _ = line_dedup.sketches(lines, 0)
+    # SimHashes of all are made near, so that the edit distance decides.
+    marks = np.broadcast_to(marks[:1], marks.shape)
+    nodes = spark.createDataFrame([(i, len(x), int(m[0]), int(m[1]), x) for i, (x, m) in enumerate(zip(lines, marks))], "id long, n int, s0 long, s1 long, text string")
+    long = spark.createDataFrame([(k, -1, i) for k in (1, 2) for i in range(len(lines))], "key long, leader long, id long")
+    groups = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
+    dealt = linking.rest(long, nodes, groups, nodes.drop("n"), block, 1 << 21)
+    got = dealt.mapInArrow(lambda x: line_dedup.links_of_blocks(x, 0.8), "u long, v long").distinct().collect()
+    of = list(range(len(lines)))
+    for _ in lines:
+        for u, v in [(0, 1), *((r["u"], r["v"]) for r in got)]:
+            of[u] = of[v] = min(of[u], of[v])
+    assert of == [i // 4 * 4 for i in range(len(lines))]
+    assert len(got) <= 2 * len(lines) if block > len(lines) else len(got) <= 15 * 6
