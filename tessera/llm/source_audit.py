@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, forget, small_batches, tidy
 
-#: What stands between terms: everything in ASCII that is not a letter.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Turns ASCII letters into lower case and all else in ASCII, which separates terms, into blanks; bytes of other characters stay.
+TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Counts that a task holds before it gives them on.
+HELD = 1 << 19
 #: Copies of a language's row that its terms are joined with, so that no language is one task's work.
 SALTS = 64
 #: Counts up to here can be multiplied by 10**9 within a long; others take decimals.
@@ -27,16 +34,43 @@ def departure(p: str, q: str) -> str:
     return f"({p} - {q}) * ({p} - {q}) div {q}"
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, n_docs) of rows (lang, source, text), counted as far as a task can hold the counts."""
+    counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held = 0
+    forget()
+
+    def taken() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, n_docs) in counts.items():
+            terms = pa.array(list(n), pa.binary()).cast(options=pc.CastOptions(pa.string(), allow_invalid_utf8=True))
+            same = (pa.array([x], pa.string()).take(pa.array(np.zeros(len(n), np.int64))) for x in (lang, source))
+            yield pa.RecordBatch.from_arrays([*same, terms, pa.array(list(n.values()), pa.int64()), pa.array([n_docs[t] for t in n], pa.int64())], ["lang", "source", "term", "n", "n_docs"])
+
+    for batch in batches:
+        texts = batch.column(2).cast(pa.binary())
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
+            n, n_docs = counts.setdefault((lang, source), (Counter(), Counter()))
+            terms = text.as_py().translate(TERMS).split()
+            before = len(n)
+            n.update(terms)
+            n_docs.update(set(terms))
+            held += len(n) - before
+            if held >= HELD:
+                yield from taken()
+                counts.clear()
+                held = 0
+    yield from taken()
+    tidy()
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, n_docs): occurrences, and documents with one, of each term."""
-    # lower() is the quick way where all is ASCII; elsewhere it would change other letters as well.
-    low = F.when(F.octet_length("text") == F.length("text"), F.lower("text")).otherwise(F.translate("text", UPPER, LOWER))
-    terms = F.split(low, BETWEEN)
-    listed = docs.select("lang", "source", F.array_remove(terms, "").alias("terms"))
-    # Every occurrence, then every term once: both counts come from one explosion and one aggregation.
-    each = listed.select("lang", "source", F.size("terms").alias("size"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"))
-    again = F.col("at") >= F.col("size")
-    return each.groupBy("lang", "source", "term").agg(F.sum(F.when(again, 0).otherwise(1)).alias("n"), F.sum(F.when(again, 1).otherwise(0)).alias("n_docs"))
+    """(lang, source, term, n, n_docs): occurrences, and documents with one, of each term.
+
+    Tasks count what they hold, so that what moves is not a row for each word. It moves by (lang, term), as both this aggregation
+    and the next by term need it.
+    """
+    found = docs.select("lang", "source", "text").mapInArrow(counted, "lang string, source string, term string, n long, n_docs long")
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
 def audit(docs: DataFrame, least_documents: int = 3, top: int = 200) -> DataFrame:
@@ -59,7 +93,8 @@ def audit(docs: DataFrame, least_documents: int = 3, top: int = 200) -> DataFram
     groups = docs.select("lang", "source").distinct()
     counts = term_counts(docs)
     wide = counts.groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("by_source"))
-    kept = durable(wide.where(F.col("n_docs") >= least_documents).select("lang", "term", "total", "by_source"))
+    with small_batches(docs.sparkSession, 1024):
+        kept = durable(wide.where(F.col("n_docs") >= least_documents).select("lang", "term", "total", "by_source"))
 
     totals = kept.select("lang", F.explode("by_source").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("n"))
     vocabulary = kept.groupBy("lang").agg(F.count("*").alias("v"))

@@ -8,6 +8,7 @@ import zipfile
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,22 @@ def test_source_audit_equals_brute_force(spark):
     assert source_audit.audit(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("held", [1 << 19, 4])
+def test_terms_are_counted_within_tasks(monkeypatch, held):
+    """A task gives on counts and not words, and never holds more than so many."""
+    monkeypatch.setattr(source_audit, "HELD", held)
+    rows = [("en", s, t) for s in ("a", "b") for t in ("One two\x00TWO\x7ftwo", "two;\x0bÉa éa\u00a0x 7", "")] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["lang", "source", "text"])
+    out = [r for b in source_audit.counted(iter([batch, batch])) for r in b.to_pylist()]
+    n, n_docs = Counter(), Counter()
+    for r in out:
+        n[r["source"], r["term"]] += r["n"]
+        n_docs[r["source"], r["term"]] += r["n_docs"]
+    expected = {"one": (6, 6), "two": (24, 12), "Éa": (6, 6), "éa\u00a0x": (6, 6)}
+    assert {k: (n[k], n_docs[k]) for k in n} == {(s, t): x for s in "ab" for t, x in expected.items()}
+    assert len(out) == 8 if held > 8 else len(out) > 8
+
+
 def test_shares_beyond_longs(spark):
     for n, total in ((8, 20), (9_000_000_000, 9_000_000_001), (12_000_000_000_000, 40_000_000_000_000)):
         row = spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(total).cast("long").alias("t")).selectExpr(f"{source_audit.share('n', 't')} as p").first()
