@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -334,3 +335,39 @@ def test_long_lists_are_compared_without_rows_for_their_pairs(spark, monkeypatch
             of[u] = of[v] = min(of[u], of[v])
     assert of == [i // 4 * 4 for i in range(len(lines))]
     assert len(got) <= 2 * len(lines) if block > len(lines) else len(got) <= 15 * 6
+
+
+def test_pairs_of_several_long_lists_are_compared_once(monkeypatch):
+    """Pairs of unlinked lines that several lists hold, and pairs of one list only."""
+    rng = np.random.default_rng(31)
+    lines = ["".join(rng.choice(list("aeinorst "), 300)) for _ in range(12)]
+    held = {1: range(6), 2: range(12), 3: range(3, 12)}
+    rows = [{"key": key, "i": 0, "j": 0, "at": 0, "g": i, "keys": [k for k in (3, 1, 2) if i in held[k]], "id": i, "s0": 0, "s1": 0, "text": lines[i]} for key in held for i in held[key]]
+    asked, add = [], line_dedup._Links.add
+
+    def noted(self, texts, ids, groups, u, v):
+        asked.extend(tuple(sorted(p)) for p in zip(ids[u].tolist(), ids[v].tolist()))
+        add(self, texts, ids, groups, u, v)
+
+    monkeypatch.setattr(line_dedup._Links, "add", noted)
+    assert sum(b.num_rows for b in line_dedup.links_of_blocks(iter(pa.Table.from_pylist(rows).to_batches()), 0.8)) == 0
+    assert sorted(asked) == [(i, j) for i in range(12) for j in range(i + 1, 12)]
+
+
+def test_sieve_of_character_pairs_loses_no_link():
+    rng = np.random.default_rng(12)
+    lines = []
+    for size in (20, 33, 60, 96):
+        for edits in (0, size // 8, size // 5, size // 5 + 1, size // 3):
+            a = list(rng.choice(list("aeinorst äß漢"), size))
+            b = list(a)
+            for at in rng.choice(size - edits, edits, replace=False).tolist():
+                b[at : at + int(rng.integers(2))] = ["x"]
+            lines += ["".join(a), "".join(b), "".join(rng.choice(list("aeinorst "), size))]
+    n = np.array([len(x) for x in lines])
+    rows = pa.table({"key": [1] * len(lines), "keys": [[1]] * len(lines)})
+    u, v = (x.ravel() for x in np.meshgrid(np.arange(len(lines)), np.arange(len(lines))))
+    left = line_dedup._Sieve(rows, lines, n, 0.8).left(u, v)
+    most = line_dedup.limits(n[u], n[v], 0.8)
+    exact = np.array([line_dedup.distance_within(lines[i], lines[j], int(m)) for i, j, m in zip(u.tolist(), v.tolist(), most)])
+    assert (left >= exact).all() and exact.sum() > len(lines) and left.sum() < len(u) / 4
