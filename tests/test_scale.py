@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import order, scan, sequences
 from tessera.sinks import files
 from tessera.operators import clusters, docking, geometry, graph, motifs, relational, selection
+from tessera.plans import extended
 
 
 @pytest.fixture
@@ -289,3 +291,18 @@ def test_partitions_follow_the_size(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in merged._jdf.queryExecution().executedPlan().toString()
     got = {(r["k"], r["name"]): r["q"] for r in merged.collect()}
     assert len(got) == 500 and all(q >= 1500 for q in got.values())
+
+
+@pytest.mark.parametrize("radius", [None, 1.2])
+def test_blocks_that_meet_are_dealt_once(spark, radius):
+    """Without a radius all are of one cell; the join of blocks takes them as they were dealt, by a given number and not by bytes."""
+    df = spark.createDataFrame([(i % 2, i, [float(i), 1.0]) for i in range(12)], "g int, i long, v array<double>")
+    plan = clusters.near_pairs(df, "g", "i", "v", radius, 2)._jdf.queryExecution().executedPlan().toString().split("\n")
+    above = [plan[i - 1] for i, line in enumerate(plan) if "REPARTITION_BY_NUM" in line]
+    assert len(above) == 2 and not any("Exchange" in line for line in above if "REPARTITION_BY_NUM" not in line)
+
+
+def test_rounding_of_pairs_is_that_of_the_sql(spark):
+    values = [0.0, 0.000005, 0.000015, 0.000025, 0.1 + 0.2, 1.2345649999, 1.234565, 2.675, 1e6 + 0.000005, *np.random.default_rng(2).uniform(0, 9, 500).tolist()]
+    got = [r["x"] for r in spark.createDataFrame([(v,) for v in values], "v double").select(extended.r5(F.col("v")).alias("x")).collect()]
+    assert got == [duckdb.execute("SELECT round(CAST(? AS double), 5)", [v]).fetchone()[0] for v in values]
